@@ -30,6 +30,20 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import token_files
+    from .tokens import default_path
+
+    return token_files(read_table(spark, sf_dir, "documents"), default_path())
+
+
+def op10_pack_min_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+    from .tokens import default_path
+
+    return pack_documents(read_table(spark, sf_dir, "documents"), default_path())
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
