@@ -32,4 +32,15 @@ SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, coalesce(c, vec_id) AS
 FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN comp ON vec_id = comp.a
 """
 
-SQL: dict[str, str] = {"op1_decontaminate": OP1, "op5_embedding_near_dedup": OP5}
+OP2 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+w AS (SELECT x, max(page_id) AS top FROM p GROUP BY x)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(1 + ((CAST('0x' || substr(x, (i // 4) * 5 + 1, 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM p JOIN w USING (x)
+"""
+
+SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_warc_segments": OP2, "op5_embedding_near_dedup": OP5}
