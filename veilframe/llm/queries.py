@@ -48,6 +48,12 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_personal_data(read_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licences
+
+    return scan_licences(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_files
     from .tokens import default_path
@@ -74,6 +80,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import oracles
+    from . import licenses, oracles
 
-    return dict(oracles.SQL)
+    return oracles.SQL | {"op7_license_scan": licenses.duckdb_sql()}
