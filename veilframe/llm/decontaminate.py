@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,14 +122,19 @@ def _scan_block(source: DataFrame, items: list[tuple[str, bytes]], n: int, kind:
     return source.mapInArrow(run, _HITS.format(kind=kind))
 
 
+def benchmark_blocks(bench: DataFrame, block_bytes: int, item_col: str = "item_id", item_text: str = "text"):
+    """A function that gathers the items of block k, and the number of blocks."""
+    items = bench.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    items = items.withColumn("block", F.expr(f"pmod(xxhash64(item), {blocks})"))
+    return lambda k: [(r.item, r.text.encode()) for r in items.where(F.col("block") == k).collect()], blocks
+
+
 def find_contamination(docs: DataFrame, bench: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row per document: rid (row number), id, n_words, spans (word ranges that occur in the benchmark, end exclusive), items."""
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    items = bench.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
-    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    items = items.withColumn("block", F.expr(f"pmod(xxhash64(item), {blocks})"))
-    part = lambda k: [(r.item, r.text.encode()) for r in items.where(F.col("block") == k).collect()]
+    part, blocks = benchmark_blocks(bench, block_bytes, item_col, item_text)
     out = _scan_block(source, part(0), n, kind, True)
     if blocks == 1:
         return out
@@ -156,6 +162,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, action: str = "drop", n: in
     """
     if action not in ("drop", "remove"):
         raise ValueError(f"unknown action {action}")
+    items, blocks = benchmark_blocks(bench, block_bytes)
+    if blocks == 1:
+        return _judge(docs, items(0), action, n, share, text_col)
     mark = "_veil_rid"
     hits = measure(find_contamination(docs, bench, n, block_bytes, id_col, text_col), share)
     numbered = docs.withColumn(mark, F.monotonically_increasing_id())
@@ -165,14 +174,32 @@ def decontaminate(docs: DataFrame, bench: DataFrame, action: str = "drop", n: in
     spans = hits.where("size(spans) > 0").select(F.col("rid").alias(mark), F.col("spans").alias("_veil_spans"))
 
     @F.pandas_udf("string")
-    def cleaned(text, spans):
-        import pandas as pd
-
+    def cleaned(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else cut(t.encode(), [(x["first"], x["end"]) for x in s]).decode() for t, s in zip(text, spans, strict=True)], dtype=object)
 
     joined = numbered.join(spans, mark, "left")
     return joined.withColumn(text_col, F.when(F.col("_veil_spans").isNotNull(), cleaned(F.col(text_col), F.col("_veil_spans"))).otherwise(F.col(text_col))).select(*docs.columns)
 
 
+def _judge(docs: DataFrame, items: list[tuple[str, bytes]], action: str, n: int, share: int, text_col: str) -> DataFrame:
+    """With the whole benchmark in one broadcast, each document is judged where it is read."""
+    shared = docs.sparkSession.sparkContext.broadcast(WindowSet(items, n))
+
+    def hits(text: str | None):
+        words = words_of((text or "").encode())
+        return shared.value.scan(words)[0]
+
+    def clean(text: pd.Series) -> pd.Series:
+        out = [(hits(t).sum(), t) for t in text] if action == "drop" else []
+        return pd.Series([not n_hit or share * n_hit < len(words_of(t.encode())) for n_hit, t in out])
+
+    def removed(text: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or not (h := hits(t)).any() else cut(t.encode(), ranges(h)).decode() for t in text], dtype=object)
+
+    if action == "drop":
+        return docs.where(F.pandas_udf(clean, "boolean")(F.col(text_col)))
+    return docs.withColumn(text_col, F.pandas_udf(removed, "string")(F.col(text_col)))
+
+
 def items_sha256(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,18 +115,11 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     """The documents with lang_pred, score and margin added (columns of those names are replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
-    def classify(batches):
-        import pandas as pd
-
+    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = [shared.value.classify(t) for t in texts]
             yield pd.DataFrame(found, columns=["lang_pred", "score", "margin"])
 
-    from typing import Iterator as Each
-
-    import pandas as pd
-
-    classify.__annotations__ = {"batches": Each[pd.Series], "return": Each[pd.DataFrame]}
     predict = F.pandas_udf(classify, "lang_pred string, score double, margin double")
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "margin")]
     found = docs.select(*kept, predict(F.col(text_col)).alias("_veil_lang"))

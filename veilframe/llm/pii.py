@@ -18,6 +18,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -223,15 +224,8 @@ def scan_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with their personal data, plain or disguised, replaced in the text."""
 
-    def clean(texts):
-        import pandas as pd
-
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([None if t is None else redact(t, [s for part in find(t) for s in part]) for t in batch], dtype=object)
 
-    from typing import Iterator as Each
-
-    import pandas as pd
-
-    clean.__annotations__ = {"texts": Each[pd.Series], "return": Each[pd.Series]}
     return docs.withColumn(text_col, F.pandas_udf(clean, "string")(F.col(text_col)))
