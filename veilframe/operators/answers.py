@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MAX_HTML_BYTES = 10 << 20
 # Fixed values of HTML
@@ -265,7 +266,7 @@ def html_to_markdown(page: str | None) -> str:
     return clean_markdown("\n\n".join(blocks(builder.root)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_markdown(page: pd.Series) -> pd.Series:
     return page.map(html_to_markdown)
 
@@ -315,12 +316,12 @@ def answer_to_markdown(plain: str | None, page: str | None) -> str:
     return plain_to_markdown(plain)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def plain_markdown(text: pd.Series) -> pd.Series:
     return text.map(plain_to_markdown)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def answer_markdown(plain: pd.Series, page: pd.Series) -> pd.Series:
     return pd.Series([answer_to_markdown(a, b) for a, b in zip(plain, page, strict=True)], dtype=object)
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.vocabulary import LEAK_ALLOWED, LEAK_TYPES, MASK_ORDER
 from .spans import token_rows
@@ -29,7 +30,7 @@ def splice(text: Column, parts: Column, start: str = "start", end: str = "end",
     return F.concat(F.array_join(bounds, ""), tail)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def splice_long(rows: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
     """Splice in time linear in the text: struct(text, parts array<struct<start, end, marker>> sorted by start)."""
     for batch in rows:

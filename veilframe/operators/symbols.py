@@ -7,8 +7,10 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.vocabulary import CODE
+from .scratch import written
 
 PREFIX_LETTERS = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"  # fixed value: no letters or digits that are read for others
 
@@ -24,7 +26,7 @@ def entity_code(entity_type: Column) -> Column:
     return F.element_at(F.create_map(*pairs), entity_type)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def checksum(core: pd.Series) -> pd.Series:
     """First two hex digits of the two-byte BLAKE2s of prefix:code:sequence:1. Spark has no BLAKE2s; symbols are few."""
     return core.map(lambda x: hashlib.blake2s(x.encode(), digest_size=2).hexdigest()[:2].upper())
@@ -71,6 +73,7 @@ def rank_in_group(df: DataFrame, group: str, order: list[str], out: str) -> Data
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).withColumn("_m", F.monotonically_increasing_id())
+    rows = written(rows)  # else every use below could draw other range bounds
     rows = rows.withColumn("_part", F.shiftright("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MAX_BYTES = 100 << 20
 EXTENSIONS = ("sql", "txt", "log", "out")
@@ -22,7 +23,7 @@ def decode(data: bytes | None) -> str | None:
             pass
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(data: pd.Series) -> pd.Series:
     return data.map(decode)
 
