@@ -26,7 +26,10 @@ class Tables:
         """SQL whose tables are named in braces, read from this folder."""
         import re
 
-        used = {t: getattr(self, t) for t in TABLES if re.search(rf"\{{{t}\}}", text)}
+        used = {t: getattr(self, t) for t in TABLES if f"{{{t}}}" in text}
+        text = re.sub(r"[{}]", lambda m: m[0] * 2, text)  # other braces are text
+        for t in used:
+            text = text.replace(f"{{{{{t}}}}}", f"{{{t}}}")
         return self.spark.sql(text, args=args or None, **used)
 
 
