@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TRAIN_DOCS = 50_000
@@ -111,18 +111,22 @@ def learn_profiles(train: DataFrame, text_col: str = "text", lang_col: str = "la
     return Profiles(profiles, size)
 
 
-def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """The documents with lang_pred, score and margin added (columns of those names are replaced)."""
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+def language_of(text: Column, profiles: Profiles) -> Column:
+    """struct(lang_pred, score, margin) of a text column."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(profiles)
 
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = [shared.value.classify(t) for t in texts]
             yield pd.DataFrame(found, columns=["lang_pred", "score", "margin"])
 
-    predict = F.pandas_udf(classify, "lang_pred string, score double, margin double")
+    return F.pandas_udf(classify, "lang_pred string, score double, margin double")(text)
+
+
+def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """The documents with lang_pred, score and margin added (columns of those names are replaced)."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "margin")]
-    found = docs.select(*kept, predict(F.col(text_col)).alias("_veil_lang"))
+    found = docs.select(*kept, language_of(F.col(text_col), profiles).alias("_veil_lang"))
     return found.select(*kept, "_veil_lang.lang_pred", "_veil_lang.score", "_veil_lang.margin")
 
 
@@ -131,6 +135,12 @@ def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2):
 
 
 def predict_documents(docs: DataFrame) -> DataFrame:
-    """Learn from the documents that are not held out, predict all."""
-    flagged = docs.withColumn("held_out", held_out())
-    return identify(flagged, learn_profiles(flagged.where("not held_out")))
+    """doc_id, text, lang -> doc_id, held_out, lang_pred, score, margin: learn from the documents that are not held out, predict all."""
+    profiles = learn_profiles(docs.where(~held_out()))
+    return identify(docs.select("doc_id", "text", held_out().alias("held_out")), profiles).drop("text")
+
+
+def keep_languages(docs: DataFrame, least_score: float) -> DataFrame:
+    """The documents, unchanged, without those that are ``und`` or score under ``least_score``."""
+    found = docs.withColumn("_veil_lang", language_of(F.col("text"), learn_profiles(docs.where(~held_out()))))
+    return found.where((F.col("_veil_lang.lang_pred") != UNKNOWN) & (F.col("_veil_lang.score") >= least_score)).select(*docs.columns)

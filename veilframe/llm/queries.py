@@ -64,8 +64,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import predict_documents
 
-    found = predict_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return found.select("doc_id", "held_out", "lang_pred", "score", "margin")
+    return predict_documents(read_table(spark, sf_dir, "documents"))
 
 
 def op10_pack_min_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
