@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import Workspace, read_table
 from veilframe.llm.decontaminate import decontaminate
-from veilframe.llm.langid import UNKNOWN, predict_documents
+from veilframe.llm.langid import keep_languages
 from veilframe.llm.packing import pack_documents
 from veilframe.llm.pii import redact_documents
 from veilframe.llm.simhash import simhash_groups
@@ -27,15 +27,14 @@ LEAST_SCORE = 0.2  # of a language; a document below it resembles none
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = predict_documents(docs)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return keep_languages(docs, LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())  # parts rows that repeat an id
-    keyed = numbered.select(F.struct("doc_id", "_row").alias("key"), "text")
-    copies = simhash_groups(keyed, "key").where("key <> component_id").select("key._row")
-    return numbered.join(copies, "_row", "left_anti").select(*docs.columns)
+    numbered = docs.withColumn("_veil_row", F.monotonically_increasing_id())  # parts rows that repeat an id
+    keyed = numbered.select(F.struct("doc_id", "_veil_row").alias("key"), "text")
+    copies = simhash_groups(keyed, "key").where("key <> component_id").select("key._veil_row")
+    return numbered.join(copies, "_veil_row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
