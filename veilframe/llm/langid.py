@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 TRAIN_DOCS = 50_000
 PROFILE = 400  # n-grams of a language
 OWN = 300  # n-grams of a document
+CODES = 1 << 20  # n-grams of a language that a task holds before it counts them
 UNKNOWN = "und"
 _EDGE = 1  # the word boundary, as a code point that no letter has
 _letters: list[np.ndarray] = []
@@ -92,14 +93,21 @@ def learn_profiles(train: DataFrame, text_col: str = "text", lang_col: str = "la
     total = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).count()
     share = int(min(1.0, most_docs / max(1, total)) * (1 << 30))
 
+    def counted_codes(lang: str, some: list[np.ndarray]) -> pa.RecordBatch:
+        codes, counts = np.unique(np.concatenate(some), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(counts)], names=["lang", "code", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[list[np.ndarray], int]] = {}
         for b in batches:
-            texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lang in dict.fromkeys(langs):
-                some = [ngram_codes(t) for t, x in zip(texts, langs, strict=True) if x == lang]
-                codes, counts = np.unique(np.concatenate(some), return_counts=True)
-                if len(codes):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(counts)], names=["lang", "code", "n"])
+            for text, lang in zip(b.column(0), b.column(1), strict=True):
+                some, size = held.get(lang.as_py(), ([], 0))
+                some.append(codes := ngram_codes(text.as_py()))
+                held[lang.as_py()] = some, size + len(codes)
+                if size + len(codes) > CODES:
+                    yield counted_codes(lang.as_py(), held.pop(lang.as_py())[0])
+        for lang, (some, _) in held.items():
+            yield counted_codes(lang, some)
 
     counted = rows.where(F.expr(f"pmod(h, {1 << 30}) < {share}")).select("text", "lang").mapInArrow(run, "lang string, code long, n long")
     counted = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
