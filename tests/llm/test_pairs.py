@@ -96,6 +96,26 @@ def test_simhash_groups_on_odd_rows(spark, docs):
     assert simhash_groups(docs([])).count() == 0
 
 
+def test_registered_simhash_query(spark, sf):
+    from veilframe.llm.queries import op4_simhash_near_dedup
+
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    fps = np.array([plain_fingerprint(t) for _, t in docs], np.uint64)
+    root = groups(len(docs), [(i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps) <= 4) if i < j])
+    want = {d: (f"{int(fps[i]):016x}", docs[root[i]][0]) for i, (d, _) in enumerate(docs)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in op4_simhash_near_dedup(spark, sf).collect()} == want
+
+
+def test_registered_embedding_query(spark, sf):
+    from veilframe.llm.queries import op5_embedding_near_dedup
+
+    rows = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()]
+    links = brute_links(rows)
+    root = groups(len(rows), links)
+    want = {r[0]: (sum(i in x for x in links), rows[root[i]][0], root[i] == i) for i, r in enumerate(rows)}
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op5_embedding_near_dedup(spark, sf).collect()} == want
+
+
 def brute_links(rows):
     ok = {}
     for i, (_, label, e) in enumerate(rows):

@@ -190,3 +190,11 @@ def test_scan_matches_registered_query(spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     want = {d[0]: (n, h, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), bool(h) and 20 * h >= n) for d, (n, h, i) in zip(docs, brute_contamination(docs, items), strict=True)}
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows} == want
+
+
+def test_registered_personal_data_query(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op6_personal_data(spark, sf).collect():
+        base = brute_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest() and (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in base) for kind in pii.KINDS)
+        assert set(pii.joined(base).split(",")) <= set(r.spans.split(","))

@@ -39,4 +39,6 @@ def connected_components(work: Workspace, links: DataFrame, name: str = "cc") ->
         both = _follow(half, "a", parent).where("a <> b")
         edges = work.table(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges{step}")
         labels = work.table(_follow(labels, "root", parent), f"{name}-labels{step}")
+        for used in (f"edges{step - 1}", f"labels{step - 1}", f"hook{step}", f"jump{step}.0", f"jump{step}.1", f"half{step}"):
+            work.drop(f"{name}-{used}")
     return labels
