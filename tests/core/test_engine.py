@@ -186,3 +186,11 @@ def test_stream_registry(spark, tmp_path, cases):
         keep_registry(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), cases, store, "symbols", f"{tmp_path}/check").awaitTermination()
     got = {(r.canonical, r.sequence, r.confidence) for r in store.read("symbols").collect()}
     assert got == {("U:A", 1, 1.0), ("U:B", 2, 0.9), ("U:C", 3, 1.0)}
+
+
+def test_sql_functions(spark):
+    from veilframe.functions.sql import register
+
+    register(spark)
+    row = spark.sql("SELECT veil_kind(t) AS k, veil_spans(t) AS s, veil_html_markdown('<b>x</b>') AS m, veil_plain_markdown('a') AS p FROM (SELECT 'select a from b' AS t)").first()
+    assert tuple(row) == ("sql", '[[7, 8, "column"], [14, 15, "table"]]', "**x**", "a")
