@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import CODE, GLOBAL_KEPT, GLOBAL_MASKED, HINT_WORDS, by_label
 from ..operators import answers, detection, engine, rewrite, spans, symbols
+from ..operators.scratch import written
 from ..sources import text as sources
 from . import base
 from .base import duck_tokens, plain, query
@@ -234,7 +235,7 @@ def _registry(found):
 
 
 def _marked(t):
-    found = _spans(t)
+    found = written(_spans(t))
     return found.join(_registry(found).select("case_id", "entity_type", "canonical", "marker"), ["case_id", "entity_type", "canonical"])
 
 
