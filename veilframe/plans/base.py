@@ -60,9 +60,9 @@ def plain(text: str) -> str:
 def duck_tokens(source: str, keys: str, text: str, pattern: str) -> str:
     """token_rows in DuckDB: keys, i, token, s (start), e (end)."""
     pattern = pattern.replace("'", "''")
-    return f"""SELECT {keys}, CAST(i - 1 AS INTEGER) AS i, token, CAST(e - length(token) AS INTEGER) AS s, CAST(e AS INTEGER) AS e FROM (
-        SELECT {keys}, i, tok[i] AS token, sum(length(gap[i]) + length(tok[i])) OVER (PARTITION BY {keys} ORDER BY i) AS e FROM (
-            SELECT {keys}, tok, gap, unnest(range(1, len(tok) + 1)) AS i FROM (
+    return f"""SELECT {keys}, CAST(i AS INTEGER) AS i, token, CAST(e - length(token) AS INTEGER) AS s, CAST(e AS INTEGER) AS e FROM (
+        SELECT {keys}, i, token, sum(length(gap) + length(token)) OVER (PARTITION BY {keys} ORDER BY i) AS e FROM (
+            SELECT {keys}, unnest(tok) AS token, unnest(gap[1:len(tok)]) AS gap, unnest(range(len(tok))) AS i FROM (
                 SELECT {keys}, regexp_extract_all({text}, '{pattern}') AS tok, regexp_split_to_array({text}, '{pattern}') AS gap FROM ({source}))))"""
 
 
