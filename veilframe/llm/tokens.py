@@ -13,8 +13,8 @@ import re
 
 import numpy as np
 
-PIECES = 200_000  # cached at most
-PRETOKENS = 400_000
+PIECES = 300_000  # cached at most
+PRETOKENS = 600_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[\\n -~{_LATIN}]*")
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\\s{_LATIN}0-9]+|\\s+(?!\\S)|\\s+")
