@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before ke
 read again as the next one's docs. All but the last return the columns of ``documents``.
 
 1. language_id leaves out documents without a letter and those unlike every learned language.
-2. near_duplicates keeps the document with the smallest id of each SimHash group.
+2. near_duplicates keeps the document with the smallest id of each group of near copies: links of texts whose
+   five-word shingles have a Jaccard similarity of 0.8 or more.
 3. decontamination leaves out documents that the benchmark contaminates; others stay as they are.
 4. personal_data replaces personal data, plain or disguised, in the texts and renews n_chars.
 5. packing returns the pieces with their places in the sequences.
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import Workspace, read_table
 from veilframe.llm.decontaminate import decontaminate
 from veilframe.llm.langid import keep_languages
+from veilframe.llm.near_copies import near_copy_groups
 from veilframe.llm.packing import pack_documents
 from veilframe.llm.pii import redact_documents
-from veilframe.llm.simhash import simhash_groups
 from veilframe.llm.tokens import default_path
 
 LEAST_SCORE = 0.2  # of a language; a document below it resembles none
@@ -33,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = docs.withColumn("_veil_row", F.monotonically_increasing_id())  # parts rows that repeat an id
     keyed = numbered.select(F.struct("doc_id", "_veil_row").alias("key"), "text")
-    copies = simhash_groups(keyed, "key").where("key <> component_id").select("key._veil_row")
+    copies = near_copy_groups(keyed, "key").where("key <> component_id").select("key._veil_row")
     return numbered.join(copies, "_veil_row", "left_anti").select(*docs.columns)
 
 
@@ -58,7 +59,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-# SimHash components and the packing have no SQL; tests/llm compares every stage with a brute-force version
+# Components of near copies and the packing have no SQL; tests/llm compares every stage with a brute-force version
 ORACLE_SQL = None
 
 

@@ -41,20 +41,26 @@ def pivots(count: int = PIVOTS) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def fingerprint(text: bytes | None, words: int = 4, chunk: int = 1 << 18) -> int:
-    """Unsigned 64-bit fingerprint of a text's UTF-8 bytes; zero without words."""
+def shingle_hashes(text: bytes | None, words: int = 4) -> list[int]:
+    """XXH64 of each word shingle of a text's UTF-8 bytes; of the whole where it has fewer words, none without words."""
     from xxhash import xxh64_intdigest
 
     tokens = (text or b"").lower().split()
     if not tokens:
-        return 0
+        return []
     if len(tokens) <= words:
-        hashes = [xxh64_intdigest(b" ".join(tokens), SEED)]
-    else:
-        plain = b" ".join(tokens)
-        ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
-        starts = np.concatenate([[0], ends[:-words] + 1])
-        hashes = [xxh64_intdigest(plain[s:e], SEED) for s, e in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)]
+        return [xxh64_intdigest(b" ".join(tokens), SEED)]
+    plain = b" ".join(tokens)
+    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
+    starts = np.concatenate([[0], ends[:-words] + 1])
+    return [xxh64_intdigest(plain[s:e], SEED) for s, e in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes | None, words: int = 4, chunk: int = 1 << 18) -> int:
+    """Unsigned 64-bit fingerprint of a text's UTF-8 bytes; zero without words."""
+    hashes = shingle_hashes(text, words)
+    if not hashes:
+        return 0
     total = np.zeros(64, np.int64)
     values = np.array(hashes, "<u8")
     for k in range(0, len(values), chunk):
@@ -205,6 +211,15 @@ def near_links(work: Workspace, distinct: DataFrame, radius: int = RADIUS, tile:
     return links.unionByName(across.select("src", "dst"))
 
 
+def settled(work: Workspace, fps: DataFrame, distinct: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """fps(id, fp), distinct(fp, least id) and roots of fps -> a row per id: fp and component_id, the smallest id of the component."""
+    linked = work.table(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "least"), "linked")
+    by_root = work.table(linked.groupBy("root").agg(F.min("least").alias("lowest")), "by-root")
+    moved = work.table(linked.join(by_root, "root").select("fp", "lowest"), "moved")
+    final = work.table(distinct.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id")), "final")
+    return fps.join(final, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """A row per document: id, fp (signed long) and component_id, the smallest id reachable by links of ``radius`` bits or fewer."""
     spark = docs.sparkSession
@@ -212,8 +227,4 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fps = work.table(fingerprints(docs, id_col, text_col, words), "fps")
     distinct = work.table(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = connected_components(work, near_links(work, distinct.select("fp"), radius, tile))
-    linked = work.table(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "least"), "linked")
-    by_root = work.table(linked.groupBy("root").agg(F.min("least").alias("lowest")), "by-root")
-    moved = work.table(linked.join(by_root, "root").select("fp", "lowest"), "moved")
-    final = work.table(distinct.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id")), "final")
-    return fps.join(final, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    return settled(work, fps, distinct, roots, id_col)
