@@ -5,7 +5,7 @@ transducers rewrite disguises: homoglyphs and other scripts' digits to ASCII (on
 zero-width marks to nothing, at/dot in brackets or words to their signs, runs of spelled digits to
 digits. They give edits (source start, source end, replacement); the normalised text is spliced from them,
 detection runs on it again, and found spans are mapped back through the edits to source code points. A span
-found this way is added unless it meets a plain span of its kind; plain spans always stay.
+found this way is added unless it lies within a plain span of its kind; plain spans always stay, so spans may overlap.
 
 Nulls are empty texts. Every scan is linear in the text's length.
 """
@@ -182,7 +182,7 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     added: list[Span] = []
     for kind, s, e in detect(mapped.text):
         s, e = mapped.source(s, e)
-        if not any(k == kind and s < y and x < e for k, x, y in base):
+        if not any(k == kind and x <= s and e <= y for k, x, y in base):
             added.append((kind, s, e))
     return base, added
 
