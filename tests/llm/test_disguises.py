@@ -23,3 +23,14 @@ def test_wider_disguised_spans_stay_beside_plain_ones(text, plain, whole):
 
 def test_spans_within_plain_ones_are_not_added():
     assert pii.find("j\u043e, a.b@example.org") == ([("email", 4, 19)], [])
+
+
+@pytest.mark.parametrize(
+    "whole",
+    ["john [dot] doe [at] example [dot] com", "john dot doe at example dot com", "a.b (dot) c [at] example.com", "j [dot] r [dot] doe (at) example (dot) com"],
+)
+def test_dots_of_a_disguised_local_part(whole):
+    text = f"mail: {whole} now"
+    base, added = pii.find(text)
+    assert base == [] and [(k, text[s:e]) for k, s, e in added] == [("email", whole)]
+    assert pii.redact(text, added) == "mail: [EMAIL] now"

@@ -60,6 +60,7 @@ _AT = rf"(?P<at>\s{{0,2}}{_OPEN}(?:at|@|arroba){_CLOSE}\s{{0,2}}|\s{{1,2}}at\s{{
 _DOT = rf"(?:\s{{0,2}}{_OPEN}(?:dot|\.|punkt|point|punto){_CLOSE}\s{{0,2}}|\s{{1,2}}dot\s{{1,2}}|\.)"
 _ADDRESS = re.compile(rf"(?<=[a-z0-9_%+-]){_AT}(?P<host>[a-z0-9-]{{1,63}}(?:{_DOT}[a-z0-9-]{{1,63}})+)")
 _DOTS = re.compile(_DOT)
+_LOCAL_DOT = re.compile(rf"(?<=[a-z0-9_%+-])(?P<dot>{_DOT})[a-z0-9_%+-]{{1,64}}$")  # before the end of a local part
 _WORD = "|".join(sorted(_VALUE, key=len, reverse=True))
 _RUN = re.compile(rf"\b(?:(?:plus|\+)\s{{0,2}})?(?:{_WORD})(?:[\s,.-]{{1,3}}(?:(?:dot|point|punkt|punto)[\s,.-]{{1,3}})?(?:{_WORD}|[0-9]+))+\b")
 _STEP = re.compile(rf"plus|dot|point|punkt|punto|\+|[0-9]+|{_WORD}|[\s,.-]+")
@@ -120,6 +121,7 @@ def disguises(text: str) -> tuple[str, list[Edit]]:
     if len(low) != len(text):  # a few capitals grow in lower case
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     if "dot" in low or any(c in low for c in "[({<"):
+        last = 0
         for m in _ADDRESS.finditer(low):
             sign, host = m["at"], m.start("host")
             dots = [(host + d.start(), host + d.end()) for d in _DOTS.finditer(m["host"])]
@@ -129,6 +131,13 @@ def disguises(text: str) -> tuple[str, list[Edit]]:
             if sign != "@":
                 edits.append((m.start("at"), m.end("at"), "@"))
             edits += [(s, e, ".") for s, e in veiled]
+            end = m.start("at")
+            while d := _LOCAL_DOT.search(low[max(last, end - 100) : end]):  # dots of the local part, from its end
+                at = max(last, end - 100) + d.start("dot")
+                if len(d["dot"]) > 1:
+                    edits.append((at, at + len(d["dot"]), "."))
+                end = at
+            last = m.end()
     for m in _RUN.finditer(low):
         steps = [(s.group(), m.start() + s.start(), m.start() + s.end()) for s in _STEP.finditer(m[0])]
         for i, (word, s, e) in enumerate(steps):
