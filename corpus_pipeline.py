@@ -9,6 +9,10 @@ read again as the next one's docs. All but the last return the columns of ``docu
 3. decontamination leaves out documents that the benchmark contaminates; others stay as they are.
 4. personal_data replaces personal data, plain or disguised, in the texts and renews n_chars.
 5. packing returns the pieces with their places in the sequences.
+
+Null and empty texts have no letter and go in stage 1, like rows of an unknown language. Rows that repeat an id are documents of
+their own; of equal or similar texts the smallest id stays, a null id before all, then the row read first. No documents give no
+rows at every stage. Columns beside those of ``documents`` pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -19,9 +23,9 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import Workspace, read_table
 from veilframe.llm.decontaminate import decontaminate
 from veilframe.llm.langid import keep_languages
-from veilframe.llm.near_copies import near_copy_groups
 from veilframe.llm.packing import pack_documents
 from veilframe.llm.pii import redact_documents
+from veilframe.llm.simhash import simhash_groups
 from veilframe.llm.tokens import default_path
 
 LEAST_SCORE = 0.2  # of a language; a document below it resembles none
@@ -33,8 +37,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = docs.withColumn("_veil_row", F.monotonically_increasing_id())  # parts rows that repeat an id
+    numbered = Workspace(spark, "numbered").table(numbered, "rows")  # read twice, so the numbers must stay
     keyed = numbered.select(F.struct("doc_id", "_veil_row").alias("key"), "text")
-    copies = near_copy_groups(keyed, "key").where("key <> component_id").select("key._veil_row")
+    copies = simhash_groups(keyed, "key", words=5, similarity=0.8).where("key <> component_id").select("key._veil_row")
     return numbered.join(copies, "_veil_row", "left_anti").select(*docs.columns)
 
 

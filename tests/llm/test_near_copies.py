@@ -6,17 +6,22 @@ import pytest
 from tests.llm.conftest import ODD
 from tests.llm.test_pairs import groups
 
-from veilframe.llm import near_copies
+from veilframe.llm import near_copies, simhash
 
 
-def brute_groups(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0]))
+def brute_roots(rows):
+    """Of sorted rows, the first row of each row's group."""
     sets = []
     for _, text in rows:
         w = (text or "").encode().lower().split()
         sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0]
-    return [(rows[i][0], rows[r][0]) for i, r in enumerate(groups(len(rows), links))]
+    return groups(len(rows), links)
+
+
+def brute_groups(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0]))
+    return [(rows[i][0], rows[r][0]) for i, r in enumerate(brute_roots(rows))]
 
 
 def planted():
@@ -34,16 +39,37 @@ def planted():
 
 def test_near_copies_equal_brute_force(spark, docs):
     rows = planted()
-    got = near_copies.near_copy_groups(docs(rows)).collect()
+    got = simhash.simhash_groups(docs(rows), words=5, similarity=0.8).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == brute_groups(rows)
 
 
 def test_near_copies_odd_rows(spark, docs):
     rows = [r for r in ODD if r[0] is not None]
-    got = near_copies.near_copy_groups(docs(rows)).collect()
+    got = simhash.simhash_groups(docs(rows), words=5, similarity=0.8).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == brute_groups(rows)
-    assert near_copies.near_copy_groups(docs(ODD)).count() == len(ODD)
-    assert near_copies.near_copy_groups(docs([])).count() == 0
+    assert simhash.simhash_groups(docs(ODD), words=5, similarity=0.8).count() == len(ODD)
+    assert simhash.simhash_groups(docs([]), words=5, similarity=0.8).count() == 0
+
+
+def test_shingles_are_those_of_the_words():
+    f = near_copies.Shingler()
+    for text in (b"", b" \n", b"one", b"A b c D e", b"a b c d e f", b"x y " * 9000, "é ü ñ ß 日本語 \U0001f600 ".encode() * 3):
+        w = text.lower().split()
+        plain = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+        assert len(f(text)) == len(plain)
+    assert set(f(b"a b c d e f").tolist()) & set(f(b"q a  b c d\te").tolist()) and len(f(b"ab c d e f")) == len(f(b"a bc d e f")) == 1
+    assert set(f(b"ab c d e f").tolist()) != set(f(b"a bc d e f").tolist())
+
+
+def test_fingerprint_and_pivots_lose_no_pair_of_the_similarity():
+    rng = random.Random(8)
+    f = near_copies.Shingler(1)
+    for n in (5, 10, 45, 300):
+        for _ in range(200):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            other = base[: n - n // 9] + [f"x{rng.randrange(10**6)}" for _ in range(n // 9)] if n > 9 else base[:-(n // 5)]
+            a, b = (near_copies.wide_fingerprint(f(" ".join(t).encode())) for t in (base, other))
+            assert near_copies._apart(a, b) <= near_copies.RADIUS
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])

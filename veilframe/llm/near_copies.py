@@ -1,12 +1,16 @@
-"""Near copies by the exact Jaccard similarity of their word shingles.
-
-Texts with the same set of shingles are merged first. MinHash signatures of ``BANDS`` bands of ``ROWS`` values
-propose the pairs: one of similarity ``s`` shares no band with probability (1 - s^4)^30, 1.4e-7 at 0.8 and less
-above. Of a band's bucket, pairs whose sizes or sketches (a bit of each MinHash) rule out the similarity are left out; the
-others are verified on the shingles themselves. A first round links each row with two centres of its buckets; the
-second verifies all pairs that are not yet in one component, so a large group never gives all its pairs.
-
-Null and empty texts have no shingle and are copies of each other; null ids keep their row.
+"""SimHash near-duplicates at a similarity of word shingles: the operator's form beyond a few differing bits.
+
+A text's shingles are a set; texts with the same set are merged first. Each set has a SimHash fingerprint of 128 bits.
+At a Jaccard similarity of 0.8 two fingerprints differ in about 19 bits, where bit blocks lose most pairs (see
+README), so bands of MinHash values propose the pairs: of ``BANDS`` bands of ``ROWS`` values, one of similarity ``s``
+shares none with probability (1 - s^4)^30, 1.4e-7 at 0.8 and less above. A bucket's rows then have a pivot table:
+Hamming distances to reference fingerprints of the bucket. Pairs whose sizes rule out the similarity, or whose
+distances to any pivot differ by more than ``RADIUS``, or whose fingerprints do, are discarded; survivors are verified on the
+shingles themselves. A first round links each row with two centres of its buckets; the second verifies
+all pairs that are not yet in one component, so a large group never gives all its pairs.
+
+Null and empty texts have no shingle and are copies of each other; null ids keep their row; rows that repeat an id and a
+text are copies. Shingles are compared by a 64-bit hash. No documents give no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,21 +22,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, as_bytes, partitions_for, run_starts, sorted_runs
+from .common import Workspace, as_bytes, run_starts, sorted_runs
 from .components import connected_components
-from .simhash import pivots, settled, shingle_hashes
+from .simhash import pivots, settled
 
 WORDS = 5
 FIFTHS = 4  # least similarity: four fifths
 BANDS, ROWS = 30, 4
-SKETCH = 40  # of 120 bits; a pair of similarity 0.8 differs in 12 on average and in more than 40 with probability 4e-11
+RADIUS = 44  # of 128 bits; a pair of similarity 0.8 differs in 19 on average, in more than 44 with probability under 1e-6 (1e-5 for sets of five)
+PIVOTS = 8
 CELLS = 1 << 20
 
-_FACTORS = pivots(BANDS * ROWS + ROWS) | np.uint64(1)
+_RANDOM = pivots(BANDS * ROWS + ROWS + 257) | np.uint64(1)
+_FACTORS, _BYTES, _BASE = _RANDOM[: BANDS * ROWS + ROWS], _RANDOM[-257:-1], int(_RANDOM[-1])
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: bytes | None) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, WORDS), np.uint64))
+class Shingler:
+    """Hashes of all word shingles of a text at once: differences of one prefix sum of a polynomial over its bytes."""
+
+    def __init__(self, words: int = WORDS):
+        self.words = words
+        self.up, self.down = _powers(_BASE, 1 << 12), _powers(_INVERSE, 1 << 12)
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        """The set of a text's shingles; of the whole where it has fewer words, none without words."""
+        plain = b" ".join((text or b"").lower().split())
+        if not plain:
+            return np.empty(0, np.uint64)
+        raw = np.frombuffer(plain, np.uint8)
+        while len(raw) > len(self.up):
+            self.up, self.down = (_powers(b, 2 * len(self.up)) for b in (_BASE, _INVERSE))
+        gaps = np.flatnonzero(raw == 32)
+        starts, ends = np.append(0, gaps + 1), np.append(gaps, len(raw))
+        take = max(1, len(starts) - self.words + 1)
+        starts, ends = starts[:take], ends[-take:]
+        prefix = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTES[raw] * self.down[: len(raw)], out=prefix[1:])
+        h = (prefix[ends] - prefix[starts]) * self.up[starts] + (ends - starts).astype(np.uint64)
+        h = np.sort(mixed(h))
+        return h[np.append(True, h[1:] != h[:-1])]
 
 
 def signature(h: np.ndarray) -> np.ndarray:
@@ -43,35 +84,45 @@ def signature(h: np.ndarray) -> np.ndarray:
     return least
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, n, bands, left, right): hash and size of the set of shingles, band values and the sketch."""
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """The bitwise majority of 128 bits of each hash, as two words."""
+    total = np.zeros(128, np.int64)
+    for k in range(0, len(h), 1 << 14):
+        part = np.stack([h[k : k + (1 << 14)], mixed(~h[k : k + (1 << 14)])], axis=1)
+        total += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64)
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
+    """(id, fp, n, bands, left, right): hash and size of the set of shingles, band values and the SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        shingles = Shingler(words)
         for b in batches:
             fp, n, bands, bits = [], [], [], []
             for t in as_bytes(b.column(1)):
                 h = shingles(t)
-                s = signature(h)
-                fp.append(xxh64_intdigest(h.tobytes(), WORDS))
+                fp.append(xxh64_intdigest(h.tobytes(), words))
                 n.append(len(h))
-                bands.append((s.reshape(BANDS, ROWS) * _FACTORS[BANDS * ROWS :]).sum(axis=1, dtype=np.uint64))
-                bits.append(np.packbits(np.append((s >> np.uint64(33)) & np.uint64(1), np.zeros(8)).astype(np.uint8)).view(np.int64))
+                bands.append((signature(h).reshape(BANDS, ROWS) * _FACTORS[BANDS * ROWS :]).sum(axis=1, dtype=np.uint64))
+                bits.append(wide_fingerprint(h).view(np.int64))
             flat = pa.array(np.concatenate([*bands, np.empty(0, np.uint64)]).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), flat)
-            sketch = np.array(bits, np.int64).reshape(-1, 2)
-            columns = [b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists, pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())]
+            wide = np.array(bits, np.int64).reshape(-1, 2)
+            columns = [b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists, pa.array(wide[:, 0].copy()), pa.array(wide[:, 1].copy())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "n", "bands", "left", "right"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, n int, bands array<long>, left long, right long")
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
+def shingle_sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
     """texts(fp, text) -> (fp, h array<long>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(words)
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
@@ -89,13 +140,17 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from t.filter(pa.array(np.repeat(sizes > 1, sizes))).combine_chunks().to_batches()
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
+
+
 def _pair_pass(full: bool):
     """Rows (k, v, fp, n, left, right, root) sorted by bucket -> candidate pairs of different roots: each row with two centres, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_runs(batches, ["k", "v"]):
             k, v, fp, n, left, right, root = (t.column(c).to_numpy() for c in ("k", "v", "fp", "n", "left", "right", "root"))
-            left, right = left.view(np.uint64), right.view(np.uint64)  # of signed ones, the bits of the absolute value are counted
+            wide = np.stack([left, right], axis=1).view(np.uint64)
             starts = run_starts(k, v)
             found = []
             for s, e in zip(starts[:-1], starts[1:], strict=True):
@@ -103,15 +158,19 @@ def _pair_pass(full: bool):
                 if len(own[0]) < 2:
                     continue
                 rows = np.arange(s, e)
+                refs = wide[s : e : max(1, (e - s) // PIVOTS)][:PIVOTS] if e - s > PIVOTS else wide[:0]
+                table = _apart(wide[s:e, None], refs[None])  # of the bucket's rows, to its pivots
                 one = np.flatnonzero(root[s:e] != own[0][own[1].argmax()]) + s if full else np.unique([s, s + (e - s) // 2])  # pairs within the largest root need no look
                 step = max(1, CELLS // (e - s))
                 for at in range(0, len(one), step):
                     x = one[at : at + step, None]
                     near = (root[x] != root[None, rows]) & (5 * np.minimum(n[x], n[None, rows]) >= FIFTHS * np.maximum(n[x], n[None, rows]))
+                    for p in range(table.shape[1]):
+                        near &= np.abs(table[x - s, p] - table[None, :, p]) <= RADIUS
                     i, j = np.nonzero(near)
                     i, j = x[i, 0], rows[j]
-                    far = np.bitwise_count(left[i] ^ left[j]) + np.bitwise_count(right[i] ^ right[j])
-                    i, j = i[far <= SKETCH], j[far <= SKETCH]
+                    close = _apart(wide[i], wide[j]) <= RADIUS
+                    i, j = i[close], j[close]
                     found.append(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])], axis=1))
             if found:
                 pairs = np.unique(np.concatenate(found), axis=0)
@@ -120,19 +179,18 @@ def _pair_pass(full: bool):
     return run
 
 
-def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """A row per document: id, fp of its set of shingles and component_id, the smallest id reachable by links of similarity 0.8 or more."""
     work = Workspace(docs.sparkSession, "near-copies")
-    signed = work.table(signatures(docs, id_col, text_col), "signed")
+    signed = work.table(signatures(docs, id_col, text_col, words), "signed")
     first = [F.first(c).alias(c) for c in ("n", "bands", "left", "right")]
     distinct = work.table(signed.groupBy("fp").agg(F.min("id").alias("least"), *first), "distinct")
-    n = partitions_for(work.spark)
-    dealt = lambda rows: rows.repartition(n, "k", "v").sortWithinPartitions("k", "v", "fp")
+    dealt = lambda rows: rows.repartition("k", "v").sortWithinPartitions("k", "v", "fp")
     buckets = distinct.select("fp", "n", "left", "right", F.posexplode("bands").alias("k", "v")).select("k", "v", "fp", "n", "left", "right")
     shared = work.table(dealt(buckets).mapInArrow(_shared, buckets.schema), "shared")
     involved = shared.select("fp").distinct().join(distinct.select("fp", "least"), "fp")
     texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text"))
-    sets = work.table(shingle_sets(involved.join(texts, "least")), "sets")
+    sets = work.table(shingle_sets(involved.join(texts, "least"), words), "sets")
     links, roots = None, None
     for full in (False, True):
         rows = shared.withColumn("root", F.col("fp"))

@@ -7,7 +7,10 @@ fingerprints is computed once; a pair whose distances to any pivot differ by mor
 discarded by the triangle inequality, the rest are verified. A bucket gives a spanning forest, never all
 its pairs; a bucket over ``TILE`` rows goes to a second stage as tiles of two chunks.
 
-Null or empty texts have fingerprint zero and link like any other; null ids keep their row.
+Null or empty texts have fingerprint zero and link like any other; null ids keep their row; rows that repeat an id each
+have a row, with the smallest id that any of their texts reaches. No documents give no rows; other columns are not looked at.
+
+Pairs within a bucket are tested all: with d distinct fingerprints about 15 d^2 / 2^21 pairs, which grows with the square.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, Workspace, as_bytes, partitions_for, run_starts, sorted_runs
+from .common import Forest, Workspace, as_bytes, run_starts, sorted_runs
 from .components import connected_components
 
 SEED = 42
@@ -190,15 +193,13 @@ def near_links(work: Workspace, distinct: DataFrame, radius: int = RADIUS, tile:
     """distinct(fp long, no repeats) -> (src, dst): links whose components are those of all pairs within ``radius`` (at most 4)."""
     if radius > 4:
         raise ValueError("the blocks lose no pair up to 4 differing bits")
-    spark = work.spark
     keys = []
     for k, pair in enumerate(combinations(BLOCKS, 2)):
         mask = sum(((1 << bits) - 1) << first for first, bits in pair)
         mask = mask - 2**64 if mask >= 2**63 else mask
         keys.append(F.struct(F.lit(k).cast("int").alias("k"), F.col("fp").bitwiseAND(F.lit(mask)).alias("v")))
     exploded = distinct.select("fp", F.explode(F.array(*keys)).alias("x")).select("x.k", "x.v", "fp")
-    n = partitions_for(spark)
-    found = exploded.repartition(n, "k", "v").sortWithinPartitions("k", "v", "fp").mapInArrow(_bucket_pass(radius, tile), "big boolean, k int, v long, chunk int, src long, dst long")
+    found = exploded.repartition("k", "v").sortWithinPartitions("k", "v", "fp").mapInArrow(_bucket_pass(radius, tile), "big boolean, k int, v long, chunk int, src long, dst long")
     found = work.table(found, "pairs")
     links = found.where("not big").select("src", "dst")
     big = found.where("big").select("k", "v", "chunk", F.col("src").alias("fp"))
@@ -207,7 +208,7 @@ def near_links(work: Workspace, distinct: DataFrame, radius: int = RADIUS, tile:
     sizes = big.groupBy("k", "v").agg(F.max("chunk").alias("last"))
     tiles = big.join(sizes, ["k", "v"]).select("k", "v", "chunk", "fp", F.explode(F.expr("sequence(0, last)")).alias("o"))
     tiles = tiles.select("k", "v", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "fp", "chunk")
-    across = tiles.repartition(n, "k", "v", "i", "j").sortWithinPartitions("k", "v", "i", "j").mapInArrow(_tile_pass(radius), "big boolean, k int, v long, chunk int, src long, dst long")
+    across = tiles.repartition("k", "v", "i", "j").sortWithinPartitions("k", "v", "i", "j").mapInArrow(_tile_pass(radius), "big boolean, k int, v long, chunk int, src long, dst long")
     return links.unionByName(across.select("src", "dst"))
 
 
@@ -220,10 +221,19 @@ def settled(work: Workspace, fps: DataFrame, distinct: DataFrame, roots: DataFra
     return fps.join(final, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """A row per document: id, fp (signed long) and component_id, the smallest id reachable by links of ``radius`` bits or fewer."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "simhash")
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = RADIUS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
+    """A row per document: id, fp (signed long) and component_id, the smallest id reachable by links of ``radius`` bits or fewer.
+
+    With ``similarity`` (0.8) links are pairs of that Jaccard similarity of their ``words``-word shingles or more, verified on
+    the shingles; see ``near_copies``.
+    """
+    if similarity is not None:
+        from .near_copies import FIFTHS, near_copy_groups
+
+        if similarity != FIFTHS / 5:
+            raise ValueError("the bands and the radius are set for a similarity of 0.8")
+        return near_copy_groups(docs, id_col, text_col, words)
+    work = Workspace(docs.sparkSession, "simhash")
     fps = work.table(fingerprints(docs, id_col, text_col, words), "fps")
     distinct = work.table(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = connected_components(work, near_links(work, distinct.select("fp"), radius, tile))
