@@ -51,7 +51,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licences
 
-    return scan_licences(read_table(spark, sf_dir, "documents"))
+    return scan_licences(read_table(spark, sf_dir, "documents")).drop("paragraphs")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
