@@ -5,18 +5,20 @@ consecutive words of an item (an item of fewer is one window). Words outside the
 break the scan at once; runs inside it are hashed with a rolling polynomial, looked up, and every hash hit is
 verified word by word. The scan needs no shuffle.
 
-The set is broadcast in blocks of ``block_bytes`` of benchmark text: a benchmark beyond one block is
-scanned block by block and the hits are merged by row, so no broadcast grows with the benchmark.
+The set is broadcast in blocks of about ``block_words`` words of benchmark text, as arrays (some 25 bytes a window, and the
+distinct words). A benchmark beyond one block is scanned block by block over numbered rows and the hits are merged by row, so
+no broadcast grows with the benchmark; an item longer than a block is cut into slices that overlap by a window less a word.
 
 Null and empty texts have no words and are never contaminated; items without words or id are left out;
-repeated items count once; repeated documents each keep a row.
+repeated items count once; repeated documents each keep a row. Without items no document is contaminated, without documents
+there are no rows; other columns of the documents pass through ``decontaminate``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -25,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import Workspace, as_bytes
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20
+BLOCK_WORDS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _FOLD = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
@@ -39,46 +41,72 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class WindowSet:
-    """Windows of the benchmark by length, as sorted rolling hashes with their exact words and items."""
+    """Windows of the benchmark by length: sorted rolling hashes, each with a place in the items' words and the items that hold it."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        exact: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        self.items = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.items)}
+        words, places, at = [], {}, 0
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                exact.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).add(item)
-        self.by_size = []
-        for size, windows in sorted(exact.items()):
-            grid = np.array(list(windows), np.int64).reshape(len(windows), size)
-            self.by_size.append((size, np.unique(rolling(grid.T)), {k: sorted(v) for k, v in windows.items()}))
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], np.int32)
+            if size := min(n, len(ids)):
+                words.append(ids)
+                places.setdefault(size, []).append((at, len(ids) - size + 1, number[item]))
+                at += len(ids)
+        self.words = np.concatenate([*words, np.empty(0, np.int32)])
+        self.by_size = [(size, *self._index(size, np.array(runs))) for size, runs in sorted(places.items())]
+
+    def _index(self, size: int, runs: np.ndarray) -> tuple:
+        """base, hashes of distinct windows, a place of each, and its items: owners[bounds[k] : bounds[k + 1]]."""
+        count = runs[:, 1]
+        place = np.repeat(runs[:, 0] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        owner = np.repeat(runs[:, 2], count).astype(np.int32)
+        base = BASE
+        while True:
+            h = rolling((self.words[place + k] for k in range(size)), base)
+            order = np.lexsort((owner, h))
+            first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+            sizes = np.diff(np.append(first, len(order)))
+            one = np.repeat(place[order[first]], sizes)
+            if all((self.words[place[order] + k] == self.words[one + k]).all() for k in range(size)):
+                break
+            base += np.uint64(2)  # two different windows of one hash
+        group = np.repeat(np.arange(len(first)), sizes)
+        new = np.append(True, (group[1:] != group[:-1]) | (owner[order][1:] != owner[order][:-1]))
+        return base, h[order[first]], place[order[first]], np.searchsorted(group[new], np.arange(len(first) + 1)), owner[order][new]
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, list[str]]:
         """Which words are hit, and the items that occur."""
-        hit = np.zeros(len(words), bool)
-        found: set[str] = set()
+        edge = np.zeros(len(words) + 1, np.int64)
+        found: list[np.ndarray] = []
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
         misses = np.concatenate([[0], np.cumsum(ids < 0)])
-        for size, hashes, exact in self.by_size:
+        for size, base, hashes, place, bounds, owners in self.by_size:
             if len(ids) < size:
                 continue
             at = np.flatnonzero(misses[size:] == misses[:-size])
             if not len(at):
                 continue
-            h = rolling([ids[at + k] for k in range(size)])
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for i in at[hashes[place] == h].tolist():
-                if items := exact.get(tuple(ids[i : i + size].tolist())):
-                    hit[i : i + size] = True
-                    found.update(items)
-        return hit, sorted(found)
-
-
-def rolling(columns) -> np.ndarray:
-    total = np.zeros(len(columns[0]), np.uint64)
+            h = rolling((ids[at + k] for k in range(size)), base)
+            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            same = hashes[k] == h
+            at, k = at[same], k[same]
+            exact = np.ones(len(at), bool)
+            for j in range(size):
+                exact &= self.words[place[k] + j] == ids[at + j]
+            at, k = at[exact], np.unique(k[exact])
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + size, -1)
+            found += [owners[bounds[w] : bounds[w + 1]] for w in k.tolist()]
+        names = np.unique(np.concatenate(found)).tolist() if found else []
+        return np.cumsum(edge[:-1]) > 0, [self.items[k] for k in names]
+
+
+def rolling(columns: Iterable[np.ndarray], base: np.uint64) -> np.ndarray:
+    total = np.zeros(1, np.uint64)
     for c in columns:
-        total = total * BASE + np.asarray(c).astype(np.uint64) + np.uint64(1)
+        total = total * base + c.astype(np.uint64) + np.uint64(1)
     return total
 
 
@@ -122,25 +150,43 @@ def _scan_block(source: DataFrame, items: list[tuple[str, bytes]], n: int, kind:
     return source.mapInArrow(run, _HITS.format(kind=kind))
 
 
-def benchmark_blocks(bench: DataFrame, block_bytes: int, item_col: str = "item_id", item_text: str = "text"):
+def benchmark_blocks(bench: DataFrame, block_words: int, n: int = WINDOW, item_col: str = "item_id", item_text: str = "text"):
     """A function that gathers the items of block k, and the number of blocks."""
+    step = max(n, block_words // 8)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+                words = words_of(text)
+                rows += [(item, k, b" ".join(part), len(part)) for k in range(0, max(1, len(words) - n + 1), step) if (part := words[k : k + step + n - 1])]
+            kinds = (pa.string(), pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["item", "first", "words", "n"])
+
     items = bench.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
-    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    items = items.withColumn("block", F.expr(f"pmod(xxhash64(item), {blocks})"))
-    return lambda k: [(r.item, r.text.encode()) for r in items.where(F.col("block") == k).collect()], blocks
+    items = Workspace(bench.sparkSession, "benchmark").table(items.mapInArrow(slices, "item string, first long, words binary, n long"), "items")
+    blocks = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // block_words))
+    items = items.withColumn("block", F.expr(f"pmod(xxhash64(item, first), {blocks})"))
+    return lambda k: [(r.item, bytes(r.words)) for r in items.where(F.col("block") == k).collect()], blocks
 
 
-def find_contamination(docs: DataFrame, bench: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, bench: DataFrame, n: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row per document: rid (row number), id, n_words, spans (word ranges that occur in the benchmark, end exclusive), items."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    part, blocks = benchmark_blocks(bench, block_bytes, item_col, item_text)
+    part, blocks = benchmark_blocks(bench, block_words, n, item_col, item_text)
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if blocks > 1:  # read once a block, so the numbers must stay
+        numbered = Workspace(docs.sparkSession, "contamination").table(numbered, "rows")
+    return _find(numbered, part, blocks, n)
+
+
+def _find(source: DataFrame, part, blocks: int, n: int) -> DataFrame:
+    kind = source.schema["id"].dataType.simpleString()
     out = _scan_block(source, part(0), n, kind, True)
     if blocks == 1:
         return out
     for k in range(1, blocks):
         out = out.unionByName(_scan_block(source, part(k), n, kind, False))
-    merged = out.groupBy("rid").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = out.groupBy("rid").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # at most a row a block
     joined = """aggregate(spans, cast(array() as array<struct<first:long,end:long>>), (done, x) ->
         CASE WHEN size(done) > 0 AND element_at(done, -1).end >= x.first
              THEN concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, 'end', greatest(element_at(done, -1).end, x.end))))
@@ -154,7 +200,7 @@ def measure(hits: DataFrame, share: int = 20) -> DataFrame:
     return hits.withColumn("n_hit", hit).withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, action: str = "drop", n: int = WINDOW, share: int = 20, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, action: str = "drop", n: int = WINDOW, share: int = 20, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without contamination, in their own columns.
 
     ``drop`` leaves out contaminated documents and keeps the others as they are; ``remove`` keeps every
@@ -162,12 +208,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, action: str = "drop", n: in
     """
     if action not in ("drop", "remove"):
         raise ValueError(f"unknown action {action}")
-    items, blocks = benchmark_blocks(bench, block_bytes)
+    items, blocks = benchmark_blocks(bench, block_words, n)
     if blocks == 1:
         return _judge(docs, items(0), action, n, share, text_col)
     mark = "_veil_rid"
-    hits = measure(find_contamination(docs, bench, n, block_bytes, id_col, text_col), share)
-    numbered = docs.withColumn(mark, F.monotonically_increasing_id())
+    numbered = Workspace(docs.sparkSession, "contamination").table(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
+    hits = measure(_find(numbered.select(F.col(mark).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), items, blocks, n), share)
     if action == "drop":
         bad = hits.where("contaminated").select(F.col("rid").alias(mark))
         return numbered.join(bad, mark, "left_anti").select(*docs.columns)
