@@ -6,11 +6,12 @@ inequality bounds how near the cell border a vector must be to reach a partner b
 ((cos_home - cos_other) / |p_home - p_other| <= r), and only those are replicated to that cell. Every cell then
 joins on its own: a vector counts its links in its home cell, where all its partners are present, so
 nothing is counted twice. The number of pivots of a group is the largest whose measured mean
-replication stays within ``max_copies``. A cell over the tile size is dealt out as pairs of chunks.
+replication stays within ``max_copies``. A cell of more than ``cell`` vectors is dealt out as pairs of chunks of that size, so a
+task's memory does not grow with the corpus (the number of its tiles does, with the square of a cell's size).
 
 Vectors that are null, zero, or hold null or non-finite components, and rows with a null label, link with
 nothing. Rows with a null vec_id count links but join no component (component_id null). Rows that share a
-vec_id are one node.
+vec_id are one node. No vectors give no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,20 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, Workspace, partitions_for, run_starts, sorted_runs
+from .common import Forest, Workspace, run_starts, sorted_runs
 from .components import connected_components
 
 COSINE = 0.98
 CELL = 4096
-MAX_GROUPS = 1024  # groups that get pivots: the largest ones
+MAX_GROUPS = 1024  # groups that get pivots: the largest ones; the others are one cell each, dealt as tiles
 SAMPLE = 20_000  # vectors from which pivots are drawn
 MAX_PIVOTS = 64  # of a group
+PIVOT_NUMBERS = 4 << 20  # components of all pivots: 32 MiB of broadcast
 TILE_KEY = ["label", "dim", "cell", "a", "b"]
-MAX_TILED = 4096  # cells that are tiled at most; the tile size follows from it
+MAX_BROADCAST = 200_000  # rows of the table of large cells up to which it is broadcast
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    scaled = rows / np.abs(rows).max(axis=1, keepdims=True)  # the squares of very large or small components leave the range
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def reach(units: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +72,9 @@ def choose_pivots(sample: np.ndarray, size: int, radius: float, cell: int, max_c
 _CELLS = "rid long, vec_id {kind}, label {label}, dim int, cell int, own boolean, vec binary"
 
 
-def _assign(pivots: dict, radius: float, width: str):
+def _assign(shared, radius: float, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = shared.value
         for b in batches:
             rid, vec_id, label, dim, ok, emb = b.columns
             flat = emb.flatten().to_numpy(zero_copy_only=False)
@@ -153,20 +157,26 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
         by_group: dict = {}
         for r in drawn.select("label", "dim", "e").collect():
             by_group.setdefault((r.label, r.dim), []).append(r.e)
+        room = PIVOT_NUMBERS
         for r in big:
+            if r.dim * MAX_PIVOTS > room:
+                break
             if (rows := by_group.get((r.label, r.dim))) and (found := choose_pivots(unit(np.array(rows)), r["count"], radius, cell, max_copies)) is not None:
                 pivots[r.label, r.dim] = found
+                room -= found.size
     kinds = {"kind": vectors.schema[id_col].dataType.simpleString(), "label": vectors.schema[label_col].dataType.simpleString()}
-    cells = work.table(base.mapInArrow(_assign(pivots, radius, width), _CELLS.format(**kinds)), "cells")
+    cells = work.table(base.mapInArrow(_assign(spark.sparkContext.broadcast(pivots), radius, width), _CELLS.format(**kinds)), "cells")
     placed = cells.where("cell is not null").withColumn("node", F.col("vec_id").cast("long"))
-    tile = max(cell, -(-placed.count() // MAX_TILED))
-    sizes = placed.groupBy("label", "dim", "cell").count().where(F.col("count") > tile).withColumn("chunks", F.ceil(F.col("count") / tile).cast("int")).drop("count")
+    sizes = placed.groupBy("label", "dim", "cell").count().where(F.col("count") > cell).withColumn("chunks", F.ceil(F.col("count") / cell).cast("int")).drop("count")
+    sizes = work.table(sizes, "sizes")
+    if sizes.count() <= MAX_BROADCAST:
+        sizes = F.broadcast(sizes)
     chunk = F.expr("cast(pmod(xxhash64(rid), coalesce(chunks, 1)) as int)")
-    dealt = placed.join(F.broadcast(sizes), ["label", "dim", "cell"], "left").withColumn("chunk", chunk)  # at most MAX_TILED cells
+    dealt = placed.join(sizes, ["label", "dim", "cell"], "left").withColumn("chunk", chunk)
     role = lambda left, a, b: f"transform(sequence(0, coalesce(chunks, 1) - 1), o -> named_struct('a', {a}, 'b', {b}, 'left', {left} or chunk = o and own, 'right', not {left} or chunk = o))"
     dealt = dealt.withColumn("tile", F.explode(F.expr(f"concat({role('false', 'o', 'chunk')}, filter({role('true', 'chunk', 'o')}, x -> own and x.a <> x.b))")))
     dealt = dealt.select("label", "dim", "cell", "tile.a", "tile.b", "tile.left", "tile.right", "rid", "node", "vec")
-    joined = dealt.repartition(partitions_for(spark), *TILE_KEY).sortWithinPartitions(*TILE_KEY).mapInArrow(_join_cells(cosine, width), "rid long, n long, src long, dst long")
+    joined = dealt.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY).mapInArrow(_join_cells(cosine, width), "rid long, n long, src long, dst long")
     joined = work.table(joined, "joined")
     counts = work.table(joined.where("rid is not null").groupBy("rid").agg(F.sum("n").alias("n")), "counts")
     roots = connected_components(work, joined.where("src is not null and dst is not null").select("src", "dst"))

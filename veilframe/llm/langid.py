@@ -7,6 +7,8 @@ profile length. The nearest profile wins; equal distances go to the first langua
 
 Profiles are counted over at most ``TRAIN_DOCS`` training documents (drawn by hash, expected number), whole texts.
 Null texts and texts without a letter are ``und`` with score 0, and so is every text if nothing was learned.
+Rows that repeat an id are predicted each; no documents give no rows; other columns pass through ``identify``, those named
+like its results are replaced.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ however large the corpus. Pieces take their places by rank within their length:
 counts by task gives the ranks, without bringing any length to one task.
 
 Documents end with ``end_id``; only those over the capacity are cut, into full pieces after a first one that
-may be shorter. Null texts are empty documents (one token); repeated rows are packed each.
+may be shorter. Null texts are empty documents (one token); repeated rows are packed each. No documents give no rows;
+other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ digits. They give edits (source start, source end, replacement); the normalised
 detection runs on it again, and found spans are mapped back through the edits to source code points. A span
 found this way is added unless it lies within a plain span of its kind; plain spans always stay, so spans may overlap.
 
-Nulls are empty texts. Every scan is linear in the text's length.
+Nulls are empty texts. Every scan is linear in the text's length. Rows that repeat an id have a row each; no documents give no
+rows; other columns pass through ``redact_documents``. A sign or dot spelled without brackets counts only before a known
+last label, so prose such as "look at this dot and" stays.
 """
 
 from __future__ import annotations
@@ -51,18 +53,24 @@ _SPELLED = (
 _VALUE = {w: str(i) for words in _SPELLED for i, w in enumerate(words.split())} | {"oh": "0"}
 
 _GLYPHS = {ord(k): v for k, v in _LOOKALIKES.items()}
-_GLYPHS |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+for _c in range(0x80, 0x1FC00):  # compatibility forms of one ASCII character: full width, mathematical, circled letters, spaces
+    _form = unicodedata.normalize("NFKC", chr(_c))
+    if len(_form) == 1 and _form.isascii() and unicodedata.category(chr(_c)) != "No":
+        _GLYPHS.setdefault(_c, _form)
 _GLYPHS |= {c: str(unicodedata.decimal(chr(c))) for c in range(0x80, 0x1FC00) if unicodedata.category(chr(c)) == "Nd"}
-_GLYPH = re.compile("[" + "".join(map(re.escape, map(chr, sorted(_GLYPHS)))) + "]")
+_GLYPH = frozenset(map(chr, _GLYPHS))
 _HIDDEN = re.compile("[­​-‍⁠﻿]")
 _OPEN, _CLOSE = r"[\[({<]\s{0,2}", r"\s{0,2}[\])}>]"
-_AT = rf"(?P<at>\s{{0,2}}{_OPEN}(?:at|@|arroba){_CLOSE}\s{{0,2}}|\s{{1,2}}at\s{{1,2}}|@)"
-_DOT = rf"(?:\s{{0,2}}{_OPEN}(?:dot|\.|punkt|point|punto){_CLOSE}\s{{0,2}}|\s{{1,2}}dot\s{{1,2}}|\.)"
+_AT = rf"(?P<at>\s{{0,2}}{_OPEN}(?:at|@|arroba){_CLOSE}\s{{0,2}}|\s{{1,2}}(?:at|arroba)\s{{1,2}}|@)"
+_DOT = rf"(?:\s{{0,2}}{_OPEN}(?:dot|\.|punkt|point|punto){_CLOSE}\s{{0,2}}|\s{{1,2}}(?:dot|punkt|punto)\s{{1,2}}|\.)"
+# Last labels of hosts that a sign spelled without brackets must have
+_LAST = frozenset("com org net edu gov mil int info biz io co ai app dev tv cc eu de fr es nl ch pl pt se fi dk ie uk ca au nz br mx ar cl jp cn ru za".split())
 _ADDRESS = re.compile(rf"(?<=[a-z0-9_%+-]){_AT}(?P<host>[a-z0-9-]{{1,63}}(?:{_DOT}[a-z0-9-]{{1,63}})+)")
 _DOTS = re.compile(_DOT)
 _LOCAL_DOT = re.compile(rf"(?<=[a-z0-9_%+-])(?P<dot>{_DOT})[a-z0-9_%+-]{{1,64}}$")  # before the end of a local part
 _WORD = "|".join(sorted(_VALUE, key=len, reverse=True))
-_RUN = re.compile(rf"\b(?:(?:plus|\+)\s{{0,2}})?(?:{_WORD})(?:[\s,.-]{{1,3}}(?:(?:dot|point|punkt|punto)[\s,.-]{{1,3}})?(?:{_WORD}|[0-9]+))+\b")
+_SEP = r"[\s,.-]{1,3}(?:(?:dot|point|punkt|punto)[\s,.-]{1,3})?"
+_RUN = re.compile(rf"\b(?:(?:plus|\+)\s{{0,2}})?(?:(?<![0-9])(?:[0-9]{{1,19}}{_SEP}){{1,8}})?(?:{_WORD})(?:{_SEP}(?:{_WORD}|[0-9]+))*\b")
 _STEP = re.compile(rf"plus|dot|point|punkt|punto|\+|[0-9]+|{_WORD}|[\s,.-]+")
 
 
@@ -114,19 +122,22 @@ def disguises(text: str) -> tuple[str, list[Edit]]:
     """The text with homoglyphs replaced (same length), and the edits that undo the other disguises."""
     edits: list[Edit] = []
     if not text.isascii():
-        if _GLYPH.search(text):
+        if not _GLYPH.isdisjoint(text):
             text = text.translate(_GLYPHS)
         edits += [(*m.span(), "") for m in _HIDDEN.finditer(text)]
     low = text.lower()
     if len(low) != len(text):  # a few capitals grow in lower case
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    if "dot" in low or any(c in low for c in "[({<"):
+    if any(c in low for c in "[({<") or "dot" in low or "punkt" in low or "punto" in low or "arroba" in low:
         last = 0
         for m in _ADDRESS.finditer(low):
             sign, host = m["at"], m.start("host")
             dots = [(host + d.start(), host + d.end()) for d in _DOTS.finditer(m["host"])]
             veiled = [(s, e) for s, e in dots if e - s > 1]
-            if not (veiled or (sign != "@" and any(c in sign for c in "[({<"))):
+            bracketed = any(c in sign for c in "[({<")
+            if not (veiled or bracketed or "arroba" in sign):
+                continue
+            if sign != "@" and not bracketed and m["host"][dots[-1][1] - host :] not in _LAST:
                 continue
             if sign != "@":
                 edits.append((m.start("at"), m.end("at"), "@"))
@@ -139,7 +150,11 @@ def disguises(text: str) -> tuple[str, list[Edit]]:
                 end = at
             last = m.end()
     for m in _RUN.finditer(low):
+        if m[0] in _VALUE:
+            continue
         steps = [(s.group(), m.start() + s.start(), m.start() + s.end()) for s in _STEP.finditer(m[0])]
+        if sum(w in _VALUE or w.isdigit() for w, _, _ in steps) < 2:
+            continue
         for i, (word, s, e) in enumerate(steps):
             if word in _VALUE:
                 edits.append((s, e, _VALUE[word]))
@@ -147,7 +162,7 @@ def disguises(text: str) -> tuple[str, list[Edit]]:
                 edits.append((s, e, "+"))
             elif word in ("dot", "point", "punkt", "punto"):
                 edits.append((s, e, "."))
-            elif not word.isdigit() and word != "+":
+            elif not word.isdigit() and word not in ("+", "."):
                 beside = [steps[k][0] for k in (i - 1, i + 1) if 0 <= k < len(steps)]
                 if any(b in _VALUE or not b.isdigit() for b in beside):
                     edits.append((s, e, ""))

@@ -6,7 +6,8 @@ level from gradient histograms under the logistic loss, and flattens them into a
 
 The trees are fitted to at most ``TRAIN_ROWS`` labelled rows (drawn by hash, expected number); held-out rows are never
 used. Null and empty texts have statistics of zero and get a score like any other. Without labelled rows
-every score is 0.5.
+every score is 0.5; labels without a document and null labels are left out. Rows that repeat an id are scored each; no
+documents give no rows; other columns pass through ``score_quality``, those named like its results are replaced.
 """
 
 from __future__ import annotations
@@ -133,11 +134,12 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, id_col: str = "doc_id", label_col: str = "quality") -> Trees:
-    """Trees fitted to the documents' labels; a document with several label rows has their mean, rounded."""
+    """Trees fitted to the documents' labels; a document with several label rows has their mean, rounded; of texts that share an id one is learned from."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.round(F.avg(label_col)).alias("y"))
     share = int(min(1.0, most_rows / max(1, known.count())) * (1 << 30))
     known = known.where(F.expr(f"pmod(xxhash64({id_col}), {1 << 30}) < {share}"))
-    rows = with_statistics(docs.select(id_col, "text").join(known, id_col).select("y", "text")).select("y", "stats").collect()  # at most most_rows, expected
+    near = F.broadcast(known)  # most_rows, expected
+    rows = with_statistics(docs.select(id_col, "text").join(near, id_col).select(id_col, "y", "text")).groupBy(id_col).agg(F.min(F.struct("stats", "y")).alias("row")).select("row.*").collect()
     x = np.array([r.stats for r in rows]).reshape(len(rows), STATISTICS)
     return fit_trees(x, np.array([r.y for r in rows], float))
 

@@ -19,7 +19,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_pages
 
-    return archive_pages(read_table(spark, sf_dir, "pages")).drop("url")
+    return archive_pages(read_table(spark, sf_dir, "pages")).drop("url", "problem")
 
 
 def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

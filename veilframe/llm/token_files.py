@@ -8,7 +8,7 @@ order. Every task attempt writes a file of its own, and only the files of succes
 manifest, so lost executors and retries leave no half-written data in the result.
 
 Null ids come first, null texts are empty; documents with equal ids keep a row each, in a fixed order by
-their text's hash.
+their text's hash. No documents give no file and no rows; other columns are not written.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 WITH_CHECKSUMS = 0x80
 
+FILE_BYTES = 256 << 20  # of text in a file, about
+
 
 def _open(uri: str):
     from pyarrow import fs
@@ -141,7 +143,8 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str, end_id: int =
             yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "path": uri, "docs": len(writer.keys), "tokens": tokens}])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    rows = rows.repartitionByRange(partitions_for(docs.sparkSession), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    files = max(partitions_for(docs.sparkSession), -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // FILE_BYTES))
+    rows = rows.repartitionByRange(files, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
     found = sorted(rows.mapInArrow(run, "part long, path string, docs long, tokens long").collect(), key=lambda r: r.part)
     manifest, base = [], 0
     for r in found:

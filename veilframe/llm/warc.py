@@ -15,7 +15,8 @@ response, the others are revisit records that refer to it.
 
 A null html is an empty payload. Rows with a null page_id are archived and come back with a null id; they are
 the response only if no page with an id has their payload. Rows that repeat a page_id are records of their own;
-of equal largest ids, the later row is the response. Null urls give records without a target.
+of equal largest ids, the later row is the response. Null urls give records without a target. No pages
+give no rows; other columns are not archived. Reading expects this layout, one record between two parting frames.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions_for
+from .common import Workspace
 
 PART = b"P*M\x18\0\0\0\0"  # fixed value: an empty zstandard skippable frame
 SEGMENT_BYTES = 8192
@@ -117,8 +119,6 @@ def write_archives(pages: DataFrame, root: str, work: Workspace, segment_bytes:
     kept = work.table(kept, "equal-payloads")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         codec = zstandard.ZstdCompressor(level=3, write_checksum=True)
         for b in batches:
             out = []
@@ -148,14 +148,22 @@ def _finished(fields: dict[str, str], block: bytes, with_payload: bool) -> dict:
 
 
 def _unframed(data: bytes) -> bytes:
-    import zstandard
-
     return zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
 
 
-def read_archives(spark: SparkSession, root: str, with_payload: bool = False) -> DataFrame:
-    """A row per response or revisit of the archives under ``root``; the payload too if asked for."""
-    schema = PAGE + ", payload binary" * with_payload
+def read_archives(spark: SparkSession, root: str, with_payload: bool = False, report: bool = False) -> DataFrame:
+    """A row per response or revisit of the archives under ``root``; the payload too if asked for.
+
+    A record that cannot be read, a missing or orphan segment, a wrong total length or digest fails the job; with
+    ``report`` each gives a row of record_type ``damaged`` instead, with what is wrong in ``problem``.
+    """
+    schema = PAGE + ", problem string" + ", payload binary" * with_payload
+
+    def damaged(problem: Exception, origin: str | None = None) -> dict:
+        if not report:
+            raise problem
+        return {"record_type": "damaged", "problem": f"{origin}: {problem}" if origin else str(problem)}
+
     stored = spark.read.option("lineSep", PART.decode()).text(root).select(F.col("value").cast("binary").alias("frame"))
 
     def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,22 +171,30 @@ def read_archives(spark: SparkSession, root: str, with_payload: bool = False) ->
         for b in batches:
             out = []
             for frame in b.column(0).to_pylist():
-                fields, block = parse_record(_unframed(frame))
-                if "warc-segment-number" in fields:
-                    out.append({"origin": fields.get("warc-segment-origin-id", fields["warc-record-id"]), "segment": int(fields["warc-segment-number"]), "frame": frame})
-                elif fields["warc-type"] in ("response", "revisit"):
-                    out.append(_finished(fields, block, with_payload))
+                try:
+                    fields, block = parse_record(_unframed(frame))
+                    if "warc-segment-number" in fields:
+                        out.append({"origin": fields.get("warc-segment-origin-id", fields["warc-record-id"]), "segment": int(fields["warc-segment-number"]), "frame": frame})
+                    elif fields["warc-type"] in ("response", "revisit"):
+                        out.append(_finished(fields, block, with_payload))
+                except DAMAGE as e:
+                    out.append(damaged(e))
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([*ARROW, *[("payload", pa.binary())] * with_payload])
-        origin, parts, first, total = None, [], {}, None
+        origin, parts, first, total, missing, due = None, [], {}, None, 0, 1
 
         def whole() -> dict:
-            block = b"".join(parts)
-            if not first or total != len(block):
-                raise ValueError(f"{origin}: segments do not add up to the total length")
-            return _finished(first, block, with_payload)
+            try:
+                block = b"".join(parts)
+                if missing:
+                    raise ValueError(f"segment {missing} is missing")
+                if total != len(block):
+                    raise ValueError("segments do not add up to the total length")
+                return _finished(first, block, with_payload)
+            except DAMAGE as e:
+                return damaged(e, origin)
 
         for b in batches:
             out = []
@@ -186,26 +202,27 @@ def read_archives(spark: SparkSession, root: str, with_payload: bool = False) ->
                 if at != origin:
                     if origin is not None:
                         out.append(whole())
-                    origin, parts, first, total = at, [], {}, None
+                    origin, parts, first, total, missing, due = at, [], {}, None, 0, 1
                 fields, block = parse_record(_unframed(frame))
-                if segment != len(parts) + 1:
-                    raise ValueError(f"{origin}: segment {len(parts) + 1} is missing")
+                missing, due = missing or (due if segment != due else 0), segment + 1
                 if segment == 1:
                     first = fields
-                parts.append(block)
+                if not missing:
+                    parts.append(block)
                 total = int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else total
             yield pa.RecordBatch.from_pylist(out, schema=kind)
         if origin is not None:
             yield pa.RecordBatch.from_pylist([whole()], schema=kind)
 
-    # Both halves parse the archives: whole records end here, segments go to their origin still compressed
-    parsed = stored.mapInArrow(sort_out, f"origin string, segment int, frame binary, {schema}")
+    # Whole records end in the first pass, segments go to their origin still compressed
+    parsed = Workspace(spark, "warc-records").table(stored.mapInArrow(sort_out, f"origin string, segment int, frame binary, {schema}"), "parsed")
     whole = parsed.where("origin is null").drop("origin", "segment", "frame")
-    parts = parsed.where("origin is not null").select("origin", "segment", "frame").repartition(partitions_for(spark), "origin").sortWithinPartitions("origin", "segment")
+    parts = parsed.where("origin is not null").select("origin", "segment", "frame").repartition("origin").sortWithinPartitions("origin", "segment")
     return whole.unionByName(parts.mapInArrow(reassemble, schema))
 
 
-ARROW = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+DAMAGE = (ValueError, KeyError, IndexError, EOFError, zstandard.ZstdError)
+ARROW = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("problem", pa.string())]
 
 
 def archive_pages(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
