@@ -43,6 +43,19 @@ def test_near_copies_equal_brute_force(spark, docs):
     assert sorted((r.doc_id, r.component_id) for r in got) == brute_groups(rows)
 
 
+def test_large_buckets_are_tiled(spark, docs):
+    """Copies that are near to one text but not to each other, in buckets of many tiles."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        at = rng.randrange(100)
+        rows.append((i, " ".join(base[:at] + [f"x{i}", f"y{i}"] + base[at + 2 :])))
+    rows += [(200 + i, " ".join(base[:60] + [f"z{j}" for j in range(60 + i)])) for i in range(6)]
+    got = near_copies.near_copy_groups(docs(rows), tile=16).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == brute_groups(rows)
+
+
 def test_near_copies_odd_rows(spark, docs):
     rows = [r for r in ODD if r[0] is not None]
     got = simhash.simhash_groups(docs(rows), words=5, similarity=0.8).collect()

@@ -6,8 +6,9 @@ README), so bands of MinHash values propose the pairs: of ``BANDS`` bands of ``R
 shares none with probability (1 - s^4)^30, 1.4e-7 at 0.8 and less above. A bucket's rows then have a pivot table:
 Hamming distances to reference fingerprints of the bucket. Pairs whose sizes rule out the similarity, or whose
 distances to any pivot differ by more than ``RADIUS``, or whose fingerprints do, are discarded; survivors are verified on the
-shingles themselves. A first round links each row with two centres of its buckets; the second verifies
-all pairs that are not yet in one component, so a large group never gives all its pairs.
+shingles themselves. A first round links each row with the centres of its buckets; in the second, rows that still have a
+candidate in another component meet again with their sets, and pairs are verified where they meet: only links leave a task, so
+neither round gives all pairs of a group. A bucket over ``TILE`` rows is dealt as tiles of two chunks.
 
 Null and empty texts have no shingle and are copies of each other; null ids keep their row; rows that repeat an id and a
 text are copies. Shingles are compared by a 64-bit hash. No documents give no rows; other columns are not looked at.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, as_bytes, run_starts, sorted_runs
+from .common import Forest, Workspace, as_bytes, run_starts, sorted_runs
 from .components import connected_components
 from .simhash import pivots, settled
 
@@ -32,6 +33,8 @@ BANDS, ROWS = 30, 4
 RADIUS = 44  # of 128 bits; a pair of similarity 0.8 differs in 19 on average, in more than 44 with probability under 1e-6 (1e-5 for sets of five)
 PIVOTS = 8
 CELLS = 1 << 20
+TILE = 4096  # rows of a bucket that a task compares at once
+MAX_BROADCAST = 200_000  # rows of the table of larger buckets up to which it is broadcast
 
 _RANDOM = pivots(BANDS * ROWS + ROWS + 257) | np.uint64(1)
 _FACTORS, _BYTES, _BASE = _RANDOM[: BANDS * ROWS + ROWS], _RANDOM[-257:-1], int(_RANDOM[-1])
@@ -134,73 +137,176 @@ def shingle_sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: those that are not alone in theirs."""
-    for t in sorted_runs(batches, ["k", "v"]):
-        sizes = np.diff(run_starts(t.column("k").to_numpy(), t.column("v").to_numpy()))
-        yield from t.filter(pa.array(np.repeat(sizes > 1, sizes))).combine_chunks().to_batches()
+    """Rows sorted by bucket: those that are not alone in theirs. Holds a batch and a row."""
+    held, alone = None, True  # the last row, and whether it is the only one of its bucket so far
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([held, b] if held else [b])
+        k, v = t.column("k").to_numpy(), t.column("v").to_numpy()
+        next_same = np.append((k[1:] == k[:-1]) & (v[1:] == v[:-1]), False)
+        last_same = np.append(not alone, next_same[:-1])
+        keep = next_same | last_same
+        yield from t.filter(pa.array(np.append(keep[:-1], False))).combine_chunks().to_batches()
+        held, alone = t.slice(t.num_rows - 1).combine_chunks().to_batches()[0], not last_same[-1]
+    if held and not alone:
+        yield held
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
 
 
-def _pair_pass(full: bool):
-    """Rows (k, v, fp, n, left, right, root) sorted by bucket -> candidate pairs of different roots: each row with two centres, or all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_runs(batches, ["k", "v"]):
-            k, v, fp, n, left, right, root = (t.column(c).to_numpy() for c in ("k", "v", "fp", "n", "left", "right", "root"))
-            wide = np.stack([left, right], axis=1).view(np.uint64)
-            starts = run_starts(k, v)
-            found = []
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                own = np.unique(root[s:e], return_counts=True)
-                if len(own[0]) < 2:
-                    continue
-                rows = np.arange(s, e)
-                refs = wide[s : e : max(1, (e - s) // PIVOTS)][:PIVOTS] if e - s > PIVOTS else wide[:0]
-                table = _apart(wide[s:e, None], refs[None])  # of the bucket's rows, to its pivots
-                one = np.flatnonzero(root[s:e] != own[0][own[1].argmax()]) + s if full else np.unique([s, s + (e - s) // 2])  # pairs within the largest root need no look
-                step = max(1, CELLS // (e - s))
-                for at in range(0, len(one), step):
-                    x = one[at : at + step, None]
-                    near = (root[x] != root[None, rows]) & (5 * np.minimum(n[x], n[None, rows]) >= FIFTHS * np.maximum(n[x], n[None, rows]))
-                    for p in range(table.shape[1]):
-                        near &= np.abs(table[x - s, p] - table[None, :, p]) <= RADIUS
-                    i, j = np.nonzero(near)
-                    i, j = x[i, 0], rows[j]
-                    close = _apart(wide[i], wide[j]) <= RADIUS
-                    i, j = i[close], j[close]
-                    found.append(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])], axis=1))
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["src", "dst"])
-
-    return run
-
-
-def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def centres(wide: np.ndarray) -> np.ndarray:
+    """Up to four rows of a bucket: each the nearest to the bitwise majority of those that no earlier one is near to.
+
+    Copies with a few changes each are closer to what they are copies of than to each other, and so is their majority.
+    """
+    out, left = [], np.arange(len(wide))
+    while len(left) and len(out) < 4:
+        bits = np.unpackbits(wide[left].view(np.uint8).reshape(len(left), -1), axis=1)
+        middle = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(left)).view(np.uint64)
+        out.append(left[_apart(wide[left], middle[None]).argmin()])
+        left = left[_apart(wide[left], wide[out[-1]][None]) > RADIUS // 2]
+        left = left[left != out[-1]]
+    return np.array(out)
+
+
+KEY = ["k", "v", "a", "b"]
+LIGHT = ("k", "v", "a", "b", "chunk", "fp", "n", "left", "right", "root")
+
+
+class Tile:
+    """The rows of one tile: a bucket, or two chunks of a large one whose cross pairs are meant."""
+
+    def __init__(self, columns: dict[str, np.ndarray], s: int, e: int):
+        self.fp, self.n, self.root, chunk = (columns[c][s:e] for c in ("fp", "n", "root", "chunk"))
+        self.wide = np.stack([columns["left"][s:e], columns["right"][s:e]], axis=1).view(np.uint64)
+        self.side = chunk if columns["a"][s] != columns["b"][s] else None
+        self.single = (self.root == self.root[0]).all()
+
+    def pairs(self, one: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidates (i, j) of different roots with i among ``one``, in the order of ``one``: sizes and pivots discard, fingerprints verify."""
+        size = len(self.fp)
+        table = _apart(self.wide[:, None], self.wide[None, :: max(1, size // PIVOTS)][:, :PIVOTS]) if size > PIVOTS else np.empty((size, 0), np.int16)
+        step = max(1, CELLS // size)
+        for at in range(0, len(one), step):
+            x = one[at : at + step, None]
+            near = (self.root[x] != self.root[None]) & (5 * np.minimum(self.n[x], self.n[None]) >= FIFTHS * np.maximum(self.n[x], self.n[None]))
+            if self.side is not None:
+                near &= self.side[x] != self.side[None]
+            for p in range(table.shape[1]):
+                near &= np.abs(table[x, p] - table[None, :, p]) <= RADIUS
+            i, j = np.nonzero(near)
+            i = x[i, 0]
+            close = _apart(self.wide[i], self.wide[j]) <= RADIUS
+            yield i[close], j[close]
+
+    def few(self) -> np.ndarray:
+        """Rows outside the largest root: pairs within it need no look."""
+        roots, where, count = np.unique(self.root, return_inverse=True, return_counts=True)
+        return np.flatnonzero(where != count.argmax())
+
+
+def _tiles(t: pa.Table) -> Iterator[tuple[Tile, int, int]]:
+    columns = {c: t.column(c).to_numpy() for c in LIGHT}
+    starts = run_starts(*(columns[c] for c in KEY))
+    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        tile = Tile(columns, s, e)
+        if not tile.single:
+            yield tile, s, e
+
+
+def _star_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted tiles -> candidate pairs of each row with the tile's centres."""
+    for t in sorted_runs(batches, KEY):
+        found = [np.sort(tile.fp[np.stack([i, j], axis=1)], axis=1) for tile, _, _ in _tiles(t) for i, j in tile.pairs(centres(tile.wide))]
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["src", "dst"])
+
+
+def _live_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted tiles -> their rows that still have a candidate of another root."""
+    for t in sorted_runs(batches, KEY):
+        live = np.zeros(t.num_rows, bool)
+        for tile, s, _ in _tiles(t):
+            for i, j in tile.pairs(tile.few()):
+                live[s + i] = live[s + j] = True
+        yield from t.filter(pa.array(live)).combine_chunks().to_batches()
+
+
+def _verify_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted tiles with their sets of shingles -> links: enough of them to join all rows of a tile that links join."""
+    for t in sorted_runs(batches, KEY, 2000):
+        src, dst = [], []
+        sets = t.column("h").combine_chunks()
+        flat, ends = sets.flatten().to_numpy(), np.append(0, np.cumsum(sets.value_lengths().to_numpy()))
+        for tile, s, e in _tiles(t):
+            ids = np.unique(flat[ends[s] : ends[e]], return_inverse=True)[1]
+            first = ends[s : e + 1] - ends[s]
+            mark = np.zeros(len(ids) + 1, bool)
+            forest = Forest(e - s)
+            by_root = np.argsort(tile.root, kind="stable")
+            same = tile.root[by_root][1:] == tile.root[by_root][:-1]
+            forest.link(by_root[1:][same], by_root[:-1][same])
+            for i, j in tile.pairs(tile.few()):
+                bounds = run_starts(i)
+                for p, q in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    x = int(i[p])
+                    ys = j[p:q][forest.label[j[p:q]] != forest.label[x]]
+                    if not len(ys):
+                        continue
+                    own = ids[first[x] : first[x + 1]]
+                    mark[own] = True
+                    size = tile.n[ys].astype(np.int64)
+                    at = np.cumsum(size) - size
+                    common = np.add.reduceat(mark[ids[np.repeat(first[ys] - at, size) + np.arange(size.sum())]], at, dtype=np.int64)
+                    mark[own] = False
+                    good = ys[(5 + FIFTHS) * common >= FIFTHS * (size + tile.n[x])]
+                    forest.link(np.full(len(good), x), good)
+                    src.append(np.full(len(good), tile.fp[x]))
+                    dst.append(tile.fp[good])
+        if src:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
+
+
+def in_tiles(work: Workspace, shared: DataFrame, tile: int) -> DataFrame:
+    """Rows by bucket, each with its chunk and the number of chunks: one, or in a bucket over the size of a tile several."""
+    sizes = shared.groupBy("k", "v").count().where(F.col("count") > tile).withColumn("chunks", F.ceil(F.col("count") / tile).cast("int")).drop("count")
+    sizes = work.table(sizes, "sizes")
+    near = F.broadcast(sizes) if sizes.count() <= MAX_BROADCAST else sizes
+    rows = shared.join(near, ["k", "v"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    return rows.withColumn("chunk", F.expr("cast(pmod(xxhash64(fp), chunks) as int)"))
+
+
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, tile: int = TILE) -> DataFrame:
     """A row per document: id, fp of its set of shingles and component_id, the smallest id reachable by links of similarity 0.8 or more."""
     work = Workspace(docs.sparkSession, "near-copies")
     signed = work.table(signatures(docs, id_col, text_col, words), "signed")
     first = [F.first(c).alias(c) for c in ("n", "bands", "left", "right")]
     distinct = work.table(signed.groupBy("fp").agg(F.min("id").alias("least"), *first), "distinct")
-    dealt = lambda rows: rows.repartition("k", "v").sortWithinPartitions("k", "v", "fp")
     buckets = distinct.select("fp", "n", "left", "right", F.posexplode("bands").alias("k", "v")).select("k", "v", "fp", "n", "left", "right")
-    shared = work.table(dealt(buckets).mapInArrow(_shared, buckets.schema), "shared")
-    involved = shared.select("fp").distinct().join(distinct.select("fp", "least"), "fp")
+    shared = work.table(buckets.repartition("k", "v").sortWithinPartitions("k", "v").mapInArrow(_shared, buckets.schema), "shared")
+    rows = work.table(in_tiles(work, shared, tile), "rows")
     texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("text"))
-    sets = work.table(shingle_sets(involved.join(texts, "least"), words), "sets")
-    links, roots = None, None
-    for full in (False, True):
-        rows = shared.withColumn("root", F.col("fp"))
-        if roots is not None:
-            rows = shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        rows = rows.select("k", "v", "fp", "n", "left", "right", "root")
-        pairs = work.table(dealt(rows).mapInArrow(_pair_pass(full), "src long, dst long").distinct(), f"pairs-{full}")
-        both = pairs.join(sets.select(F.col("fp").alias("src"), F.col("h").alias("x")), "src").join(sets.select(F.col("fp").alias("dst"), F.col("h").alias("y")), "dst")
-        both = both.select("src", "dst", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
-        good = work.table(both.where((5 + FIFTHS) * F.col("common") >= FIFTHS * F.col("total")).select("src", "dst"), f"links-{full}")
-        links = good if links is None else links.unionByName(good)
-        roots = connected_components(work, links, f"cc-{full}")
+    sets_of = lambda fps: shingle_sets(fps.distinct().join(distinct.select("fp", "least"), "fp").join(texts, "least"), words)
+    dealt = lambda tiles: tiles.repartition(*KEY).sortWithinPartitions(*KEY, "fp")
+
+    stars = rows.withColumn("a", F.col("chunk")).withColumn("b", F.col("chunk")).withColumn("root", F.col("fp")).select(*LIGHT)
+    pairs = work.table(dealt(stars).mapInArrow(_star_pass, "src long, dst long").distinct(), "pairs")
+    sets = work.table(sets_of(pairs.select(F.explode(F.array("src", "dst")).alias("fp"))), "star-sets")
+    both = pairs.join(sets.select(F.col("fp").alias("src"), F.col("h").alias("x")), "src").join(sets.select(F.col("fp").alias("dst"), F.col("h").alias("y")), "dst")
+    both = both.select("src", "dst", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
+    links = work.table(both.where((5 + FIFTHS) * F.col("common") >= FIFTHS * F.col("total")).select("src", "dst"), "star-links")
+    roots = connected_components(work, links, "star-cc")
+
+    rooted = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    tiles = rooted.withColumn("o", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("a", F.least("chunk", "o")).withColumn("b", F.greatest("chunk", "o")).select(*LIGHT)
+    live = work.table(dealt(tiles).mapInArrow(_live_pass, tiles.schema), "live")
+    sets = work.table(sets_of(live.select("fp")), "sets")
+    held = dealt(live.join(sets, "fp").select(*LIGHT, "h"))
+    more = work.table(held.mapInArrow(_verify_pass, "src long, dst long").distinct(), "links")
+    if not more.isEmpty():
+        roots = connected_components(work, links.unionByName(more), "cc")
     return settled(work, signed.select("id", "fp"), distinct.select("fp", "least"), roots, id_col)
