@@ -21,23 +21,23 @@ def test_life_of_a_case(spark, tmp_path):
     assert kind == "material"
     with pytest.raises(SqlMismatch):
         book.add_materials(case, "select something_else from nowhere")
-    kind, run = book.submit(case, "why is bills slow?")
+    kind, run = book.submit(case, "why is lanes slow?")
     sent = book.run(run)
     prefix = book._case(case).prefix
-    assert kind == "question" and f"why is OBF_{prefix}_TBL_" in sent.prompt and "BILLS" not in sent.prompt and "00:00:09" in sent.prompt and sent.status == "warning"
+    assert kind == "question" and f"why is OBF_{prefix}_TBL_" in sent.prompt and "LANES" not in sent.prompt and "00:00:02.88" in sent.prompt and sent.status == "warning"
     assert [r.restored for r in book.restored_sources(run).collect()] == [fx.PLAN.strip()]
-    marker = book.table("symbols").where("canonical = 'U:IX_STATE' and entity_type = 'index'").first().marker
+    marker = book.table("symbols").where("canonical = 'U:IX_PARCEL' and entity_type = 'index'").first().marker
     kind, _ = book.submit(case, f"rebuild {marker} and OBF_{prefix}_TBL_7777_00")
     answer = book.table("responses").first()
-    assert kind == "response" and answer.restored_text == f"rebuild IX_STATE and OBF_{prefix}_TBL_7777_00" and answer.unknown_markers == [f"OBF_{prefix}_TBL_7777_00"]
+    assert kind == "response" and answer.restored_text == f"rebuild IX_PARCEL and OBF_{prefix}_TBL_7777_00" and answer.unknown_markers == [f"OBF_{prefix}_TBL_7777_00"]
     question = book.table("questions").first().question_id
     with pytest.raises(CaseError, match="closed"):
         book.edit_question(question, "later")
     follow = book.ask(case, "and then?")
     assert follow != run and "DBMS_XPLAN" not in book.run(follow).prompt
-    book.revise(plan, fx.PLAN.replace("1717", "1818"))
+    book.revise(plan, fx.PLAN.replace("5381", "5382"))
     again = book.run(follow).prompt
-    assert "1818" in again and marker in again and "and then?" in again
+    assert "5382" in again and marker in again and "and then?" in again
     book.delete_artifact(plan)
     assert "DBMS_XPLAN" not in book.run(follow).prompt and book.table("artifacts").where(~F.col("is_active")).count() == 1
     assert {r.case_id: r.state for r in book.list_cases().collect()}[other] == "empty"

@@ -11,13 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-MAX_HTML_BYTES = 10 << 20
+MAX_HTML = 10 << 20  # code points
 # Fixed values of HTML
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("script style template noscript svg button textarea select iframe object head".split())
+_DROPPED = frozenset("button canvas iframe img link meta noscript script style svg template".split())
 _BLOCKS = frozenset("p div section article main header footer aside nav figure figcaption details summary dl dt dd address form fieldset body html".split())
 _SAFE_SCHEMES = ("", "http", "https", "mailto")
+# The form of a marker, and the signs that Markdown needs escaped
 _MARKER = re.compile(r"(?<![A-Za-z0-9_])OBF_[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+(?![A-Za-z0-9_])", re.I)
+_SIGNS = re.compile(r"[\\`*_{}\[\]<>#+.!|~-]")
 _LANGUAGES = {"c#": "csharp", "c++": "cpp", "oracle": "sql", "plsql": "sql"}
 _LABEL = re.compile(r"[A-Za-z][A-Za-z0-9+#.-]{0,19}")
 
@@ -93,9 +95,9 @@ def escape(text: str) -> str:
     """Backslashes before Markdown signs, outside markers."""
     out, done = [], 0
     for m in _MARKER.finditer(text):
-        out += [re.sub(r"([\\`*_\[\]<>])", r"\\\1", text[done : m.start()]), m[0]]
+        out += [_SIGNS.sub(r"\\\g<0>", text[done : m.start()]), m[0]]
         done = m.end()
-    return "".join([*out, re.sub(r"([\\`*_\[\]<>])", r"\\\1", text[done:])])
+    return "".join([*out, _SIGNS.sub(r"\\\g<0>", text[done:])])
 
 
 def inline(n: Node | str) -> str:
@@ -133,7 +135,7 @@ def code_block(n: Node, label: str = "") -> str:
 
 
 def table_cells(n: Node) -> list[list[str]]:
-    return [[re.sub(r"\s*\n\s*", " / ", inline_all(c)).replace("|", "\\|") for c in r.find("td", "th")] for r in n.find("tr")]
+    return [[re.sub(r"\s*\n\s*", " / ", inline_all(c)) for c in r.find("td", "th")] for r in n.find("tr")]
 
 
 def table(rows: list[list[str]]) -> str:
@@ -257,9 +259,11 @@ def clean_markdown(text: str) -> str:
 
 
 def html_to_markdown(page: str | None) -> str:
-    """Visible content as Markdown; empty for nulls and pages over 10 MiB."""
-    if not page or len(page.encode()) > MAX_HTML_BYTES:
+    """Visible content as Markdown; empty for nulls. Pages over 10 Mi characters are an error."""
+    if not page:
         return ""
+    if len(page) > MAX_HTML:
+        raise ValueError("the page exceeds the conversion limit")
     builder = _Builder()
     builder.feed(page.replace("\r\n", "\n").replace("\r", "\n"))
     builder.close()
@@ -268,7 +272,8 @@ def html_to_markdown(page: str | None) -> str:
 
 @F.pandas_udf(StringType())
 def html_markdown(page: pd.Series) -> pd.Series:
-    return page.map(html_to_markdown)
+    """As ``html_to_markdown``; null where the page is over the limit, so that it is told from an empty one."""
+    return pd.Series([None if isinstance(p, str) and len(p) > MAX_HTML else html_to_markdown(p) for p in page], dtype=object)
 
 
 def normalise_newlines(text: Column) -> Column:
@@ -306,9 +311,9 @@ def plain_to_markdown(text: str | None) -> str:
 
 
 def answer_to_markdown(plain: str | None, page: str | None) -> str:
-    """The HTML copy's Markdown if it belongs to the plain copy and holds anything, else the plain copy's."""
+    """The HTML copy's Markdown if it is no longer than the limit, belongs to the plain copy and holds anything; else the plain copy's."""
     squeezed = lambda s: re.sub(r"\s+", "", s or "")
-    if page and plain is not None:
+    if page and plain is not None and len(page) <= MAX_HTML:
         builder = _Builder()
         builder.feed(page)
         if squeezed(raw_text(builder.root)) == squeezed(plain) and (found := html_to_markdown(page)):

@@ -9,13 +9,13 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.text import MAX_BYTES
 from . import answers, engine, rewrite, symbols, workflow
 from .detection import kind_of, split_materials, statements
-from .sql_text import tokens
+from .sql_text import normal_tokens
 from .store import Store
 
 TABLES = {
@@ -41,8 +41,8 @@ class SqlMismatch(CaseError):
 
 
 def normalized_statement(text: str) -> str:
-    """A statement's tokens without comments, upper case but for quoted ones; hints stay."""
-    return "\x1f".join(t.text if t.kind in ("string", "quoted", "qstring") else t.upper for t in tokens(text) if t.kind != "comment" and t.text != ";")
+    """A statement's tokens as ``sql_text.statement_identity`` takes them from a column."""
+    return "\x1f".join(normal_tokens(text))
 
 
 def compatible(a: str, b: str) -> bool:
@@ -192,8 +192,8 @@ class Casebook:
         case = self._case(case_id)
         closed = workflow.unsent_artifacts(self._rows("artifacts", case_id), self._rows("run_artifacts", case_id), self._rows("responses", case_id))
         pending = closed.join(self._rows("revisions", case_id).select(F.col("revision_id").alias("current_revision_id"), "text"), "current_revision_id")
-        rows = [(r.current_revision_id, r.artifact_id, r.kind, r.display_name, k, r.text) for k, r in enumerate(pending.orderBy("created_at", "artifact_id").collect())]
-        sent = self.spark.createDataFrame(rows, "revision_id string, artifact_id string, kind string, display_name string, position int, text string")
+        place = F.row_number().over(Window.partitionBy("case_id").orderBy("created_at", "artifact_id")) - 1  # the materials of one prompt
+        sent = pending.select(F.col("current_revision_id").alias("revision_id"), "artifact_id", "kind", "display_name", place.alias("position"), "text")
         source = sent.select(F.lit(case_id).alias("case_id"), F.col("revision_id").alias("artifact_id"), "position", "text")
         cases = self.spark.createDataFrame([(case_id, case.prefix)], "case_id string, prefix string")
         out = engine.pseudonymise(source, cases, self._rows("symbols", case_id))

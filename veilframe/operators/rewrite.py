@@ -53,13 +53,28 @@ def apply_replacements(artifacts: DataFrame, spans: DataFrame, doc: str = "artif
     return joined.withColumn("masked", splice_long(F.struct(F.col(text).alias("text"), F.col("_parts").alias("parts")))).drop("_parts")
 
 
+@F.pandas_udf(StringType())
+def restore_long(rows: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    """Check and undo replacements in time linear in the text: struct(text, parts sorted by output_start)."""
+    for batch in rows:
+        out = []
+        for text, parts in zip(batch["text"], batch["parts"], strict=True):
+            pieces, done = [], 0
+            for p in parts if parts is not None else ():
+                s, e = p["output_start"], p["output_end"]
+                if text is None or s < done or text[s:e].upper() != p["marker"].upper():
+                    raise ValueError("a marker is not at its place")
+                pieces += [text[done:s], p["original"]]
+                done = e
+            out.append(None if text is None else "".join([*pieces, text[done:]]))
+        yield pd.Series(out, dtype=object)
+
+
 def exact_restore(masked: DataFrame, replacements: DataFrame, doc: str = "artifact_id") -> DataFrame:
     """The source texts from masked ones: each marker is checked at its place and gives way to its own lexeme."""
     parts = replacements.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("output_start", "output_end", "original", "marker"))).alias("_parts"))
-    joined = masked.join(parts, doc, "left").withColumn("_parts", F.coalesce("_parts", F.expr("cast(array() as array<struct<output_start:int,output_end:int,original:string,marker:string>>)")))
-    fits = F.forall("_parts", lambda p: F.upper(F.substring("masked", p["output_start"] + 1, p["output_end"] - p["output_start"])) == F.upper(p["marker"]))
-    restored = splice(F.col("masked"), F.col("_parts"), "output_start", "output_end", "original")
-    return joined.withColumn("restored", F.when(fits, restored).otherwise(F.raise_error(F.lit("a marker is not at its place")))).drop("_parts")
+    joined = masked.join(parts, doc, "left")
+    return joined.withColumn("restored", restore_long(F.struct(F.col("masked").alias("text"), F.col("_parts").alias("parts")))).drop("_parts")
 
 
 def restore_answers(answers: DataFrame, symbols: DataFrame, key: str = "answer_id", case: str = "case_id", text: str = "text") -> DataFrame:

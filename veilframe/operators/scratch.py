@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame) -> DataFrame:
     """df written under ``spark.checkpoint.dir`` (or a folder of our own where it is unset) and read again: computed once, no lineage."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/veilframe-{spark.sparkContext.applicationId}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"/tmp/checkpoints/veilframe-{spark.sparkContext.applicationId}"
     path = f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

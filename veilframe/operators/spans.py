@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 LINE = "[^\\n]*\\n|[^\\n]+$"
 
 
-def token_rows(df: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
-    """A row per match of ``pattern`` (which must not match the empty string): keys, i (from 0), token, start, end.
+def token_rows(df: DataFrame, keys: list[str], text: str, pattern: str, around: bool = False) -> DataFrame:
+    """A row per match of ``pattern`` (which must not match the empty string): keys, i (from 0), token, start, end; with ``around`` also the characters before and after.
 
-    Matches and the gaps between them come from built-in functions; a running sum of their lengths gives
-    code-point offsets in one pass.
+    Matches and the gaps between them come from built-in functions; a running sum of their lengths gives code-point
+    offsets. The sum runs over a number given to each row of ``df``, so rows that share keys stay apart and no key is hot.
     """
-    parts = df.select(*keys, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("_tok"), F.split(text, pattern, -1).alias("_gap"))
-    rows = parts.select(*keys, F.posexplode(F.arrays_zip("_tok", "_gap")).alias("i", "_x")).where(F.col("_x._tok").isNotNull())
-    rows = rows.select(*keys, "i", F.col("_x._tok").alias("token"), F.length("_x._gap").alias("_g"))
-    before = Window.partitionBy(*keys).orderBy("i")
-    end = F.sum(F.col("_g") + F.length("token")).over(before).cast("int")
-    return rows.withColumn("end", end).select(*keys, "i", "token", (F.col("end") - F.length("token")).alias("start"), "end")
+    parts = df.select(*keys, F.monotonically_increasing_id().alias("_row"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("_tok"), F.split(text, pattern, -1).alias("_gap"))
+    fields = "'token', t, 'gap', length(_gap[i])"
+    if around:
+        fields += ", 'before', right(if(_gap[i] = '' and i > 0, _tok[i - 1], _gap[i]), 1), 'after', left(if(_gap[i + 1] = '' and i + 1 < size(_tok), _tok[i + 1], _gap[i + 1]), 1)"
+    rows = parts.select(*keys, "_row", F.posexplode(F.expr(f"transform(_tok, (t, i) -> named_struct({fields}))")).alias("i", "_x"))
+    rows = rows.select(*keys, "_row", "i", "_x.*")
+    end = F.sum(F.col("gap") + F.length("token")).over(Window.partitionBy("_row").orderBy("i")).cast("int")
+    return rows.withColumn("end", end).select(*keys, "i", "token", (F.col("end") - F.length("token")).alias("start"), "end", *["before", "after"] * around)
 
 
 def trimmed_bounds(text: Column) -> Column:
@@ -82,9 +84,8 @@ def reconcile_types(spans: DataFrame, symbols: DataFrame | None = None, case: st
 
 def expression_tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Predicates lexed by built-in functions only: token rows with entity type (null: stays) and content bounds."""
-    rows = token_rows(df, keys, text, EXPRESSION).join(df.select(*keys, F.col(text).alias("_text")), keys)
-    before = F.when(F.col("start") > 0, F.substring("_text", F.col("start"), F.lit(1))).otherwise("")
-    after = F.substring("_text", F.col("end") + 1, F.lit(1))
+    rows = token_rows(df, keys, text, EXPRESSION, around=True)
+    before, after = F.col("before"), F.col("after")
     first = F.substring("token", 1, 1)
     kind = (
         F.when(first == '"', F.when(before == "@", "query_block").when(after.isin("@", "."), "alias").otherwise("column"))
@@ -96,8 +97,10 @@ def expression_tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     )
     quoted = first.isin('"', "'")
     lead = F.when(quoted | (first == ":"), 1).otherwise(0)
-    rows = rows.withColumn("entity_type", kind).withColumn("start", F.col("start") + lead).withColumn("end", F.col("end") - F.when(quoted, 1).otherwise(0))
-    return rows.withColumn("original", F.expr("substring(_text, start + 1, end - start)")).drop("_text")
+    tail = F.when(quoted, 1).otherwise(0)
+    original = F.substring(F.col("token"), lead + 1, F.length("token") - lead - tail)
+    rows = rows.withColumn("entity_type", kind).withColumn("start", F.col("start") + lead).withColumn("end", F.col("end") - tail)
+    return rows.withColumn("original", original).drop("before", "after")
 
 
 def _functions() -> frozenset[str]:

@@ -93,6 +93,23 @@ GLOBALS = """SELECT s_suppkey AS artifact_id, ' Status              :  DONE' ||
     || ' SQL ID              :  q' || CAST(s_suppkey * 31 AS STRING) || chr(10) || ' Duration            :  ' || CAST(s_suppkey % 60 AS STRING) || 's' || chr(10)
     || ' Service             :  svc_' || CAST(s_nationkey AS STRING) || chr(10) || ' Mystery Field       :  m' || CAST(s_suppkey AS STRING) || chr(10) || ' Host                :  -' AS text FROM {supplier}"""
 
+# Texts of every kind in pieces, each with the type that a reader must give it (null: it stays): artifact_id, kind, i, piece, entity_type.
+# The pieces of an order's text joined are the text; their running lengths are the expected spans.
+_PIECES = {
+    "sql": ["select ", ("l", "alias"), ".", ("lane_@c", "column"), ", count(*) from ", ("depot_@m", "schema"), ".", ("lanes_@c", "table"), " ", ("l", "alias"), " where ", ("l", "alias"), ".", ("state", "column"), " = '", ("@p", "string_literal"), "' and ", ("l", "alias"), ".", ("load_kg", "column"), " > ", ("@k", "number_literal")],
+    "predicates": ['   1 - access("', ("P", "alias"), '"."', ("LANE_@c", "column"), '"="', ("L", "alias"), '"."', ("LANE_ID", "column"), '")@n   2 - filter("', ("P", "alias"), '"."', ("STATE", "column"), "\"='", ("@p", "string_literal"), "' AND \"", ("P", "alias"), '"."', ("KG", "column"), '">', ("@k", "number_literal"), ")"],
+    "outline": ['/*+@n  BEGIN_OUTLINE_DATA@n  FULL(@"', ("SEL$@m", "query_block"), '" "', ("L@c", "identifier"), '"@"', ("SEL$@m", "query_block"), '")@n  END_OUTLINE_DATA@n*/'],
+    "xplan": ["Plan hash value: ", ("@k", "plan_hash"), "@n@n| Id | Operation | Name | Rows |@n| 1 | TABLE ACCESS FULL | ", ("LANES_@c", "table"), " | 77 |@n| 2 | INDEX RANGE SCAN | ", ("DEPOT_@m", "schema"), ".", ("IX_@c", "index"), " | 9 |@n| 3 | VIEW | ", ("V_@m", "view"), " | 8 |@n"],
+    "sql_monitor": ["SQL Monitoring Report@n@nGlobal Information@n------------------------------@n Status : DONE@n Session : ", ("USER_@c (@m:7)", "session_id"), "@n SQL ID : ", ("q@c", "sql_id"), "@n Service : ", ("svc_@m", "service"), "@n Ferry : ", ("boat @c", "fragment"), "@n Duration : 5s@n"],
+}
+_FILLED = "replace(replace(replace(replace(replace(piece, '@c', CAST(o_custkey AS STRING)), '@m', CAST(o_custkey % 9 AS STRING)), '@p', o_orderpriority), '@k', CAST(o_orderkey AS STRING)), '@n', chr(10))"
+_ROWS = ", ".join(
+    "({}, '{}', {}, '{}', {})".format(k, kind, i, (p if isinstance(p, str) else p[0]).replace("'", "@q"), "CAST(NULL AS STRING)" if isinstance(p, str) else f"'{p[1]}'")
+    for k, (kind, cells) in enumerate(_PIECES.items())
+    for i, p in enumerate(cells)
+)
+PIECES = f"SELECT o_orderkey AS artifact_id, kind, i, replace({_FILLED}, '@q', chr(39)) AS piece, entity_type FROM {{orders}} JOIN (VALUES {_ROWS}) AS x(k, kind, i, piece, entity_type) ON o_orderkey % {len(_PIECES)} = k"
+
 # Overlapping spans by line item
 SPANS = """SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_orderkey * 10 + l_linenumber AS span_id, CAST(l_partkey % 40 AS INTEGER) AS s, CAST(l_partkey % 40 + 1 + l_suppkey % 12 AS INTEGER) AS e,
     CAST(l_suppkey % 4 * 10 AS INTEGER) AS priority FROM {lineitem}"""

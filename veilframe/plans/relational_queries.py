@@ -14,9 +14,9 @@ from .base import plain, query, same
 from .text_queries import _KIND_SQL
 
 # ---- prompts and workflow ----
-_PROMPT_ART = """SELECT conv_id AS run_id, turn AS position, CASE turn % 3 WHEN 0 THEN 'sql' WHEN 1 THEN 'xplan' ELSE 'other' END AS kind, 'doc ' || CAST(turn AS STRING) AS display_name, substring(text, 1, 40) || ' ' AS text
-    FROM {conversations} WHERE conv_id % 4 <> 0 AND turn % 2 = 0"""
-_PROMPT_Q = "SELECT conv_id AS run_id, turn AS position, ' ' || substring(text, 1, 30) || ' ' AS text FROM {conversations} WHERE conv_id % 5 <> 0 AND turn % 2 = 1"
+_PROMPT_ART = """SELECT conv_id AS run_id, turn AS position, CASE turn % 3 WHEN 0 THEN 'sql' WHEN 1 THEN 'xplan' ELSE 'other' END AS kind, 'doc ' || CAST(turn AS STRING) AS display_name, text || ' ' AS text
+    FROM {conversations} WHERE turn % 2 = 0"""
+_PROMPT_Q = "SELECT conv_id AS run_id, turn AS position, ' ' || text || ' ' AS text FROM {conversations} WHERE turn % 2 = 1"
 _LABELS = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPE_LABELS.items()) + " ELSE upper(kind) END"
 
 
@@ -102,8 +102,8 @@ def question_items(t):
 # ---- relational operators of the store ----
 same("point_filter", "SELECT c_custkey, c_name, c_acctbal FROM {customer} WHERE c_custkey = 42")
 same("uniqueness_probe", "SELECT count(*) AS n FROM (SELECT 1 AS one FROM {customer} WHERE c_name = 'Customer#000000007' LIMIT 1) x")
-same("order_by_updated", "SELECT o_orderkey, o_orderdate FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
-same("multi_key_sort", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM {orders} ORDER BY o_orderstatus, o_orderpriority DESC, o_orderkey LIMIT 100")
+same("order_by_updated", "SELECT o_orderkey, o_orderdate FROM {orders} ORDER BY o_orderdate DESC, o_orderkey")
+same("multi_key_sort", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM {orders} ORDER BY o_orderstatus, o_orderpriority DESC, o_orderkey")
 same("exists_active", "SELECT DISTINCT case_id FROM (" + base.ARTIFACTS + ") a WHERE is_active")
 same("join_revisions", "SELECT r.run_id, a.artifact_id FROM (" + base.RUN_ARTIFACTS + ") r JOIN (" + base.ARTIFACTS + ") a ON r.revision_id = a.current_revision_id WHERE a.is_active")
 same("json_case_view", """SELECT c_custkey, '{"case_id":' || CAST(c_custkey AS STRING) || ',"title":"' || c_name || '"}' AS body FROM {customer}""")
@@ -156,7 +156,7 @@ def eager_load(t):
 
 same("count_by_type", "SELECT o_custkey % 50 AS case_id, o_orderpriority, count(*) AS n FROM {orders} GROUP BY o_custkey % 50, o_orderpriority")
 same("distinct_type_sets", "SELECT o_custkey, min(o_orderstatus) AS low, max(o_orderstatus) AS high, count(DISTINCT o_orderstatus) AS n FROM {orders} GROUP BY o_custkey")
-same("set_difference", "SELECT c_custkey FROM {customer} EXCEPT SELECT o_custkey FROM {orders}")
+same("set_difference", "SELECT c_custkey FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_orderpriority = '1-URGENT'")
 same("max_version", "SELECT o_custkey, max(o_orderkey % 100) + 1 AS next_version FROM {orders} GROUP BY o_custkey")
 
 
@@ -189,10 +189,10 @@ def shape_topk_rownumber(t):
     return t.orders.select("o_custkey", "o_orderkey", rn.alias("rn")).where("rn <= 3")
 
 
-_TREE = "SELECT p_partkey AS node, CASE WHEN p_partkey > 1 THEN p_partkey div 2 END AS parent FROM {part} WHERE p_partkey <= 255"
+_TREE = "SELECT p_partkey AS node, CASE WHEN p_partkey > 1 THEN p_partkey div 2 END AS parent FROM {part}"
 
 
-@query("shape_connect_by", """WITH RECURSIVE n AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part WHERE p_partkey <= 255),
+@query("shape_connect_by", """WITH RECURSIVE n AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part),
     h(node, depth, path) AS (SELECT node, 1, '/' || node FROM n WHERE node = 2 UNION ALL SELECT n.node, depth + 1, path || '/' || n.node FROM h JOIN n ON n.parent = h.node AND NOT contains(path || '/', '/' || n.node || '/')) SELECT node, CAST(depth AS INTEGER) AS depth, path FROM h""")
 def shape_connect_by(t):
     """START WITH node 2 CONNECT BY NOCYCLE PRIOR node = parent, with level and path."""

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import CODE, GLOBAL_KEPT, GLOBAL_MASKED, HINT_WORDS, by_label
-from ..operators import answers, detection, engine, rewrite, spans, symbols
+from ..operators import answers, detection, engine, rewrite, spans, sql_text, symbols
 from ..operators.scratch import written
 from ..sources import text as sources
 from . import base
@@ -172,9 +172,9 @@ def plan_names_monitor(t):
 
 
 @query("plan_header_fields", rf"""SELECT artifact_id, regexp_extract(text, 'SQL_ID\s+([a-z0-9]+)\s*,\s*child number\s+(\d+)', 1) AS sql_id, regexp_extract(text, 'child number\s+(\d+)', 1) AS child, regexp_extract(text, 'Plan hash value\s*[:=]\s*(\d+)', 1) AS plan_hash
-    FROM ({plain(base.MIXED)}) WHERE artifact_id % 7 = 2""")
+    FROM ({plain(base.MIXED)})""")
 def plan_header_fields(t):
-    art = t.sql(base.MIXED).where("artifact_id % 7 = 2")
+    art = t.sql(base.MIXED)
     return art.select("artifact_id", F.regexp_extract("text", r"SQL_ID\s+([a-z0-9]+)\s*,\s*child number\s+(\d+)", 1).alias("sql_id"), F.regexp_extract("text", r"child number\s+(\d+)", 1).alias("child"), F.regexp_extract("text", r"Plan hash value\s*[:=]\s*(\d+)", 1).alias("plan_hash"))
 
 
@@ -236,7 +236,7 @@ def _registry(found):
 
 def _marked(t):
     found = written(_spans(t))
-    return found.join(_registry(found).select("case_id", "entity_type", "canonical", "marker"), ["case_id", "entity_type", "canonical"])
+    return written(found.join(_registry(found).select("case_id", "entity_type", "canonical", "marker"), ["case_id", "entity_type", "canonical"]))  # queries read it twice
 
 
 @query("expression_tokens", f"SELECT artifact_id, i, s AS start_at, e AS end_at, original, entity_type FROM ({EXPR_SQL})")
@@ -316,17 +316,18 @@ def mapping_validation(t):
     return symbols.validate_mapping(t.sql(_BROKEN))
 
 
-@query("mapping_merge", f"""WITH m AS ({plain(base.SYMBOLS)}), a AS (SELECT case_id % 25 AS case_id, marker, sequence FROM m WHERE case_id < 25 AND sequence % 3 <> 0), b AS (SELECT case_id % 25 AS case_id, marker, sequence FROM m WHERE sequence % 2 = 0)
+@query("mapping_merge", f"""WITH m AS ({plain(base.SYMBOLS)}), a AS (SELECT case_id, marker, sequence FROM m), b AS (SELECT case_id - case_id % 2 AS case_id, marker, sequence FROM m)
     SELECT * FROM a UNION ALL SELECT * FROM b WHERE (case_id, marker) NOT IN (SELECT (case_id, marker) FROM a)""")
 def mapping_merge(t):
-    m = t.sql(base.SYMBOLS).select((F.col("case_id") % 25).alias("case_id"), "marker", "sequence", F.col("case_id").alias("old"))
-    target = m.where("old < 25 and sequence % 3 <> 0").drop("old")
-    return symbols.merge_mappings(target, m.where("sequence % 2 = 0").drop("old"))
+    """Every case's mapping takes up that of the odd case after it; what both hold stays once."""
+    m = t.sql(base.SYMBOLS).select("case_id", "marker", "sequence")
+    return symbols.merge_mappings(m, m.withColumn("case_id", F.expr("case_id - case_id % 2")))
 
 
-@query("mapping_clear", f"SELECT case_id, count(*) AS n FROM ({plain(base.SYMBOLS)}) WHERE case_id NOT IN (SELECT conv_id FROM conversations) GROUP BY case_id")
+@query("mapping_clear", f"SELECT case_id, count(*) AS n FROM ({plain(base.SYMBOLS)}) WHERE case_id NOT IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 5) GROUP BY case_id")
 def mapping_clear(t):
-    doomed = t.conversations.select(F.col("conv_id").alias("case_id"))
+    """Mappings of the cases with a long conversation go."""
+    doomed = t.conversations.groupBy(F.col("conv_id").alias("case_id")).agg(F.count("*").alias("n")).where("n > 5").select("case_id")
     return t.sql(base.SYMBOLS).join(doomed, "case_id", "left_anti").groupBy("case_id").agg(F.count("*").alias("n"))
 
 
@@ -475,13 +476,38 @@ def parse_artifacts(t):
     return rows.groupBy("kind", "s.entity_type").agg(F.count("*").alias("n"))
 
 
-# ---- SQL identity ----
-_STATEMENTS = "SELECT o_orderkey AS artifact_id, o_custkey % 50 AS case_id, CASE WHEN o_orderkey % 2 = 0 THEN 'select  *' || chr(10) || '  from orders where o_custkey = ' ELSE 'SELECT * FROM orders WHERE o_custkey = ' END || CAST(o_custkey AS STRING) || CASE WHEN o_orderkey % 3 = 0 THEN ' -- ' || o_orderpriority ELSE '' END AS text FROM {orders}"
-_NORM = r"trim(regexp_replace(upper(regexp_replace(text, '--[^\n]*', '', 'g')), '\s+', ' ', 'g'))"
+def _pieced(t):
+    """The texts whose pieces are ``base.PIECES``."""
+    return t.sql(f"SELECT artifact_id, kind, array_join(transform(array_sort(collect_list(struct(i, piece))), x -> x.piece), '') AS text FROM ({base.PIECES}) GROUP BY artifact_id, kind")
+
+
+@query("reader_spans", f"""SELECT artifact_id, kind, CAST(e - length(piece) AS INTEGER) AS start_at, CAST(e AS INTEGER) AS end_at, piece AS original, entity_type
+    FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY artifact_id ORDER BY i) AS e FROM ({plain(base.PIECES)})) WHERE entity_type IS NOT NULL""")
+def reader_spans(t):
+    """What the engine's readers find in texts of every kind: places, lexemes and types, against the pieces the texts are made of."""
+    found = detection.with_parsed(_pieced(t)).select("artifact_id", F.col("parsed.kind").alias("kind"), F.explode("parsed.spans").alias("s"))
+    return found.select("artifact_id", "kind", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), F.col("s.original").alias("original"), F.col("s.entity_type").alias("entity_type"))
+
+
+@query("masked_texts", f"""SELECT artifact_id, string_agg(CASE WHEN entity_type IS NULL THEN piece ELSE '<' || entity_type || '>' END, '' ORDER BY i) AS masked, true AS restores FROM ({plain(base.PIECES)}) GROUP BY artifact_id""")
+def masked_texts(t):
+    """Every text through the whole engine: markers by type in place of what the readers find, and the exact way back."""
+    art = _pieced(t).select(F.col("artifact_id").alias("case_id"), "artifact_id", F.lit(0).alias("position"), "text")
+    art = written(art)
+    cases = art.select("case_id").withColumn("prefix", F.lit("AB2"))
+    out = engine.pseudonymise(art, cases)
+    back = rewrite.exact_restore(out.masked, out.replacements.select("artifact_id", "output_start", "output_end", "original", "marker"))
+    shown = F.col("masked")
+    for kind, code in CODE.items():
+        shown = F.regexp_replace(shown, f"OBF_AB2_{code}_[0-9]{{4,}}_[0-9A-F]{{2}}", f"<{kind}>")
+    return back.select("artifact_id", shown.alias("masked"), (F.col("restored") == F.col("text")).alias("restores"))
 
 
-def _normal(text):
-    return F.trim(F.regexp_replace(F.upper(F.regexp_replace(text, "--[^\\n]*", "")), r"\s+", " "))
+# ---- SQL identity ----
+_STATEMENTS = "SELECT o_orderkey AS artifact_id, o_custkey % 50 AS case_id, CASE WHEN o_orderkey % 2 = 0 THEN 'select  *' || chr(10) || '  from orders where o_custkey = ' ELSE 'SELECT * FROM orders WHERE o_custkey = ' END || CAST(o_custkey AS STRING) || ' and note = ' || chr(39) || CASE WHEN o_orderkey % 5 = 0 THEN 'it' || chr(39) || chr(39) || 's Late' WHEN o_orderkey % 5 = 1 THEN 'LATE' ELSE 'late' END || chr(39) || CASE WHEN o_orderkey % 3 = 0 THEN ' -- ' || o_orderpriority WHEN o_orderkey % 3 = 1 THEN ' /* x */;' ELSE '' END AS text FROM {orders}"
+_Q = lambda pattern: pattern.replace("'", "''")
+_NORM = f"array_to_string(list_transform(list_filter(regexp_extract_all(text, '{_Q(sql_text.IDENTITY_TOKEN)}'), lambda x: NOT regexp_matches(x, '{_Q(sql_text._LEFT_OUT)}')), lambda x: CASE WHEN regexp_matches(x, '{_Q(sql_text._VERBATIM)}') THEN x ELSE upper(x) END), chr(31))"
+_normal = sql_text.statement_identity
 
 
 @query("sql_fingerprint", f"SELECT artifact_id, {_NORM} AS normalized, sha256({_NORM}) AS fingerprint FROM ({plain(_STATEMENTS)})")
@@ -496,13 +522,16 @@ def sql_identity(t):
     return f.groupBy("case_id").agg(F.count("*").alias("n"), F.countDistinct("f").alias("n_statements"), F.min_by("f", "artifact_id").alias("fingerprint"))
 
 
+_TAIL = "AND\x1fO_ORDERKEY\x1f>\x1f1\x1fAND\x1fX\x1f=\x1f2"
+
+
 @query("sql_prefix_compatible", f"""SELECT artifact_id, a = b OR (len(x) >= 12 AND y[1:len(x) - 1] = x[1:len(x) - 1] AND starts_with(y[len(x)], x[len(x)])) OR (length(a) >= 80 AND starts_with(b, a)) AS compatible FROM (
-    SELECT *, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM (SELECT artifact_id, CASE WHEN artifact_id % 2 = 0 THEN {_NORM}[:35 + artifact_id % 20] ELSE {_NORM} END AS a, {_NORM} || ' AND O_ORDERKEY > 1 AND X = 2 AND Y = 3' AS b FROM ({plain(_STATEMENTS)})))""")
+    SELECT *, string_split(a, chr(31)) AS x, string_split(b, chr(31)) AS y FROM (SELECT artifact_id, CASE WHEN artifact_id % 2 = 0 THEN {_NORM}[:35 + artifact_id % 20] ELSE {_NORM} END AS a, {_NORM} || chr(31) || '{_TAIL}' AS b FROM ({plain(_STATEMENTS)})))""")
 def sql_prefix_compatible(t):
     """A shown statement is compatible with the known one if it is equal, or cut off: tokens or a long prefix agree."""
     n = t.sql(_STATEMENTS).withColumn("n", _normal(F.col("text")))
-    ab = n.select("artifact_id", F.expr("CASE WHEN artifact_id % 2 = 0 THEN substring(n, 1, cast(35 + artifact_id % 20 as int)) ELSE n END").alias("a"), F.concat("n", F.lit(" AND O_ORDERKEY > 1 AND X = 2 AND Y = 3")).alias("b"))
-    return ab.withColumn("x", F.split("a", " ")).withColumn("y", F.split("b", " ")).select("artifact_id", F.expr("a = b OR (size(x) >= 12 AND slice(y, 1, size(x) - 1) = slice(x, 1, size(x) - 1) AND coalesce(startswith(get(y, size(x) - 1), element_at(x, -1)), false)) OR (length(a) >= 80 AND startswith(b, a))").alias("compatible"))
+    ab = n.select("artifact_id", F.expr("CASE WHEN artifact_id % 2 = 0 THEN substring(n, 1, cast(35 + artifact_id % 20 as int)) ELSE n END").alias("a"), F.concat("n", F.lit("\x1f" + _TAIL)).alias("b"))
+    return ab.withColumn("x", F.split("a", "\x1f")).withColumn("y", F.split("b", "\x1f")).select("artifact_id", F.expr("a = b OR (size(x) >= 12 AND slice(y, 1, size(x) - 1) = slice(x, 1, size(x) - 1) AND coalesce(startswith(get(y, size(x) - 1), element_at(x, -1)), false)) OR (length(a) >= 80 AND startswith(b, a))").alias("compatible"))
 
 
 _HINTED = "SELECT o_orderkey AS artifact_id, 'select /*+ FULL(o) INDEX(o IX_' || CAST(o_custkey % 30 AS STRING) || ') MATERIALIZE */ 1 from t /* c' || CAST(o_custkey AS STRING) || ' */' AS text FROM {orders}"

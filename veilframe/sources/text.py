@@ -34,9 +34,10 @@ def within_limit(text: Column) -> Column:
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """path, text of the files with accepted extensions under a folder, decoded by the chain; larger files are left out."""
+    """path, text, problem of the files with accepted extensions under a folder, decoded by the chain; a larger file has no text but a problem."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(path)
-    return files.where(F.col("length") <= MAX_BYTES).select("path", decoded("content").alias("text"))
+    small = F.col("length") <= MAX_BYTES
+    return files.select("path", decoded(F.when(small, F.col("content"))).alias("text"), F.when(~small, "over 100 MiB").alias("problem"))
 
 
 def sentinels(text: Column) -> Column:
