@@ -38,7 +38,7 @@ def test_round_trip(artifacts, result):
     assert len(back) == artifacts.count()
     assert all(r.restored == r.text for r in back)
     plan = next(r.masked for r in back if r.artifact_id == 11)
-    assert "IX_STATE" not in plan and "00:00:09" in plan and "OBF_AAAA_IDX_" in plan
+    assert "IX_PARCEL" not in plan and "00:00:02.88" in plan and "OBF_AAAA_IDX_" in plan
 
 
 def test_registry_rules(result):
@@ -79,10 +79,10 @@ def test_splices_agree(spark):
 
 
 def test_answers_come_back(spark, result):
-    marker = next(r.marker for r in result.symbols.collect() if r.case_id == 1 and r.canonical == "U:BILLS" and r.entity_type == "table")
+    marker = next(r.marker for r in result.symbols.collect() if r.case_id == 1 and r.canonical == "U:LANES" and r.entity_type == "table")
     texts = spark.createDataFrame([(1, 1, f"use {marker.lower()} not OBF_AAAA_TBL_9999_00 nor x{marker}"), (2, 1, "plain")], "answer_id int, case_id long, text string")
     rows = {r.answer_id: r for r in rewrite.restore_answers(texts, result.symbols).collect()}
-    assert rows[1].restored.lower().startswith("use bills not obf_aaaa_tbl_9999_00 nor x") and rows[1].unknown == ["OBF_AAAA_TBL_9999_00"] and rows[2].restored == "plain"
+    assert rows[1].restored.lower().startswith("use lanes not obf_aaaa_tbl_9999_00 nor x") and rows[1].unknown == ["OBF_AAAA_TBL_9999_00"] and rows[2].restored == "plain"
 
 
 def test_ranks_over_many_tasks(spark):
