@@ -194,3 +194,13 @@ def test_sql_functions(spark):
     register(spark)
     row = spark.sql("SELECT veil_kind(t) AS k, veil_spans(t) AS s, veil_html_markdown('<b>x</b>') AS m, veil_plain_markdown('a') AS p FROM (SELECT 'select a from b' AS t)").first()
     assert tuple(row) == ("sql", '[[7, 8, "column"], [14, 15, "table"]]', "**x**", "a")
+
+
+def test_token_rows_of_rows_that_share_keys(spark):
+    from veilframe.operators import spans
+
+    rows = spark.createDataFrame([(1, "ab cd"), (1, "xyz w"), (None, "q"), (2, None), (3, "")], "id int, text string")
+    got = sorted(((r.id or 0, r.i, r.token, r.start, r.end) for r in spans.token_rows(rows, ["id"], "text", "[a-z]+").collect()))
+    assert got == [(0, 0, "q", 0, 1), (1, 0, "ab", 0, 2), (1, 0, "xyz", 0, 3), (1, 1, "cd", 3, 5), (1, 1, "w", 4, 5)]
+    beside = spans.token_rows(spark.createDataFrame([(1, '"A"@"B" x')], "id int, text string"), ["id"], "text", '"[^"]*"|[a-z]', around=True).orderBy("i").collect()
+    assert [(r.token, r.before, r.after) for r in beside] == [('"A"', "", "@"), ('"B"', "@", " "), ("x", " ", "")]

@@ -15,11 +15,16 @@ def token_rows(df: DataFrame, keys: list[str], text: str, pattern: str, around:
     offsets. The sum runs over a number given to each row of ``df``, so rows that share keys stay apart and no key is hot.
     """
     parts = df.select(*keys, F.monotonically_increasing_id().alias("_row"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("_tok"), F.split(text, pattern, -1).alias("_gap"))
-    fields = "'token', t, 'gap', length(_gap[i])"
+    zipped = ["_tok", "_gap"]
     if around:
-        fields += ", 'before', right(if(_gap[i] = '' and i > 0, _tok[i - 1], _gap[i]), 1), 'after', left(if(_gap[i + 1] = '' and i + 1 < size(_tok), _tok[i + 1], _gap[i + 1]), 1)"
-    rows = parts.select(*keys, "_row", F.posexplode(F.expr(f"transform(_tok, (t, i) -> named_struct({fields}))")).alias("i", "_x"))
-    rows = rows.select(*keys, "_row", "i", "_x.*")
+        later = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))
+        parts = parts.withColumns({"_past": F.concat(F.array(F.lit("")), "_tok"), "_next": later("_gap"), "_then": later("_tok")})
+        zipped += ["_past", "_next", "_then"]
+    rows = parts.select(*keys, "_row", F.posexplode(F.arrays_zip(*zipped)).alias("i", "_x")).where(F.col("_x._tok").isNotNull())
+    beside = []
+    if around:
+        beside = [F.expr("right(if(_x._gap = '', _x._past, _x._gap), 1)").alias("before"), F.expr("left(if(_x._next = '', coalesce(_x._then, ''), _x._next), 1)").alias("after")]
+    rows = rows.select(*keys, "_row", "i", F.col("_x._tok").alias("token"), F.length("_x._gap").alias("gap"), *beside)
     end = F.sum(F.col("gap") + F.length("token")).over(Window.partitionBy("_row").orderBy("i")).cast("int")
     return rows.withColumn("end", end).select(*keys, "i", "token", (F.col("end") - F.length("token")).alias("start"), "end", *["before", "after"] * around)
 
