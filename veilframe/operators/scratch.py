@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written under ``spark.checkpoint.dir`` (or a folder of our own where it is unset) and read again: computed once, no lineage."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder's path under ``spark.checkpoint.dir``, or under a folder of our own where a local session has none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"/tmp/checkpoints/veilframe-{spark.sparkContext.applicationId}"
-    path = f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to a scratch path and read again: computed once, no lineage."""
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

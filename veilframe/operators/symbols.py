@@ -119,3 +119,13 @@ def validate_mapping(symbols: DataFrame, case: str = "case_id") -> DataFrame:
 def merge_mappings(target: DataFrame, source: DataFrame, case: str = "case_id") -> DataFrame:
     """The target's symbols and those of the source whose markers it lacks."""
     return target.unionByName(source.join(target.select(case, "marker"), [case, "marker"], "left_anti").select(*target.columns))
+
+
+def mapping_cases(symbols: DataFrame, case: str = "case_id") -> DataFrame:
+    """The cases that have a mapping."""
+    return symbols.select(case).distinct()
+
+
+def clear_mappings(symbols: DataFrame, doomed: DataFrame | None = None, case: str = "case_id") -> DataFrame:
+    """What is left when the mappings of the ``doomed`` cases are cleared, or of all cases without it."""
+    return symbols.where(F.lit(False)) if doomed is None else symbols.join(doomed.select(case), case, "left_anti").select(*symbols.columns)

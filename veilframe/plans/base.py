@@ -95,17 +95,25 @@ GLOBALS = """SELECT s_suppkey AS artifact_id, ' Status              :  DONE' ||
 
 # Texts of every kind in pieces, each with the type that a reader must give it (null: it stays): artifact_id, kind, i, piece, entity_type.
 # The pieces of an order's text joined are the text; their running lengths are the expected spans.
-_PIECES = {
-    "sql": ["select ", ("l", "alias"), ".", ("lane_@c", "column"), ", count(*) from ", ("depot_@m", "schema"), ".", ("lanes_@c", "table"), " ", ("l", "alias"), " where ", ("l", "alias"), ".", ("state", "column"), " = '", ("@p", "string_literal"), "' and ", ("l", "alias"), ".", ("load_kg", "column"), " > ", ("@k", "number_literal")],
-    "predicates": ['   1 - access("', ("P", "alias"), '"."', ("LANE_@c", "column"), '"="', ("L", "alias"), '"."', ("LANE_ID", "column"), '")@n   2 - filter("', ("P", "alias"), '"."', ("STATE", "column"), "\"='", ("@p", "string_literal"), "' AND \"", ("P", "alias"), '"."', ("KG", "column"), '">', ("@k", "number_literal"), ")"],
-    "outline": ['/*+@n  BEGIN_OUTLINE_DATA@n  FULL(@"', ("SEL$@m", "query_block"), '" "', ("L@c", "identifier"), '"@"', ("SEL$@m", "query_block"), '")@n  END_OUTLINE_DATA@n*/'],
-    "xplan": ["Plan hash value: ", ("@k", "plan_hash"), "@n@n| Id | Operation | Name | Rows |@n| 1 | TABLE ACCESS FULL | ", ("LANES_@c", "table"), " | 77 |@n| 2 | INDEX RANGE SCAN | ", ("DEPOT_@m", "schema"), ".", ("IX_@c", "index"), " | 9 |@n| 3 | VIEW | ", ("V_@m", "view"), " | 8 |@n"],
-    "sql_monitor": ["SQL Monitoring Report@n@nGlobal Information@n------------------------------@n Status : DONE@n Session : ", ("USER_@c (@m:7)", "session_id"), "@n SQL ID : ", ("q@c", "sql_id"), "@n Service : ", ("svc_@m", "service"), "@n Ferry : ", ("boat @c", "fragment"), "@n Duration : 5s@n"],
-}
+_PIECES = (
+    ("sql", ["select ", ("l", "alias"), ".", ("lane_@c", "column"), ", count(*) from ", ("depot_@m", "schema"), ".", ("lanes_@c", "table"), " ", ("l", "alias"), " where ", ("l", "alias"), ".", ("state", "column"), " = '", ("@p", "string_literal"), "' and ", ("l", "alias"), ".", ("load_kg", "column"), " > ", ("@k", "number_literal")]),
+    ("sql", ["select /*+ FULL(", ("w", "alias"), ") ", ("CRATE_@m", "identifier"), " */ upper(", ("w", "alias"), ".", ("berth", "column"), ") as ", ("code_@c", "alias"), ", ", ("pick_lane", "function"), "(", ("w", "alias"), ".", ("dock", "column"), "), ", ("q'[kept 'aside' @m]'", "string_literal"), " from ", ("parcels_@c", "table"), " ", ("w", "alias"), " join ", ("tides_@m", "table"), "@", ("harbor_link", "db_link"), ".", ("dock_net", "db_link"), " ", ("r", "alias"), " on ", ("r", "alias"), ".", ("tide_id", "column"), " = ", ("w", "alias"), ".", ("tide_no", "column"), " -- ", ("night crew @c", "comment"), "@n where ", ("w", "alias"), ".", ("weight_kg", "column"), " between ", ("12.75", "number_literal"), " and :", ("max_@m", "bind"), " and ", ("w", "alias"), '."', ("Gate @c", "column"), '" like N\'', ("кран%", "string_literal"), "' /* ", ("holds @p", "comment"), " */ order by ", ("code_@c", "alias")]),
+    ("sql", ["insert into ", ("depot", "schema"), ".", ("log_@c", "table"), " (", ("parcel_no", "column"), ", ", ("remark", "column"), ") values (", ("@k", "number_literal"), ", '", ("@p", "string_literal"), "')"]),
+    ("sql", ["merge into ", ("lanes_@c", "table"), " ", ("l", "alias"), " using ", ("boats", "table"), " ", ("b", "alias"), " on (", ("l", "alias"), ".", ("lane_id", "column"), " = ", ("b", "alias"), ".", ("boat_lane", "column"), ") when matched then update set ", ("l", "alias"), ".", ("load_kg", "column"), " = ", ("@k", "number_literal")]),
+    ("sql", [("begin null; end;", "fragment")]),
+    ("predicates", ['   1 - access("', ("P", "alias"), '"."', ("LANE_@c", "column"), '"="', ("L", "alias"), '"."', ("LANE_ID", "column"), '")@n   2 - filter("', ("P", "alias"), '"."', ("STATE", "column"), "\"='", ("@p", "string_literal"), "' AND \"", ("P", "alias"), '"."', ("KG", "column"), '">', ("@k", "number_literal"), ")"]),
+    ("outline", ['/*+@n  BEGIN_OUTLINE_DATA@n  FULL(@"', ("SEL$@m", "query_block"), '" "', ("L@c", "identifier"), '"@"', ("SEL$@m", "query_block"), '")@n  END_OUTLINE_DATA@n*/']),
+    ("xplan", ["Plan hash value: ", ("@k", "plan_hash"), "@n@n| Id | Operation | Name | Rows |@n| 1 | TABLE ACCESS FULL | ", ("LANES_@c", "table"), " | 77 |@n| 2 | INDEX RANGE SCAN | ", ("DEPOT_@m", "schema"), ".", ("IX_@c", "index"), " | 9 |@n| 3 | VIEW | ", ("V_@m", "view"), " | 8 |@n"]),
+    ("xplan", ["SQL_ID  ", ("a@kz", "sql_id"), ", child number ", ("@m", "execution_id"), "@n-------------------------------------@ndelete from ", ("gates_@c", "table"), " where ", ("kind", "column"), " = '", ("@p", "string_literal"), "'@n@nPlan hash value: ", ("@k", "plan_hash"), "@n@nQuery Block Name / Object Alias (identified by operation id):@n-----@n   1 - ", ("DEL$1", "query_block"), " / ", ("G", "alias"), "@", ("DEL$1", "query_block"), '@n@nOutline Data@n-----@n  /*+@n  BEGIN_OUTLINE_DATA@n  FULL(@"', ("DEL$1", "query_block"), '" "', ("G", "alias"), '"@"', ("DEL$1", "query_block"), '")@n  END_OUTLINE_DATA@n  */@n@nPredicate Information (identified by operation id):@n-----@n   1 - filter(', ("TIDE_OK", "function"), '("', ("G", "alias"), '"."', ("DOCK", "column"), '")>:', ("B@m", "bind"), ')@n@nColumn Projection Information (identified by operation id):@n-----@n   1 - "', ("G", "alias"), '"."', ("LOAD_KG", "column"), '"[NUMBER,22]@n@nPeeked Binds (identified by position):@n-----@n   1 - :', ("B@m", "bind"), " (NUMBER): ", ("17.5", "number_literal"), "@n   2 - :", ("C@m", "bind"), " (VARCHAR2(12)): '", ("spring @c", "string_literal"), "'@n@nRemote SQL Information (identified by operation id):@n-----@nselect ", ("depth", "column"), " from ", ("tides_@m", "table"), '@n@nNote@n-----@n   - dynamic statistics used: dynamic sampling (level=2)@n   - SQL plan baseline "', ("BASE_@c", "identifier"), '" used for this statement@n   - ', ("tell the foreman of @m", "fragment"), "@n"]),
+    ("xplan", ["Plan hash value: ", ("@k", "plan_hash"), "@n@nCrane Remarks@n-------------@n", ("the big one squeaks @c", "fragment"), "@n"]),
+    ("sql_monitor", ["SQL Monitoring Report@n@nGlobal Information@n------------------------------@n Status : DONE@n Session : ", ("USER_@c (@m:7)", "session_id"), "@n SQL ID : ", ("q@c", "sql_id"), "@n Service : ", ("svc_@m", "service"), "@n Ferry : ", ("boat @c", "fragment"), "@n Duration : 5s@n"]),
+    ("sql_monitor", ["SQL Monitoring Report@n@nSQL Text@n------------------------------@nupdate ", ("gates_@c", "table"), " set ", ("kind", "column"), " = '", ("@p", "string_literal"), "'@n@nGlobal Information@n------------------------------@n Program : ", ("crane_@m", "program"), "@n Module/Action : ", ("load/@c", "module"), "@n@nBinds@n=====@n| Name | Position | Value |@n=====@n| :", ("CUT@m", "bind"), " | 1 | ", ("@k", "number_literal"), " |@n=====@n@nSQL Plan Monitoring Details (Plan Hash Value=", ("7@k", "plan_hash"), ")@n=====@n| Id | Operation | Name | Rows |@n=====@n|  1 | INDEX RANGE SCAN | ", ("IX_@c", "index"), " | 5 |@n=====@n@nParallel Execution Details (DOP=6)@n=====@n| Name | Server# | Username | Wait |@n=====@n| p004 | ", ("31:@k", "session_id"), " | ", ("DOCKER_@c", "user"), " | 0.75 |@n=====@n"]),
+    ("unknown", [("why is lane @c slow", "fragment")]),
+)
 _FILLED = "replace(replace(replace(replace(replace(piece, '@c', CAST(o_custkey AS STRING)), '@m', CAST(o_custkey % 9 AS STRING)), '@p', o_orderpriority), '@k', CAST(o_orderkey AS STRING)), '@n', chr(10))"
 _ROWS = ", ".join(
     "({}, '{}', {}, '{}', {})".format(k, kind, i, (p if isinstance(p, str) else p[0]).replace("'", "@q"), "CAST(NULL AS STRING)" if isinstance(p, str) else f"'{p[1]}'")
-    for k, (kind, cells) in enumerate(_PIECES.items())
+    for k, (kind, cells) in enumerate(_PIECES)
     for i, p in enumerate(cells)
 )
 PIECES = f"SELECT o_orderkey AS artifact_id, kind, i, replace({_FILLED}, '@q', chr(39)) AS piece, entity_type FROM {{orders}} JOIN (VALUES {_ROWS}) AS x(k, kind, i, piece, entity_type) ON o_orderkey % {len(_PIECES)} = k"

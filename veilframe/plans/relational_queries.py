@@ -9,6 +9,7 @@ from ..functions import oracle
 from ..functions.vocabulary import PROMPT_FOLLOW_UP, PROMPT_MATERIALS, PROMPT_QUESTION, TYPE_LABELS
 from ..operators import scratch, workflow
 from ..operators.detection import STRONG_SQL_START
+from ..operators.store import Store
 from . import base
 from .base import plain, query, same
 from .text_queries import _KIND_SQL
@@ -156,7 +157,7 @@ def eager_load(t):
 
 same("count_by_type", "SELECT o_custkey % 50 AS case_id, o_orderpriority, count(*) AS n FROM {orders} GROUP BY o_custkey % 50, o_orderpriority")
 same("distinct_type_sets", "SELECT o_custkey, min(o_orderstatus) AS low, max(o_orderstatus) AS high, count(DISTINCT o_orderstatus) AS n FROM {orders} GROUP BY o_custkey")
-same("set_difference", "SELECT c_custkey FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_orderpriority = '1-URGENT'")
+same("set_difference", "SELECT c_custkey FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'")
 same("max_version", "SELECT o_custkey, max(o_orderkey % 100) + 1 AS next_version FROM {orders} GROUP BY o_custkey")
 
 
@@ -252,11 +253,8 @@ def shape_merge(t):
 @query("shape_partition_pruning", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY o_orderstatus")
 def shape_partition_pruning(t):
     """Rows written by status; the read prunes to one folder."""
-    import uuid
-
     spark = t.spark
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/veilframe-{spark.sparkContext.applicationId}"
-    path = f"{root}/by-status-{uuid.uuid4().hex}"
+    path = scratch.scratch_path(spark)
     t.orders.select("o_orderkey", "o_orderstatus").repartition("o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
     return spark.read.parquet(path).where("o_orderstatus = 'P'").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
@@ -339,13 +337,10 @@ same("fn_aggregates", "SELECT l_returnflag, count(*) AS n, min(l_quantity) AS lo
 @query("stream_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windowed_counts(t):
     """The events as a stream of files, counted by hour and type with a watermark; all windows, closed or not."""
-    import uuid
-
     from ..streaming.registry import windowed_counts
 
     spark = t.spark
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/veilframe-{spark.sparkContext.applicationId}"
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    path = scratch.scratch_path(spark)
     events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
     events.write.parquet(f"{path}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
@@ -357,3 +352,47 @@ def stream_windowed_counts(t):
     counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     done = spark.read.option("recursiveFileLookup", "true").schema("window_start timestamp, event_type string, n long").parquet(f"{path}/out")
     return done.groupBy("window_start", "event_type").agg(F.max("n").alias("n")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# ---- the store's own writes ----
+_ACCOUNTS = "SELECT c_custkey AS key, c_nationkey AS nation, c_acctbal AS balance FROM {customer}"
+_SUPPLIERS = "SELECT 10000000 + s_suppkey AS key, s_nationkey AS nation, s_acctbal AS balance FROM {supplier}"
+_RAISED = "SELECT c_custkey AS key, c_nationkey AS nation, c_acctbal + 1000 AS balance FROM {customer} WHERE c_acctbal < 0"
+
+
+def _store(t):
+    """A store with the customers' accounts."""
+    store = Store(t.spark, scratch.scratch_path(t.spark))
+    store.write("accounts", t.sql(_ACCOUNTS))
+    return store
+
+
+@query("store_append", plain(f"{_ACCOUNTS} UNION ALL {_SUPPLIERS}"))
+def store_append(t):
+    store = _store(t)
+    store.append("accounts", t.sql(_SUPPLIERS))
+    return store.read("accounts")
+
+
+@query("store_upsert", plain("SELECT c_custkey AS key, c_nationkey AS nation, c_acctbal + CASE WHEN c_acctbal < 0 THEN 1000 ELSE 0 END AS balance FROM {customer}"))
+def store_upsert(t):
+    store = _store(t)
+    store.upsert("accounts", t.sql(_RAISED), ["key"])
+    return store.read("accounts")
+
+
+@query("store_delete", plain(f"SELECT * FROM ({_ACCOUNTS}) WHERE balance >= 0"))
+def store_delete(t):
+    store = _store(t)
+    store.delete("accounts", t.sql(_RAISED), ["key"])
+    return store.read("accounts")
+
+
+@query("store_cascade", plain(f"SELECT 'accounts' AS stored, nation, count(*) AS n FROM ({_ACCOUNTS}) WHERE nation <> 3 GROUP BY nation UNION ALL SELECT 'suppliers', nation, count(*) FROM ({_SUPPLIERS}) WHERE nation <> 3 GROUP BY nation"))
+def store_cascade(t):
+    """A nation's rows go from both tables."""
+    store = _store(t)
+    store.write("suppliers", t.sql(_SUPPLIERS))
+    store.delete_case(3, {"accounts": "nation", "suppliers": "nation"})
+    counts = [store.read(n).groupBy("nation").agg(F.count("*").alias("n")).select(F.lit(n).alias("stored"), "nation", "n") for n in ("accounts", "suppliers")]
+    return counts[0].unionByName(counts[1])

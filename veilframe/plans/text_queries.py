@@ -101,7 +101,12 @@ def report_regions(t):
     return out.select("artifact_id", F.when(F.col("h") == "sql_monitor", "sql_monitor").otherwise("xplan").alias("kind"), F.col("start").alias("start_at"), F.length(F.regexp_replace(body, "\\n+$", "")).alias("end_at"))
 
 
-@query("split_materials")
+# A report runs to the end of the paste; other materials are what the fence holds, trimmed
+_FENCED = f"""SELECT artifact_id, kind, CAST(11 + length(text) - length(ltrim(text)) AS INTEGER) AS start_at, CAST(CASE WHEN kind IN ('xplan', 'sql_monitor') THEN 15 + length(text) ELSE 11 + length(rtrim(text)) END AS INTEGER) AS end_at
+    FROM (SELECT *, CASE artifact_id % 7 WHEN 2 THEN 'xplan' WHEN 3 THEN 'sql_monitor' WHEN 4 THEN 'outline' WHEN 5 THEN 'predicates' ELSE 'sql' END AS kind FROM ({plain(base.MIXED)}))"""
+
+
+@query("split_materials", _FENCED)
 def split_materials(t):
     """Materials of pastes by the segmenting reader."""
     from collections.abc import Iterator
@@ -324,11 +329,24 @@ def mapping_merge(t):
     return symbols.merge_mappings(m, m.withColumn("case_id", F.expr("case_id - case_id % 2")))
 
 
-@query("mapping_clear", f"SELECT case_id, count(*) AS n FROM ({plain(base.SYMBOLS)}) WHERE case_id NOT IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 5) GROUP BY case_id")
+_CLEARED = f"""WITH m AS ({plain(base.SYMBOLS)}), d AS (SELECT c_custkey % 50 AS case_id FROM customer GROUP BY ALL HAVING min(c_acctbal) > (SELECT avg(low) FROM (SELECT min(c_acctbal) AS low FROM customer GROUP BY c_custkey % 50)))
+    SELECT 'one' AS cleared, case_id, count(*) AS n FROM m WHERE case_id <> 7 GROUP BY case_id
+    UNION ALL SELECT 'some', case_id, count(*) FROM m WHERE case_id NOT IN (SELECT case_id FROM d) GROUP BY case_id
+    UNION ALL SELECT 'some, mappings gone', NULL, count(*) FROM d UNION ALL SELECT 'all', NULL, 0"""
+
+
+@query("mapping_clear", _CLEARED)
 def mapping_clear(t):
-    """Mappings of the cases with a long conversation go."""
-    doomed = t.conversations.groupBy(F.col("conv_id").alias("case_id")).agg(F.count("*").alias("n")).where("n > 5").select("case_id")
-    return t.sql(base.SYMBOLS).join(doomed, "case_id", "left_anti").groupBy("case_id").agg(F.count("*").alias("n"))
+    """Mappings left after one case, the cases of the better customers, and all are cleared, and how many of the second went."""
+    m = t.sql(base.SYMBOLS)
+    low = t.customer.groupBy((F.col("c_custkey") % 50).alias("case_id")).agg(F.min("c_acctbal").alias("low"))
+    doomed = low.join(F.broadcast(low.agg(F.avg("low").alias("mean"))), F.col("low") > F.col("mean")).select("case_id")  # one row
+    per = lambda name, df: df.groupBy("case_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("cleared"), "case_id", "n")
+    one = t.spark.createDataFrame([(7,)], "case_id long")
+    total = lambda name, df: df.select(F.lit(name).alias("cleared"), F.lit(None).cast("long").alias("case_id"), "n")
+    out = per("one", symbols.clear_mappings(m, one)).unionByName(per("some", symbols.clear_mappings(m, doomed)))
+    gone = symbols.mapping_cases(m).join(doomed, "case_id", "left_semi").agg(F.count("*").alias("n"))
+    return out.unionByName(total("some, mappings gone", gone)).unionByName(total("all", symbols.clear_mappings(m).agg(F.count("*").alias("n"))))
 
 
 # ---- span algebra ----
@@ -469,6 +487,19 @@ def pseudonymise(t):
     return back.select("artifact_id", "case_id", "kind", "masked", (F.col("restored") == F.col("text")).alias("restores"))
 
 
+# The number of an operation, at the head of a line, is no literal
+_TOLD = f"SELECT x.* FROM ({SPAN_SQL}) x JOIN ({plain(base.PREDICATES)}) p ON p.artifact_id = x.artifact_id WHERE x.s > 0 AND p.text[x.s] <> chr(10)"
+
+
+@query("engine_masks", _MASK_SQL.replace(SPAN_SQL, _TOLD))
+def engine_masks(t):
+    """The whole engine over predicate texts: readers, registry, markers and splice, against SQL that finds and numbers the names by itself; check digits left out."""
+    art = t.sql(base.PREDICATES)
+    cases = art.select("case_id").distinct().withColumn("prefix", F.concat(F.lit("C"), "case_id"))
+    out = engine.pseudonymise(art, cases)
+    return out.masked.select("artifact_id", F.regexp_replace("masked", "(OBF_C[0-9]+_[A-Z]+_[0-9]{4,})_[0-9A-F]{2}", "$1").alias("masked"))
+
+
 @query("parse_artifacts")
 def parse_artifacts(t):
     """Entity counts of mixed artifacts by the readers of their kinds."""
