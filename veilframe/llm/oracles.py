@@ -43,4 +43,47 @@ SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
 FROM p JOIN w USING (x)
 """
 
-SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_warc_segments": OP2, "op5_embedding_near_dedup": OP5}
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT r, doc_id, i, x[i] AS line, translate(regexp_replace(x[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM d)),
+often AS (SELECT key FROM (SELECT DISTINCT r, key FROM l WHERE key <> '') GROUP BY key HAVING count(*) >= 10)
+SELECT min(doc_id) AS doc_id, count(*) AS n_lines, count(often.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE often.key IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN often USING (key) GROUP BY r
+"""
+
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda k: CAST(k AS UBIGINT))), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295)"""
+
+OP12 = f"""
+WITH s AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS t
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, conv_id - conv_id % 5 AS base, CAST({_CRC} % 9 AS BIGINT) AS h FROM s),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.t, [])[1:h.h], h.t[h.h + 1:]) AS t FROM h LEFT JOIN s b ON b.conv_id = h.base),
+m AS (SELECT conv_id, len(t) AS size, d, t[1:d] AS node FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM c)),
+n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN size = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM m GROUP BY node, d),
+k AS (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(n.node[n.d].text)) END AS saved FROM n LEFT JOIN k ON k.d = n.d AND k.node = n.node),
+below AS (SELECT node[1:a] AS node, a AS d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM w) GROUP BY ALL)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, w.n_convs, CAST(w.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM w JOIN below ON below.d = w.d AND below.node = w.node LEFT JOIN w u ON u.d = w.d - 1 AND u.node = w.node[1:w.d - 1]
+"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+told AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'),
+             coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM d LEFT JOIN told USING (doc_id)),
+g AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic, len(list_filter(f, lambda x: x)) AS n_fails FROM m GROUP BY part, f),
+l AS (SELECT unnest(range(1, 6)) AS k),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+x AS (SELECT part, array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') AS filter_order, f, o, n, good, toxic, n_fails, coalesce(nullif(list_position(list_transform(o, lambda k: f[k]), true), 0), 6) AS first FROM g, o),
+s AS (SELECT part, filter_order, step, o[step] AS k, sum(CASE WHEN first > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN first = step THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN f[o[step]] AND first < step THEN n ELSE 0 END) AS redundant, sum(CASE WHEN f[o[step]] AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN first = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN first = step THEN toxic ELSE 0 END) AS toxic_lost
+      FROM (SELECT *, unnest(range(1, 6)) AS step FROM x) GROUP BY part, filter_order, step, o)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM s
+"""
+
+SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_warc_segments": OP2, "op5_embedding_near_dedup": OP5, "op11_line_refcounts": OP11, "op12_prefix_trie": OP12, "op13_filter_audit": OP13}

@@ -74,6 +74,25 @@ def op10_pack_min_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), default_path())
 
 
+def op11_line_refcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_repeated_lines
+
+    out = drop_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie, rebuild, sequences
+
+    return conversation_trie(rebuild(sequences(read_table(spark, sf_dir, "conversations"))))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
