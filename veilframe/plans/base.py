@@ -109,6 +109,15 @@ _PIECES = (
     ("sql_monitor", ["SQL Monitoring Report@n@nGlobal Information@n------------------------------@n Status : DONE@n Session : ", ("USER_@c (@m:7)", "session_id"), "@n SQL ID : ", ("q@c", "sql_id"), "@n Service : ", ("svc_@m", "service"), "@n Ferry : ", ("boat @c", "fragment"), "@n Duration : 5s@n"]),
     ("sql_monitor", ["SQL Monitoring Report@n@nSQL Text@n------------------------------@nupdate ", ("gates_@c", "table"), " set ", ("kind", "column"), " = '", ("@p", "string_literal"), "'@n@nGlobal Information@n------------------------------@n Program : ", ("crane_@m", "program"), "@n Module/Action : ", ("load/@c", "module"), "@n@nBinds@n=====@n| Name | Position | Value |@n=====@n| :", ("CUT@m", "bind"), " | 1 | ", ("@k", "number_literal"), " |@n=====@n@nSQL Plan Monitoring Details (Plan Hash Value=", ("7@k", "plan_hash"), ")@n=====@n| Id | Operation | Name | Rows |@n=====@n|  1 | INDEX RANGE SCAN | ", ("IX_@c", "index"), " | 5 |@n=====@n@nParallel Execution Details (DOP=6)@n=====@n| Name | Server# | Username | Wait |@n=====@n| p004 | ", ("31:@k", "session_id"), " | ", ("DOCKER_@c", "user"), " | 0.75 |@n=====@n"]),
     ("unknown", [("why is lane @c slow", "fragment")]),
+    # names typed by scope: nested queries and WITH, arguments that hold a FROM, aliases without AS, sorted by, other literals
+    ("sql", ["with ", ("late_@m", "alias"), " (", ("k", "alias"), ", ", ("n", "alias"), ") as (select ", ("gate_id", "column"), ", count(*) from ", ("depot", "schema"), ".", ("gates_@c", "table"), " ", ("g", "alias"), " where exists (select ", ("@k", "number_literal"), " from ", ("crews", "table"), " ", ("w", "alias"), " where ", ("w", "alias"), ".", ("gate_no", "column"), " = ", ("g", "alias"), ".", ("gate_id", "column"), ") group by ", ("gate_id", "column"), ") select extract(year from ", ("opened_@m", "column"), ") ", ("yr", "alias"), ", trim(both '", ("x", "string_literal"), "' from ", ("label", "column"), ") ", ("tag_@c", "alias"), ", case when ", ("n", "column"), " > ", ("5", "number_literal"), " then ", ("n", "column"), " end ", ("busy", "alias"), " from ", ("late_@m", "alias"), " join (select ", "*", " from ", ("tides", "table"), ") ", ("s", "alias"), " using (", ("k", "column"), ") order by ", ("tag_@c", "alias"), ", ", ("yr", "alias"), " desc"]),
+    ("sql", ["create unique index ", ("depot", "schema"), ".", ("ix_@c", "index"), " on ", ("depot", "schema"), ".", ("lanes_@m", "table"), " (", ("lane_no", "column"), ", upper(", ("label", "column"), "))"]),
+    ("sql", ["create table ", ("depot", "schema"), ".", ("berths_@c", "table"), " (", ("berth_no", "column"), " number, ", ("dock_@m", "column"), " varchar2(", ("@k", "number_literal"), ") not null, constraint ", ("pk_berth", "constraint"), " primary key (", ("berth_no", "column"), "), foreign key (", ("dock_@m", "column"), ") references ", ("harbor", "schema"), ".", ("docks", "table"), " (", ("dock_id", "column"), "))"]),
+    ("sql", ["grant select on ", ("depot", "schema"), ".", ("lanes_@c", "table"), " to ", ("mate_@m", "user"), ", ", ("clerk", "user")]),
+    ("sql", ["update ", ("gates_@c", "table"), " ", ("g", "alias"), " set ", ("g", "alias"), ".", ("kind", "column"), " = (select max(", ("t", "alias"), ".", ("kind", "column"), ") from ", ("tides_@m", "table"), "@", ("far_link", "db_link"), " ", ("t", "alias"), ") where ", ("note", "column"), " = ", ("q'!it's @p!'", "string_literal"), " and ", ("depot", "schema"), ".", ("clerk_pkg", "identifier"), ".", ("is_due", "function"), "(", ("g", "alias"), ".", ("due_at", "column"), ") = ", ("1", "number_literal")]),
+    ("sql", ["lock table ", ("depot", "schema"), ".", ("lanes_@c", "table"), " in exclusive mode"]),
+    ("sql", ["rename ", ("lanes_@c", "table"), " to ", ("old_lanes_@m", "table")]),
+    ("sql", ["analyze table ", ("depot", "schema"), ".", ("lanes_@c", "table")]),
 )
 _FILLED = "replace(replace(replace(replace(replace(piece, '@c', CAST(o_custkey AS STRING)), '@m', CAST(o_custkey % 9 AS STRING)), '@p', o_orderpriority), '@k', CAST(o_orderkey AS STRING)), '@n', chr(10))"
 _ROWS = ", ".join(
