@@ -1,24 +1,40 @@
-"""Rewriting: splice markers in, restore them, mask questions, and look for what leaked."""
+"""Rewriting: splice markers in, restore them, mask questions, and look for what leaked.
 
-from __future__ import annotations
+Texts are told apart by ``doc``, a column or a list of columns. Rows that repeat a key must be equal: they then share their spans
+and each is rewritten. Keys may be null.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from ..functions.vocabulary import LEAK_ALLOWED, LEAK_TYPES, MASK_ORDER
+from . import names
+from .scratch import written
 from .spans import token_rows
 
-WORD = "[A-Za-z0-9_$#]+"
+WORD = names.WORD
 MARKER = "OBF_[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+"
 
 
-def manifest(spans: DataFrame, doc: str = "artifact_id") -> DataFrame:
+def _keys(doc: str | list[str]) -> list[str]:
+    return [doc] if isinstance(doc, str) else list(doc)
+
+
+def _attach(texts: DataFrame, parts: DataFrame, doc: str | list[str]) -> DataFrame:
+    """Left join by null-safe keys."""
+    keys = _keys(doc)
+    renamed = parts.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    hit = F.lit(True)
+    for k in keys:
+        hit = hit & texts[k].eqNullSafe(renamed[f"_key_{k}"])
+    return texts.join(renamed, hit, "left").drop(*(f"_key_{k}" for k in keys))
+
+
+def manifest(spans: DataFrame, doc: str | list[str] = "artifact_id") -> DataFrame:
     """Each replacement with its place in the output: the running change of length moves it."""
-    before = Window.partitionBy(doc).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*_keys(doc)).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     moved = F.coalesce(F.sum(F.length("marker") - (F.col("end") - F.col("start"))).over(before), F.lit(0))
     return spans.withColumn("output_start", (F.col("start") + moved).cast("int")).withColumn("output_end", F.col("output_start") + F.length("marker"))
 
@@ -30,97 +46,96 @@ def splice(text: Column, parts: Column, start: str = "start", end: str = "end",
     return F.concat(F.array_join(bounds, ""), tail)
 
 
-@F.pandas_udf(StringType())
-def splice_long(rows: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-    """Splice in time linear in the text: struct(text, parts array<struct<start, end, marker>> sorted by start)."""
-    for batch in rows:
-        out = []
-        for text, parts in zip(batch["text"], batch["parts"], strict=True):
-            pieces, done = [], 0
-            for p in parts if parts is not None else ():
-                if p["start"] < done:
-                    raise ValueError("replacements overlap")
-                pieces += [text[done : p["start"]], p["marker"]]
-                done = p["end"]
-            out.append(None if text is None else "".join([*pieces, text[done:]]))
-        yield pd.Series(out, dtype=object)
-
-
-def apply_replacements(artifacts: DataFrame, spans: DataFrame, doc: str = "artifact_id", text: str = "text") -> DataFrame:
-    """artifacts with ``masked``: every span replaced by its marker. spans: doc, start, end, marker."""
-    parts = spans.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("start", "end", "marker"))).alias("_parts"))
-    joined = artifacts.join(parts, doc, "left")
-    return joined.withColumn("masked", splice_long(F.struct(F.col(text).alias("text"), F.col("_parts").alias("parts")))).drop("_parts")
-
-
-@F.pandas_udf(StringType())
-def restore_long(rows: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-    """Check and undo replacements in time linear in the text: struct(text, parts sorted by output_start)."""
-    for batch in rows:
-        out = []
-        for text, parts in zip(batch["text"], batch["parts"], strict=True):
-            pieces, done = [], 0
-            for p in parts if parts is not None else ():
-                s, e = p["output_start"], p["output_end"]
-                if text is None or s < done or text[s:e].upper() != p["marker"].upper():
-                    raise ValueError("a marker is not at its place")
-                pieces += [text[done:s], p["original"]]
-                done = e
-            out.append(None if text is None else "".join([*pieces, text[done:]]))
-        yield pd.Series(out, dtype=object)
-
-
-def exact_restore(masked: DataFrame, replacements: DataFrame, doc: str = "artifact_id") -> DataFrame:
-    """The source texts from masked ones: each marker is checked at its place and gives way to its own lexeme."""
-    parts = replacements.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("output_start", "output_end", "original", "marker"))).alias("_parts"))
-    joined = masked.join(parts, doc, "left")
-    return joined.withColumn("restored", restore_long(F.struct(F.col("masked").alias("text"), F.col("_parts").alias("parts")))).drop("_parts")
-
-
-def restore_answers(answers: DataFrame, symbols: DataFrame, key: str = "answer_id", case: str = "case_id", text: str = "text") -> DataFrame:
-    """answers with ``restored`` (known markers, in any case, give way to the first-seen lexeme) and ``unknown`` (other markers of the case's prefix, sorted)."""
-    found = token_rows(answers, [key, case], text, "(?i)" + f"[A-Za-z0-9_]*{MARKER}[A-Za-z0-9_]*").where(F.upper("token").startswith("OBF_"))
-    known = symbols.select(case, F.upper("marker").alias("_u"), "preferred_original", F.split("marker", "_")[1].alias("_prefix"))
-    prefixes = known.groupBy(case).agg(F.min("_prefix").alias("_prefix"))
-    hits = found.withColumn("_u", F.upper("token")).join(known.drop("_prefix"), [case, "_u"], "left").join(prefixes, case)
-    own = F.col("_u").startswith(F.concat(F.lit("OBF_"), F.upper("_prefix"), F.lit("_")))
+def _spliced(text: str, parts: list[dict], start: str, end: str, new: str, old: str | None = None) -> str:
+    """The text with its parts replaced, in time linear in both; with ``old`` each part must stand there, in any case."""
+    pieces, done = [], 0
+    for p in parts:
+        s, e = p[start], p[end]
+        if s < done:
+            raise ValueError("replacements overlap")
+        if old and text[s:e].upper() != p[old].upper():
+            raise ValueError("a marker is not at its place")
+        pieces += [text[done:s], p[new]]
+        done = e
+    return "".join([*pieces, text[done:]])
+
+
+def _splicer(start: str, end: str, new: str, old: str | None = None):
+    def run(texts: pa.Array, parts: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), parts.to_pylist(), strict=True)
+        return pa.array([None if t is None else _spliced(t, p or [], start, end, new, old) for t, p in rows], pa.string())
+
+    return F.arrow_udf(run, "string")
+
+
+def splice_long(text: Column, parts: Column) -> Column:
+    """Splice of any length: parts is an array of structs (start, end, marker) sorted by start."""
+    return _splicer("start", "end", "marker")(text, parts)
+
+
+def restore_long(text: Column, parts: Column) -> Column:
+    """Check and undo replacements: parts sorted by output_start, with original and marker."""
+    return _splicer("output_start", "output_end", "original", "marker")(text, parts)
+
+
+def apply_replacements(artifacts: DataFrame, spans: DataFrame, doc: str | list[str] = "artifact_id", text: str = "text") -> DataFrame:
+    """artifacts with ``masked``: every span replaced by its marker. spans: doc, start, end, marker; equal spans count once."""
+    parts = spans.groupBy(*_keys(doc)).agg(F.array_sort(F.collect_set(F.struct("start", "end", "marker"))).alias("_parts"))
+    return _attach(artifacts, parts, doc).withColumn("masked", splice_long(F.col(text), F.col("_parts"))).drop("_parts")
+
+
+def exact_restore(masked: DataFrame, replacements: DataFrame | None = None, doc: str | list[str] = "artifact_id") -> DataFrame:
+    """The source texts from masked ones: each marker is checked at its place and gives way to its own lexeme.
+
+    Without ``replacements`` the texts carry them, as the engine's do, and nothing is shuffled.
+    """
+    if replacements is None:
+        return masked.withColumn("restored", restore_long(F.col("masked"), F.col("replacements")))
+    parts = replacements.groupBy(*_keys(doc)).agg(F.array_sort(F.collect_set(F.struct("output_start", "output_end", "original", "marker"))).alias("_parts"))
+    return _attach(masked, parts, doc).withColumn("restored", restore_long(F.col("masked"), F.col("_parts"))).drop("_parts")
+
+
+def restore_answers(answers: DataFrame, symbols: DataFrame, case: str = "case_id", text: str = "text") -> DataFrame:
+    """answers with ``restored`` (known markers, in any case, give way to the first-seen lexeme), ``n_restored``, and ``unknown`` (other markers of the case's prefix, sorted).
+
+    Answers are told apart by row, so ids may repeat or be null; those of a null or unknown case come back as they are.
+    """
+    rows = written(answers.withColumn("_row", F.monotonically_increasing_id()))
+    found = token_rows(rows, ["_row", case], text, "(?i)" + f"[A-Za-z0-9_]*{MARKER}[A-Za-z0-9_]*").where(F.upper("token").startswith("OBF_"))
+    known = symbols.groupBy(case, F.upper("marker").alias("_u")).agg(F.min_by("preferred_original", "sequence").alias("preferred_original"))
+    prefixes = known.groupBy(case).agg(F.min(F.split("_u", "_")[1]).alias("_prefix"))
+    hits = found.withColumn("_u", F.upper("token")).join(known, [case, "_u"], "left").join(prefixes, case)
+    own = F.col("_u").startswith(F.concat(F.lit("OBF_"), F.col("_prefix"), F.lit("_")))
     part = F.struct("start", "end", F.col("preferred_original").alias("marker"))
-    per = hits.groupBy(key).agg(
+    per = hits.groupBy("_row").agg(
         F.array_sort(F.collect_list(F.when(F.col("preferred_original").isNotNull(), part))).alias("_parts"),
         F.array_sort(F.collect_set(F.when(F.col("preferred_original").isNull() & own, F.col("token")))).alias("unknown"),
     )
-    joined = answers.join(per, key, "left")
-    out = splice_long(F.struct(F.col(text).alias("text"), F.col("_parts").alias("parts")))
-    return joined.withColumn("restored", out).withColumn("unknown", F.coalesce("unknown", F.expr("cast(array() as array<string>)"))).drop("_parts")
-
+    joined = rows.join(per, "_row", "left").withColumn("restored", splice_long(F.col(text), F.col("_parts")))
+    return joined.withColumn("n_restored", F.coalesce(F.size("_parts"), F.lit(0))).withColumn("unknown", F.coalesce("unknown", F.expr("cast(array() as array<string>)"))).drop("_parts", "_row")
 
-def word_map(symbols: DataFrame, case: str = "case_id") -> DataFrame:
-    """(case, word, marker, entity_type): the symbol that an upper-case word stands for, by mask order, then sequence."""
-    order = F.element_at(F.create_map(*(F.lit(x) for kv in MASK_ORDER.items() for x in kv)), F.col("entity_type"))
-    names = symbols.where(F.col("entity_type").isin(*LEAK_TYPES) & F.col("preferred_original").rlike(f"^{WORD}$")).withColumn("word", F.upper("preferred_original"))
-    names = names.where((F.length("word") >= 3) & ~F.col("word").isin(*LEAK_ALLOWED))
-    place = F.struct(order, F.col("sequence"))
-    return names.groupBy(case, "word").agg(F.min_by("marker", place).alias("marker"), F.min_by("entity_type", place).alias("entity_type"))
 
+def mask_questions(questions: DataFrame, symbols: DataFrame, case: str = "case_id", text: str = "text", **limits) -> DataFrame:
+    """questions with ``masked``: whole names of known symbols, of one word or any other form and in any case, give way to their markers.
 
-def mask_questions(questions: DataFrame, symbols: DataFrame, key: str = "question_id", case: str = "case_id", text: str = "text") -> DataFrame:
-    """questions with ``masked``: whole words that name a known symbol, in any case, give way to its marker. Own markers are words of their own and stay."""
-    words = token_rows(questions, [key, case], text, WORD).withColumn("word", F.upper("token"))
-    hits = words.join(word_map(symbols, case), [case, "word"])
-    return apply_replacements(questions, hits.select(key, "start", "end", "marker"), key, text)
+    Names that are no word go first, longest first, then words beside them. Own markers are words of their own and stay.
+    """
+    found = names.with_hits(questions, symbols, case, text, "_hits", **limits)
+    return found.withColumn("masked", names.replace_hits(F.col(text), F.col("_hits"))).drop("_hits")
 
 
-def leak_findings(masked: DataFrame, symbols: DataFrame, doc: str = "artifact_id", case: str = "case_id", text: str = "masked") -> DataFrame:
-    """possible_unmasked_symbol, once per artifact, type and word, with its first place."""
-    words = token_rows(masked, [doc, case], text, WORD).withColumn("word", F.upper("token"))
-    hits = words.join(word_map(symbols, case), [case, "word"])
-    return hits.groupBy(doc, "entity_type", "word").agg(F.min("start").alias("start")).withColumn("code", F.lit("possible_unmasked_symbol"))
+def leak_findings(masked: DataFrame, symbols: DataFrame, doc: str | list[str] = "artifact_id", case: str = "case_id", text: str = "masked", **limits) -> DataFrame:
+    """possible_unmasked_symbol, once per text, type and name of any form, with its first place."""
+    keys = _keys(doc)
+    found = names.with_hits(masked.select(*dict.fromkeys([*keys, case, text])), symbols, case, text, "_hits", **limits)
+    hits = found.select(*keys, F.explode("_hits").alias("h")).select(*keys, "h.entity_type", "h.word", "h.start")
+    return hits.groupBy(*keys, "entity_type", "word").agg(F.min("start").alias("start")).withColumn("code", F.lit("possible_unmasked_symbol"))
 
 
-def collision_findings(sources: DataFrame, cases: DataFrame, doc: str = "artifact_id", case: str = "case_id", text: str = "text") -> DataFrame:
+def collision_findings(sources: DataFrame, cases: DataFrame, doc: str | list[str] = "artifact_id", case: str = "case_id", text: str = "text") -> DataFrame:
     """input_marker_collision: sources that already hold the case's prefix."""
-    joined = sources.join(cases.select(case, "prefix"), case)
-    return joined.where(F.contains(F.upper(text), F.concat(F.lit("OBF_"), F.upper("prefix"), F.lit("_")))).select(doc, F.lit("input_marker_collision").alias("code"))
+    joined = sources.join(cases.select(case, "prefix").distinct(), case)
+    return joined.where(F.contains(F.upper(text), F.concat(F.lit("OBF_"), F.upper("prefix"), F.lit("_")))).select(*_keys(doc), F.lit("input_marker_collision").alias("code"))
 
 
 def validation_status(n_findings: Column, has_prompt: Column) -> Column:

@@ -2,31 +2,46 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .model import settle_order
+
 LINE = "[^\\n]*\\n|[^\\n]+$"
 
 
+def _running(lengths: pa.Array) -> pa.Array:
+    """Running sums within each list."""
+    bounds = lengths.offsets.to_numpy() - lengths.offsets[0].as_py()
+    total = np.concatenate([[0], np.cumsum(lengths.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(total[1:] - np.repeat(total[bounds[:-1]], np.diff(bounds)), pa.int32()))
+
+
+def running_sums(lengths: Column) -> Column:
+    """Running sums of an array of integers, null taken as empty: numbers alone leave the JVM, and no row is shuffled for a sum within itself."""
+    return F.arrow_udf(_running, "array<int>")(F.coalesce(lengths, F.expr("cast(array() as array<int>)")))
+
+
 def token_rows(df: DataFrame, keys: list[str], text: str, pattern: str, around: bool = False) -> DataFrame:
     """A row per match of ``pattern`` (which must not match the empty string): keys, i (from 0), token, start, end; with ``around`` also the characters before and after.
 
-    Matches and the gaps between them come from built-in functions; a running sum of their lengths gives code-point
-    offsets. The sum runs over a number given to each row of ``df``, so rows that share keys stay apart and no key is hot.
+    Matches and the gaps between them come from built-in functions; running sums of their lengths give code-point offsets. Rows
+    that share keys stay apart, and no row leaves its task.
     """
-    parts = df.select(*keys, F.monotonically_increasing_id().alias("_row"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("_tok"), F.split(text, pattern, -1).alias("_gap"))
+    parts = df.select(*keys, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("_tok"), F.split(text, pattern, -1).alias("_gap"))
     zipped = ["_tok", "_gap"]
     if around:
         later = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))
         parts = parts.withColumns({"_past": F.concat(F.array(F.lit("")), "_tok"), "_next": later("_gap"), "_then": later("_tok")})
         zipped += ["_past", "_next", "_then"]
-    rows = parts.select(*keys, "_row", F.posexplode(F.arrays_zip(*zipped)).alias("i", "_x")).where(F.col("_x._tok").isNotNull())
+    ends = running_sums(F.transform("_tok", lambda t, i: F.length(F.get("_gap", i)) + F.length(t)))
+    rows = parts.withColumn("_end", ends).select(*keys, F.posexplode(F.arrays_zip(*zipped, "_end")).alias("i", "_x")).where(F.col("_x._tok").isNotNull())
     beside = []
     if around:
         beside = [F.expr("right(if(_x._gap = '', _x._past, _x._gap), 1)").alias("before"), F.expr("left(if(_x._next = '', coalesce(_x._then, ''), _x._next), 1)").alias("after")]
-    rows = rows.select(*keys, "_row", "i", F.col("_x._tok").alias("token"), F.length("_x._gap").alias("gap"), *beside)
-    end = F.sum(F.col("gap") + F.length("token")).over(Window.partitionBy("_row").orderBy("i")).cast("int")
-    return rows.withColumn("end", end).select(*keys, "i", "token", (F.col("end") - F.length("token")).alias("start"), "end", *["before", "after"] * around)
+    return rows.select(*keys, "i", F.col("_x._tok").alias("token"), (F.col("_x._end") - F.length("_x._tok")).alias("start"), F.col("_x._end").alias("end"), *beside)
 
 
 def trimmed_bounds(text: Column) -> Column:
@@ -39,9 +54,9 @@ def trimmed_bounds(text: Column) -> Column:
 def cell_rows(lines: DataFrame, keys: list[str], text: str) -> DataFrame:
     """A row per table cell of a line: keys, i (from 0), cell, start, end; cells stand between neighbouring bars."""
     parts = lines.select(*keys, F.split(text, r"\|", -1).alias("_p"))
-    rows = parts.select(*keys, F.size("_p").alias("_n"), F.posexplode("_p").alias("_i", "cell"))
-    start = F.sum(F.length("cell") + 1).over(Window.partitionBy(*keys).orderBy("_i")).cast("int") - F.length("cell") - 1
-    return rows.withColumn("start", start).where("_i > 0 and _i < _n - 1").select(*keys, (F.col("_i") - 1).alias("i"), "cell", "start", (F.col("start") + F.length("cell")).alias("end"))
+    ends = running_sums(F.transform("_p", lambda c: F.length(c) + 1))
+    rows = parts.withColumn("_e", ends).select(*keys, F.size("_p").alias("_n"), F.posexplode(F.arrays_zip("_p", "_e")).alias("_i", "_x")).where("_i > 0 and _i < _n - 1")
+    return rows.select(*keys, (F.col("_i") - 1).alias("i"), F.col("_x._p").alias("cell"), (F.col("_x._e") - F.length("_x._p") - 1).alias("start"), (F.col("_x._e") - 1).alias("end"))
 
 
 def dedupe_spans(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -50,20 +65,20 @@ def dedupe_spans(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
     return spans.withColumn("_n", best).where("_n = 1").drop("_n")
 
 
+def _settled(spans: pa.Array) -> pa.Array:
+    """Positions of the spans that stay, by the sweep that settles what readers mark."""
+    flat = spans.flatten()
+    column = lambda c: flat.field(flat.type.get_field_index(c)).to_numpy(zero_copy_only=False)
+    start, end, rank = column("start"), column("end"), column("priority")
+    bounds = spans.offsets.to_numpy() - spans.offsets[0].as_py()
+    kept = [settle_order(start[a:b], end[a:b], rank[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return pa.array(kept, pa.list_(pa.int32()))
+
+
 def fold_overlaps(spans: Column) -> Column:
-    """Sweep of an array of structs (start, end, priority, ...): a span is accepted past the last one's end, or replaces it if its priority is higher."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["priority"]).alias("b"), (s["start"] - s["end"]).alias("c"), s.alias("s"))))
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        rest = F.slice(done, 1, F.size(done) - 1)
-        return (
-            F.when((F.size(done) == 0) | (x["s"]["start"] >= F.when(F.size(done) > 0, last["s"]["end"])), F.concat(done, F.array(x)))
-            .when(x["s"]["priority"] > last["s"]["priority"], F.concat(rest, F.array(x)))
-            .otherwise(done)
-        )
-
-    return F.transform(F.aggregate(ordered, F.slice(ordered, 1, 0), step), lambda x: x["s"])
+    """The spans (array of structs start, end, priority, ...) that stay, left to right, none over another; of equal ones the first in the array."""
+    kept = F.arrow_udf(_settled, "array<int>")(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["priority"].alias("priority"))))
+    return F.transform(kept, lambda k: F.get(spans, k))
 
 
 def overlap_pairs(spans: DataFrame, doc: str = "doc_id", block: int = 64) -> DataFrame:

@@ -83,14 +83,29 @@ def rank_in_group(df: DataFrame, group: str, order: list[str], out: str) -> Data
     return ranked.withColumn(out, (F.col("_g") - F.col("_first") + 1).cast("int")).select(*df.columns, out)
 
 
+def unique_symbols(registry: DataFrame, case: str = "case_id") -> DataFrame:
+    """A registry whose keys are there once: of repeated ones the lowest sequence stays."""
+    key = [case, "entity_type", "canonical"]
+    rest = [c for c in registry.columns if c not in key]
+    return registry.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct("sequence", "marker")).alias("_r")).select(*key, "_r.*")
+
+
 def register(spans: DataFrame, cases: DataFrame, existing: DataFrame | None = None, case: str = "case_id") -> DataFrame:
-    """The registry after these spans: existing symbols (confidence raised to the highest seen) and new ones.
+    """The registry after these spans (case, position, start, entity_type, canonical, original, confidence)."""
+    return register_keys(first_seen(spans, case), cases, existing, case)
+
+
+def register_keys(seen: DataFrame, cases: DataFrame, existing: DataFrame | None = None, case: str = "case_id") -> DataFrame:
+    """The registry after these keys: existing symbols (confidence raised to the highest seen) and new ones.
 
-    New symbols are numbered on from the case's highest sequence in the order of first appearance.
-    Columns: case, entity_type, canonical, preferred_original, sequence, confidence, marker. ``cases``: case, prefix.
+    seen: case, entity_type, canonical, first (place), preferred_original, confidence; a key may come several times, as it
+    does after types were adopted. New symbols are numbered on from the case's highest sequence in the order of first
+    appearance. ``cases``: case, prefix; equal rows are one, and a case with none has no symbols: what it would have named
+    stays without a marker, which the engine withholds. Columns: case, entity_type, canonical, preferred_original, sequence, confidence, marker.
     """
-    seen = first_seen(spans, case)
     key = [case, "entity_type", "canonical"]
+    seen = seen.where(F.col(case).isNotNull()).groupBy(*key).agg(F.min("first").alias("first"), F.min_by("preferred_original", "first").alias("preferred_original"), F.max("confidence").alias("confidence"))
+    prefixes = cases.groupBy(case).agg(F.min("prefix").alias("prefix"))
     if existing is None:
         fresh, last, kept = seen, None, None
     else:
@@ -98,10 +113,11 @@ def register(spans: DataFrame, cases: DataFrame, existing: DataFrame | None = No
         last = existing.groupBy(case).agg(F.max("sequence").alias("_last"))
         raised = seen.select(*key, F.col("confidence").alias("_seen"))
         kept = existing.join(raised, key, "left").withColumn("confidence", F.greatest("confidence", "_seen")).drop("_seen")
+    fresh = fresh.join(prefixes, case)
     fresh = rank_in_group(fresh.withColumn("_p", F.col("first.position")).withColumn("_s", F.col("first.start")), case, ["_p", "_s", "entity_type", "canonical"], "sequence").drop("_p", "_s", "first")
     if last is not None:
         fresh = fresh.join(last, case, "left").withColumn("sequence", (F.col("sequence") + F.coalesce("_last", F.lit(0))).cast("int")).drop("_last")
-    fresh = fresh.join(cases.select(case, "prefix"), case).withColumn("marker", marker(F.col("prefix"), F.col("entity_type"), F.col("sequence"))).drop("prefix")
+    fresh = fresh.withColumn("marker", marker(F.col("prefix"), F.col("entity_type"), F.col("sequence"))).drop("prefix")
     columns = [*key, "preferred_original", "sequence", "confidence", "marker"]
     return fresh.select(*columns) if kept is None else kept.select(*columns).unionByName(fresh.select(*columns))
 

@@ -141,6 +141,22 @@ SYMBOLS = """SELECT CAST(c AS BIGINT) AS case_id, entity_type, name AS preferred
 # Questions by customer that name nations
 QUESTIONS = """SELECT c_custkey AS question_id, c_custkey % 50 AS case_id, 'why is ' || lower(replace(n_name, ' ', '_')) || ' joined to Region ' || replace(r_name, ' ', '_') || ' and ' || replace(n_name, ' ', '_') || 'X, see ' || c_name AS text
     FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey"""
+
+# Symbols whose names are no single word, beside words: quoted, with spaces, one within another, with a hyphen
+NAMED_SYMBOLS = """SELECT CAST(c AS BIGINT) AS case_id, entity_type, name AS preferred_original, 'Q:' || name AS canonical, sequence, 'OBF_C' || CAST(c AS STRING) || '_' || code || '_' || lpad(CAST(sequence AS STRING), 4, '0') || '_AB' AS marker
+    FROM (SELECT 'column' AS entity_type, 'COL' AS code, chr(34) || 'Berth ' || CAST(n_nationkey AS STRING) || chr(34) AS name, n_nationkey + 201 AS sequence FROM {nation}
+          UNION ALL SELECT 'view', 'VIW', 'Berth ' || CAST(n_nationkey AS STRING) || ' Log', n_nationkey + 301 FROM {nation}
+          UNION ALL SELECT 'index', 'IDX', 'IX-' || CAST(n_nationkey AS STRING), n_nationkey + 401 FROM {nation}
+          UNION ALL SELECT 'table', 'TBL', upper(replace(n_name, ' ', '_')), n_nationkey + 1 FROM {nation}) x
+    CROSS JOIN (SELECT DISTINCT c_custkey % 50 AS c FROM {customer}) y"""
+# Questions by customer in pieces, each with the symbol it names (null: it stays)
+NAMED_PIECES = """SELECT c_custkey AS question_id, c_custkey % 50 AS case_id, i, replace(replace(piece, '@n', CAST(c_nationkey AS STRING)), '@w', lower(replace(n_name, ' ', '_'))) AS piece, entity_type, code, CAST(base + c_nationkey AS INT) AS sequence
+    FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey CROSS JOIN (VALUES (0, 'why is ', NULL, NULL, 0), (1, 'berth @n', 'column', 'COL', 201), (2, ' slow, not ', NULL, NULL, 0), (3, 'BERTH @n LOG', 'view', 'VIW', 301), (4, ' nor xix-@n, ix-@na, berth @nz', NULL, NULL, 0),
+        (5, ': ', NULL, NULL, 0), (6, 'ix-@n', 'index', 'IDX', 401), (7, '/', NULL, NULL, 0), (8, '"Berth @n"', 'column', 'COL', 201), (9, ' of é', NULL, NULL, 0), (10, '@w', 'table', 'TBL', 1), (11, '?', NULL, NULL, 0)) AS p(i, piece, entity_type, code, base)"""
+# Artifacts of null, missing and twice-named cases, and rows that come twice
+ODD_ARTIFACTS = f"""SELECT CAST(artifact_id - artifact_id % 3 AS BIGINT) AS artifact_id, CASE WHEN artifact_id % 11 = 0 THEN NULL ELSE case_id END AS case_id, position, text FROM ({PREDICATES}) p
+    UNION ALL SELECT artifact_id, case_id, position, text FROM ({PREDICATES}) q WHERE artifact_id % 7 = 0"""
+ODD_CASES = """SELECT c_custkey % 50 AS case_id, 'C' || CAST(CASE WHEN c_custkey % 10 = 4 THEN c_custkey ELSE c_custkey % 50 END AS STRING) AS prefix FROM {customer} WHERE c_custkey % 10 <> 3"""
 # Answers by customer that hold known markers in any case, unknown ones and words that only look like one
 ANSWERS = """SELECT c_custkey AS answer_id, c_custkey % 50 AS case_id, 'Look at obf_c' || CAST(c_custkey % 50 AS STRING) || '_tbl_' || lpad(CAST(c_nationkey + 1 AS STRING), 4, '0') || '_ab, then OBF_C'
     || CAST(c_custkey % 50 AS STRING) || '_TBL_0999_' || CAST(c_custkey % 90 + 10 AS STRING) || ' and xOBF_C1_TBL_0001_AB; ' || c_name AS text FROM {customer}"""
