@@ -90,8 +90,8 @@ def test_a_span_without_marker_withholds(spark):
 
     parsed = with_parsed(rows.withColumn("row_id", F.lit(0).cast("long"))).withColumn("_sure", F.lit(True))
     nothing = spark.createDataFrame([(1, "column", "U:A", "column", "OBF_X_COL_0001_00")], "case_id long, entity_type string, canonical string, final_type string, marker string")
-    for limit in (engine.MAX_MAPPING, 0):
-        r = engine._rewritten(parsed, nothing, limit).first()._done
+    for small in (True, False):
+        r = engine._rewritten(parsed, nothing, small).first()._done
         assert r.masked == engine.WITHHELD and r.problem == "marker_missing" and r.replacements[0].original == "select a from b"
 
 

@@ -46,24 +46,32 @@ def splice(text: Column, parts: Column, start: str = "start", end: str = "end",
     return F.concat(F.array_join(bounds, ""), tail)
 
 
-def _spliced(text: str, parts: list[dict], start: str, end: str, new: str, old: str | None = None) -> str:
-    """The text with its parts replaced, in time linear in both; with ``old`` each part must stand there, in any case."""
-    pieces, done = [], 0
-    for p in parts:
-        s, e = p[start], p[end]
-        if s < done:
-            raise ValueError("replacements overlap")
-        if old and text[s:e].upper() != p[old].upper():
-            raise ValueError("a marker is not at its place")
-        pieces += [text[done:s], p[new]]
-        done = e
-    return "".join([*pieces, text[done:]])
-
-
 def _splicer(start: str, end: str, new: str, old: str | None = None):
+    """Replace parts of texts, in time linear in both; with ``old`` each part must stand at its place, in any case."""
+
     def run(texts: pa.Array, parts: pa.Array) -> pa.Array:
-        rows = zip(texts.to_pylist(), parts.to_pylist(), strict=True)
-        return pa.array([None if t is None else _spliced(t, p or [], start, end, new, old) for t, p in rows], pa.string())
+        flat = parts.flatten()
+        column = lambda c: flat.field(flat.type.get_field_index(c)).to_pylist()
+        starts, ends, news = column(start), column(end), column(new)
+        olds = column(old) if old else news
+        out, last = [], 0
+        for text, n in zip(texts.to_pylist(), parts.value_lengths().to_pylist(), strict=True):
+            first, last = last, last + (n or 0)
+            if text is None or not n:
+                out.append(text)
+                continue
+            pieces, done = [], 0
+            for k in range(first, last):
+                s = starts[k]
+                if s < done:
+                    raise ValueError("replacements overlap")
+                if old and text[s : ends[k]] != olds[k] and text[s : ends[k]].upper() != olds[k].upper():
+                    raise ValueError("a marker is not at its place")
+                pieces += (text[done:s], news[k])
+                done = ends[k]
+            pieces.append(text[done:])
+            out.append("".join(pieces))
+        return pa.array(out, pa.string())
 
     return F.arrow_udf(run, "string")
 

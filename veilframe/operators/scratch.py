@@ -22,3 +22,12 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input lies in a few files that a few tasks would read: deal its rows over all cores. An input that fills the cores by itself comes back as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    share = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * share else df

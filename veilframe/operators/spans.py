@@ -68,7 +68,7 @@ def dedupe_spans(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
 def _settled(spans: pa.Array) -> pa.Array:
     """Positions of the spans that stay, by the sweep that settles what readers mark."""
     flat = spans.flatten()
-    column = lambda c: flat.field(flat.type.get_field_index(c)).to_numpy(zero_copy_only=False)
+    column = lambda c: flat.field(flat.type.get_field_index(c)).to_pylist()
     start, end, rank = column("start"), column("end"), column("priority")
     bounds = spans.offsets.to_numpy() - spans.offsets[0].as_py()
     kept = [settle_order(start[a:b], end[a:b], rank[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]

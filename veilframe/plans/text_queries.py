@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import CODE, GLOBAL_KEPT, GLOBAL_MASKED, HINT_WORDS, by_label
 from ..operators import answers, detection, engine, rewrite, spans, sql_text, symbols
-from ..operators.scratch import written
+from ..operators.scratch import spread, written
 from ..sources import text as sources
 from . import base
 from .base import duck_tokens, plain, query
@@ -229,7 +229,7 @@ PLACED_SQL = f"""SELECT x.*, {MARK.replace('case_id', 'x.case_id').replace('CASE
 
 
 def _spans(t):
-    rows = spans.expression_tokens(t.sql(base.PREDICATES), ["artifact_id", "case_id", "position"], "text").where("entity_type is not null")
+    rows = spans.expression_tokens(spread(t.sql(base.PREDICATES)), ["artifact_id", "case_id", "position"], "text").where("entity_type is not null")
     return rows.withColumn("canonical", spans.canonical_key(F.col("original"), F.col("entity_type"))).withColumn("confidence", F.lit(1.0))
 
 
@@ -246,13 +246,13 @@ def _marked(t):
 
 @query("expression_tokens", f"SELECT artifact_id, i, s AS start_at, e AS end_at, original, entity_type FROM ({EXPR_SQL})")
 def expression_tokens(t):
-    rows = spans.expression_tokens(t.sql(base.PREDICATES), ["artifact_id", "case_id", "position"], "text")
+    rows = spans.expression_tokens(spread(t.sql(base.PREDICATES)), ["artifact_id", "case_id", "position"], "text")
     return rows.select("artifact_id", "i", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "original", "entity_type")
 
 
 @query("token_types", f"SELECT case_id, entity_type, count(*) AS n FROM ({EXPR_SQL}) GROUP BY ALL")
 def token_types(t):
-    return spans.expression_tokens(t.sql(base.PREDICATES), ["artifact_id", "case_id", "position"], "text").groupBy("case_id", "entity_type").agg(F.count("*").alias("n"))
+    return spans.expression_tokens(spread(t.sql(base.PREDICATES)), ["artifact_id", "case_id", "position"], "text").groupBy("case_id", "entity_type").agg(F.count("*").alias("n"))
 
 
 @query("canonical_keys", f"SELECT entity_type, canonical, count(*) AS n, count(DISTINCT original) AS n_lexemes FROM ({SPAN_SQL}) GROUP BY ALL")
