@@ -175,17 +175,22 @@ def test_titles_and_status(spark):
 
 
 def test_stream_registry(spark, tmp_path, cases):
+    """Batches, a restart from the checkpoint, repeated and late rows: numbers go on, none is given twice."""
     from veilframe.streaming.registry import keep_registry
 
     schema = "case_id long, artifact_id long, position int, start int, entity_type string, canonical string, original string, confidence double"
-    store = Store(spark, f"file://{tmp_path}/s")
-    first = spark.createDataFrame([(1, 1, 0, 0, "table", "U:A", "a", 1.0), (1, 1, 0, 5, "table", "U:B", "b", 0.5)], schema)
-    second = spark.createDataFrame([(1, 2, 1, 0, "table", "U:B", "B", 0.9), (1, 2, 1, 9, "column", "U:C", "c", 1.0)], schema)
-    for part in (first, second):
-        part.write.mode("append").parquet(f"{tmp_path}/in")
-        keep_registry(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), cases, store, "symbols", f"{tmp_path}/check").awaitTermination()
-    got = {(r.canonical, r.sequence, r.confidence) for r in store.read("symbols").collect()}
-    assert got == {("U:A", 1, 1.0), ("U:B", 2, 0.9), ("U:C", 3, 1.0)}
+    rows = [
+        [(1, 1, 4, 5, "table", "U:B", "b", 0.5), (1, 1, 4, 0, "table", "U:A", "a", 1.0), (2, 9, 0, 0, "table", "U:A", "a", 1.0), (None, 9, 0, 0, "table", "U:N", "n", 1.0)],
+        [(1, 2, 5, 0, "table", "U:B", "B", 0.9), (1, 2, 5, 9, "column", "U:C", "c", 1.0), (1, 2, 5, 20, "column", "U:C", "C", 1.0)],
+        [(1, 0, 0, 0, "view", "U:LATE", "late", 1.0), (1, 0, 0, 9, "table", "U:A", "a", 1.0)],
+    ]
+    for part in rows:
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        for _ in range(2):  # the second start finds nothing new
+            keep_registry(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), cases, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = sorted((r.case_id, r.canonical, r.preferred_original, r.sequence) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, "U:A", "a", 1), (1, "U:B", "b", 2), (1, "U:C", "c", 3), (1, "U:LATE", "late", 4), (2, "U:A", "a", 1)]
+    assert spark.read.parquet(f"{tmp_path}/out").where("marker like 'OBF\\_AAAA\\_%'").count() == 4
 
 
 def test_sql_functions(spark):
@@ -194,6 +199,12 @@ def test_sql_functions(spark):
     register(spark)
     row = spark.sql("SELECT veil_kind(t) AS k, veil_spans(t) AS s, veil_html_markdown('<b>x</b>') AS m, veil_plain_markdown('a') AS p FROM (SELECT 'select a from b' AS t)").first()
     assert tuple(row) == ("sql", '[[7, 8, "column"], [14, 15, "table"]]', "**x**", "a")
+    rows = spark.sql("SELECT i, s.start, s.entity_type, s.canonical FROM VALUES (1, 'select a from b'), (2, NULL), (3, '') AS x(i, t), LATERAL veil_spans(t) s").collect()
+    assert sorted(map(tuple, rows)) == [(1, 7, "column", "U:A"), (1, 14, "table", "U:B")]
+    masks = spark.sql("SELECT veil_obfuscate(t, map('column:U:A', 'X', 'table:U:B', 'Y')) AS m, veil_obfuscate(t, map('column:U:A', 'X')) AS w, veil_obfuscate(t, NULL) AS n FROM VALUES ('select a from b'), (NULL) AS x(t)").collect()
+    assert [tuple(r) for r in masks] == [("select X from Y", engine.WITHHELD, engine.WITHHELD), (None, None, None)]
+    back = spark.sql("SELECT veil_restore('obf_x_tbl_1, xOBF_X_TBL_1 OBF_X_TBL_12', map('OBF_X_TBL_1', 'lanes')) AS r, veil_restore('a', NULL) AS s, veil_restore(NULL, map('a', 'b')) AS n").first()
+    assert tuple(back) == ("lanes, xOBF_X_TBL_1 OBF_X_TBL_12", "a", None)
 
 
 def test_token_rows_of_rows_that_share_keys(spark):

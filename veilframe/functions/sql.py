@@ -1,32 +1,79 @@
-"""The engine's column operators as SQL functions of a session."""
+"""The engine's operators as SQL functions of a session.
+
+Scalars: veil_kind(text); veil_spans(text), JSON; veil_obfuscate(text, mapping); veil_restore(text, mapping); veil_html_markdown(html);
+veil_plain_markdown(text). Table function: veil_spans(text), a row per span, for ``FROM texts, LATERAL veil_spans(text)``.
+
+A mapping to obfuscate with is a map from ``entity_type || ':' || canonical`` to the marker; a text with a span that it lacks is
+withheld whole. A mapping to restore with is a map from marker to lexeme; markers are found whole and in any case, others stay.
+Null texts stay null, a null mapping is empty; the spans of a null text are none.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+SPAN_COLUMNS = "start int, end int, entity_type string, canonical string, original string, reader string, confidence double, form string"
+_MARKER = re.compile(r"(?<![A-Za-z0-9_])OBF_[A-Za-z0-9_]+", re.I)
 
 
 def register(spark: SparkSession) -> None:
-    """veil_kind(text), veil_spans(text) as JSON, veil_html_markdown(html), veil_plain_markdown(text)."""
     from ..operators import answers
+    from ..operators.detection import kind_of, parse
+
+    def kinds(texts: pa.Array) -> pa.Array:
+        return pa.array([kind_of(t or "") for t in texts.to_pylist()], pa.string())
 
-    spark.udf.register("veil_kind", F.pandas_udf(_kind, StringType()))
-    spark.udf.register("veil_spans", F.pandas_udf(_spans, StringType()))
+    def spans(texts: pa.Array) -> pa.Array:
+        return pa.array([json.dumps([[s.start, s.end, s.entity_type] for s in parse(t or "").spans]) for t in texts.to_pylist()], pa.string())
+
+    spark.udf.register("veil_kind", F.arrow_udf(kinds, "string"))
+    spark.udf.register("veil_spans", F.arrow_udf(spans, "string"))
+    spark.udf.register("veil_obfuscate", F.arrow_udf(_obfuscate, "string"))
+    spark.udf.register("veil_restore", F.arrow_udf(_restore, "string"))
     spark.udf.register("veil_html_markdown", answers.html_markdown)
     spark.udf.register("veil_plain_markdown", answers.plain_markdown)
+    spark.udtf.register("veil_spans", F.udtf(SpanRows, returnType=SPAN_COLUMNS))
+
+
+class SpanRows:
+    """The spans of one text as rows."""
 
+    def eval(self, text: str):
+        from ..operators.detection import parse
 
-def _kind(text: pd.Series) -> pd.Series:
-    from ..operators.detection import kind_of
+        yield from (tuple(s) for s in parse(text or "").spans)
 
-    return text.map(lambda t: kind_of(t or ""))
 
+def _pairs(maps: pa.Array) -> list[dict]:
+    return [dict(m or ()) for m in maps.to_pylist()]
 
-def _spans(text: pd.Series) -> pd.Series:
-    import json
 
+def _obfuscate(texts: pa.Array, mappings: pa.Array) -> pa.Array:
     from ..operators.detection import parse
+    from ..operators.engine import WITHHELD
+
+    out = []
+    for text, known in zip(texts.to_pylist(), _pairs(mappings), strict=True):
+        pieces, at = [], 0
+        for s in parse(text).spans if text else ():
+            marker = known.get(f"{s.entity_type}:{s.canonical}")
+            if marker is None:
+                pieces, at, text = [WITHHELD], 0, ""
+                break
+            pieces += [text[at : s.start], marker]
+            at = s.end
+        out.append(None if text is None else "".join([*pieces, text[at:]]))
+    return pa.array(out, pa.string())
+
 
-    return text.map(lambda t: json.dumps([[s.start, s.end, s.entity_type] for s in parse(t or "").spans]))
+def _restore(texts: pa.Array, mappings: pa.Array) -> pa.Array:
+    out = []
+    for text, known in zip(texts.to_pylist(), _pairs(mappings), strict=True):
+        upper = {k.upper(): v for k, v in known.items() if v is not None}
+        out.append(None if text is None else _MARKER.sub(lambda m: upper.get(m[0].upper(), m[0]), text))
+    return pa.array(out, pa.string())

@@ -5,12 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.sql import register
 from ..functions.vocabulary import CODE, GLOBAL_KEPT, GLOBAL_MASKED, HINT_WORDS, by_label
 from ..operators import answers, detection, engine, rewrite, spans, sql_text, symbols
 from ..operators.scratch import spread, written
 from ..sources import text as sources
 from . import base
-from .base import duck_tokens, plain, query
+from .base import SQL, duck_tokens, plain, query
 
 WORD = rewrite.WORD
 
@@ -565,6 +566,36 @@ def masked_texts(t):
     return back.select("artifact_id", shown.alias("masked"), (F.col("restored") == F.col("text")).alias("restores"))
 
 
+@query("sql_span_rows", SQL["reader_spans"])
+def sql_span_rows(t):
+    """The same spans by the table function, laterally, in SQL."""
+    register(t.spark)
+    return t.spark.sql("SELECT artifact_id, kind, s.start AS start_at, s.end AS end_at, s.original, s.entity_type FROM {texts}, LATERAL veil_spans(text) s", texts=_pieced(t))
+
+
+@query("sql_obfuscate", f"SELECT artifact_id, masked FROM ({SQL['masked_texts']})")
+def sql_obfuscate(t):
+    """Texts masked in SQL by a mapping that SQL builds from their spans."""
+    register(t.spark)
+    texts = written(_pieced(t))
+    return t.spark.sql(
+        """WITH m AS (SELECT artifact_id, map_from_entries(collect_set(struct(s.entity_type || ':' || s.canonical, '<' || s.entity_type || '>'))) AS mapping FROM {texts}, LATERAL veil_spans(text) s GROUP BY artifact_id)
+        SELECT x.artifact_id, veil_obfuscate(text, mapping) AS masked FROM {texts} x LEFT JOIN m ON m.artifact_id = x.artifact_id""",
+        texts=texts,
+    )
+
+
+@query("sql_restore", SQL["answer_restore"])
+def sql_restore(t):
+    """Answers restored in SQL by their case's mapping."""
+    register(t.spark)
+    return t.spark.sql(
+        "WITH m AS (SELECT case_id, map_from_entries(collect_set(struct(marker, preferred_original))) AS mapping FROM {symbols} GROUP BY case_id) SELECT answer_id, veil_restore(text, mapping) AS restored FROM {answers} a LEFT JOIN m ON m.case_id = a.case_id",
+        symbols=t.sql(base.SYMBOLS),
+        answers=t.sql(base.ANSWERS),
+    )
+
+
 # ---- SQL identity ----
 _STATEMENTS = "SELECT o_orderkey AS artifact_id, o_custkey % 50 AS case_id, CASE WHEN o_orderkey % 2 = 0 THEN 'select  *' || chr(10) || '  from orders where o_custkey = ' ELSE 'SELECT * FROM orders WHERE o_custkey = ' END || CAST(o_custkey AS STRING) || ' and note = ' || chr(39) || CASE WHEN o_orderkey % 5 = 0 THEN 'it' || chr(39) || chr(39) || 's Late' WHEN o_orderkey % 5 = 1 THEN 'LATE' ELSE 'late' END || chr(39) || CASE WHEN o_orderkey % 3 = 0 THEN ' -- ' || o_orderpriority WHEN o_orderkey % 3 = 1 THEN ' /* x */;' ELSE '' END AS text FROM {orders}"
 _Q = lambda pattern: pattern.replace("'", "''")
