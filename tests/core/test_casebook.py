@@ -46,3 +46,26 @@ def test_life_of_a_case(spark, tmp_path):
         book.submit(other, "x" * 500)
     book.delete_case(case)
     assert book.table("symbols").count() == 0 and book.list_cases().count() == 1
+
+
+def test_a_follow_up_question_parses_nothing(spark, tmp_path, monkeypatch):
+    """An open run whose materials did not change masks its questions only; a second material is parsed, the first one is not again."""
+    from veilframe.operators import casebook, engine
+
+    book = Casebook(spark, f"file://{tmp_path}/book")
+    case = book.create_case()
+    book.add_materials(case, "select lane_no from lanes")
+    run = book.ask(case, "why is lanes slow?")
+    first = book.run(run).prompt
+    monkeypatch.setattr(casebook.engine, "pseudonymise", lambda *a, **k: pytest.fail("masked again"))
+    assert book.ask(case, "and lane_no?") == run
+    materials = lambda prompt: prompt.split("=== ВОПРОС")[0]
+    assert "lane_no" not in book.run(run).prompt and materials(first) == materials(book.run(run).prompt)
+    monkeypatch.undo()
+    parsed = []
+    monkeypatch.setattr(engine, "parse_table", lambda a, k, real=engine.parse_table: parsed.append(real(a, k).count()) or real(a, k))
+    book.add_materials(case, "Plan hash value: 12")
+    assert book.ask(case, "now?") == run and parsed == [1]
+    assert book.store.read("parses").count() == 2
+    book.delete_case(case)
+    assert book.store.read("parses").count() == 0

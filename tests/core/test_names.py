@@ -101,7 +101,7 @@ def test_registry_of_repeated_rows_and_kept_parses(spark):
     first = engine.pseudonymise(art, cases)
     table = engine.parse_table(art)
     more = spark.createDataFrame([(1, 3, 2, "select a, d from b")], art.schema)
-    grown = engine.parse_table(art.union(more), table)
+    grown = table.union(engine.parse_table(art.union(more), table))
     assert table.count() == 2 and grown.count() == 3
     again = engine.pseudonymise(art.union(more), cases, first.symbols.union(first.symbols), parses=grown)
     assert {(r.canonical, r.sequence) for r in again.symbols.collect()} == {("U:A", 1), ("U:B", 2), ("U:C", 3), ("U:D", 4)}

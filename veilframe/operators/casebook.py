@@ -87,7 +87,7 @@ class Casebook:
 
     def delete_case(self, case_id: str) -> None:
         self._case(case_id)
-        self.store.delete_case(case_id, dict.fromkeys(TABLES, "case_id"))
+        self.store.delete_case(case_id, dict.fromkeys([*TABLES, "parses"], "case_id"))
 
     def list_cases(self) -> DataFrame:
         """Cases, the last touched first, with their state."""
@@ -195,15 +195,28 @@ class Casebook:
         place = F.row_number().over(Window.partitionBy("case_id").orderBy("created_at", "artifact_id")) - 1  # the materials of one prompt
         sent = pending.select(F.col("current_revision_id").alias("revision_id"), "artifact_id", "kind", "display_name", place.alias("position"), "text")
         source = sent.select(F.lit(case_id).alias("case_id"), F.col("revision_id").alias("artifact_id"), "position", "text")
+        held = {r.revision_id for r in self.table("run_artifacts").where(F.col("run_id") == run_id).select("revision_id").collect()}  # of one prompt
+        if not self.run(run_id) or held != {r.revision_id for r in sent.select("revision_id").collect()}:
+            self._mask(case, run_id, sent, source)
+        return self._prompt(case_id, run_id)
+
+    def _mask(self, case, run_id: str, sent: DataFrame, source: DataFrame) -> None:
+        """Mask a run's materials anew. Parses are kept by content with their case, so a text is parsed once, whichever of its runs show it, and goes with the case."""
+        case_id = case.case_id
         cases = self.spark.createDataFrame([(case_id, case.prefix)], "case_id string, prefix string")
-        out = engine.pseudonymise(source, cases, self._rows("symbols", case_id))
+        kept = lambda: self.store.read("parses").where(F.col("case_id") == case_id) if self.store.version("parses") else None
+        self.store.append("parses", engine.parse_table(source, kept()).withColumn("case_id", F.lit(case_id)))
+        out = engine.pseudonymise(source, cases, self._rows("symbols", case_id), parses=kept())
         self.store.upsert("symbols", out.symbols.select(*(f.split()[0] for f in TABLES["symbols"].split(", "))), ["case_id"])
-        known = self._rows("symbols", case_id)
         stamp = lambda df: df.withColumn("run_id", F.lit(run_id)).withColumn("case_id", F.lit(case_id))
         put = lambda name, df: self.store.upsert(name, stamp(df).select(*(f.split()[0] for f in TABLES[name].split(", "))), ["run_id"]) if not df.isEmpty() else self.store.version(name) and self.store.write(name, self.table(name).where(F.col("run_id") != run_id))
         put("run_artifacts", sent.drop("text").join(out.masked.select(F.col("artifact_id").alias("revision_id"), "masked"), "revision_id"))
         put("replacements", out.replacements.withColumnRenamed("artifact_id", "revision_id"))
         put("findings", out.findings.withColumnRenamed("artifact_id", "revision_id"))
+
+    def _prompt(self, case_id: str, run_id: str) -> str:
+        """The run's prompt from its masked materials and its questions; a follow-up question over unchanged materials needs no more than this."""
+        known = self._rows("symbols", case_id)
         asked = self.table("questions").where(F.col("run_id") == run_id)
         masked = rewrite.mask_questions(asked, known).select("run_id", "position", F.col("masked").alias("text"))
         shown = self.table("run_artifacts").where(F.col("run_id") == run_id).select("run_id", "position", "kind", "display_name", F.col("masked").alias("text"))
