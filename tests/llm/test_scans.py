@@ -242,7 +242,7 @@ def test_licences_of_labelled_notices(spark, docs):
     rows = [(i, f"Some prose first.\n\n{t}\n\nMore prose.") for i, (_, t) in enumerate(labelled)]
     got = {r.doc_id: r.families for r in licenses.scan_licences(docs(rows)).collect()}
     assert [got[i] for i in range(len(rows))] == [c for c, _ in labelled]
-    assert licenses.model().held_out_accuracy > 0.5  # of notices left out whole, 18 classes
+    assert licenses.model().held_out_accuracy > 0.65  # of notices and grants left out whole, 18 classes
 
 
 def test_licences_odd_rows(spark, docs):

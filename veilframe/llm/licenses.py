@@ -3,8 +3,9 @@
 A text falls into blocks at lines without a letter or digit; comment leaders are removed, wrapped lines joined, and the
 block's sentences are its paragraphs (one over ``LONG`` characters is no notice, its lines are paragraphs instead). A multinomial logistic
 regression over sparse word n-grams (one and two words) names the licence family of a paragraph, or ``unknown``. It is
-fitted on the driver to the notices below, and for class unknown to notices of other licences, to the frames of notices
-without their names and to look-alike sentences. Its temperature is the one with the least log loss over notices that were
+fitted on the driver to the notices below and to grants under the licences' names, and for class unknown to notices of other
+licences, of other versions and variants of these, to the frames of notices without their names and to look-alike sentences. A
+paragraph that denies a licence ("not licensed under") is unknown. Its temperature is the one with the least log loss over notices that were
 left out whole from the fit (``FOLDS`` folds). A family is predicted if its probability is the largest and at least
 one half, and confirmed if one of its notices has ``CONFIRM`` of its n-grams in the paragraph, and all (of a long
 notice ``CONFIRM``) of those n-grams that tell it from every other family and licence.
@@ -19,6 +20,7 @@ are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from functools import cache
 
@@ -155,11 +157,54 @@ You may obtain a license for commercial use at the address below.
 SPDX-License-Identifier: EUPL-1.2
 SPDX-License-Identifier: CDDL-1.0
 SPDX-License-Identifier: LicenseRef-Proprietary"""
+# Versions and variants of the families that are no family here
+OTHER_VERSIONS = """Licensed under the MIT No Attribution License.
+MIT No Attribution
+Licensed under the BSD 4-Clause License.
+Licensed under the original BSD License with the advertising clause.
+Licensed under the Mozilla Public License 1.1.
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.
+Licensed under the GNU General Public License, version 1.
+Licensed under the GNU General Public License v1.0.
+Licensed under the GNU Affero General Public License, version 1.
+Licensed under the Apache License, Version 1.1.
+Licensed under the Apache License, Version 1.0.
+Licensed under the Eclipse Public License 1.0.
+SPDX-License-Identifier: MIT-0
+SPDX-License-Identifier: BSD-4-Clause
+SPDX-License-Identifier: MPL-1.1
+SPDX-License-Identifier: GPL-1.0-only
+SPDX-License-Identifier: Apache-1.1
+SPDX-License-Identifier: EPL-1.0"""
+# Names of the families' licences; the classifier also learns from sentences that grant under them
+NAMES = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license", "Apache-2.0", "ASL 2.0", "Apache Software License, Version 2.0"),
+    "MIT": ("MIT License", "MIT", "Expat license", "MIT-style license", "X11/MIT license"),
+    "BSD": ("BSD 3-Clause License", "BSD 2-Clause License", "BSD-3-Clause", "BSD-2-Clause", "New BSD License", "Simplified BSD License", "modified BSD license", "BSD-style license"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2", "GNU GPL version 2", "GPLv2", "GPL-2.0", "GPL version 2 or later", "GPL-2.0-or-later"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL version 3", "GPLv3", "GPL-3.0", "GPL version 3 or later", "GPL-3.0-only"),
+    "LGPL": ("GNU Lesser General Public License", "GNU LGPL", "LGPLv3", "LGPL-2.1", "LGPL version 2.1", "GNU Lesser General Public License v3"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPLv3", "AGPL-3.0", "Affero GPL version 3"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL 2.0", "MPL-2.0", "Mozilla Public License, v. 2.0"),
+    "ISC": ("ISC License", "ISC", "ISC-style license"),
+    "Unlicense": ("Unlicense", "The Unlicense"),
+    "CC0-1.0": ("CC0 1.0 Universal", "CC0", "Creative Commons Zero", "CC0 1.0 public domain dedication", "CC0-1.0"),
+    "CC-BY": ("CC BY 4.0", "Creative Commons Attribution 4.0", "Creative Commons Attribution License", "CC-BY-4.0", "CC BY 3.0"),
+    "CC-BY-SA": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0", "Creative Commons Attribution-ShareAlike License", "CC-BY-SA-4.0", "CC BY-SA 3.0"),
+    "CC-BY-NC": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0", "Creative Commons Attribution-NonCommercial License", "CC-BY-NC-4.0", "CC BY-NC 3.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License, version 2.0", "EPL 2.0", "EPL-2.0"),
+    "BSL-1.0": ("Boost Software License 1.0", "Boost Software License, Version 1.0", "BSL-1.0", "Boost License"),
+    "Zlib": ("zlib License", "zlib/libpng license", "Zlib"),
+}
+GRANTS = ("Licensed under the {}.", "This project is released under the terms of the {}.", "Distributed under {}, see LICENSE.", "The code is available under the {} license.")
+# What says that a licence does not hold
+DENIAL = r"(?i)(?:\b(?:not|never|longer|neither)|n't)\s+(?:[a-z]+\s+){0,2}(?:licen[cs]ed|released|published|available|dedicated|governed|covered|subject)\b"
 # Words that make no feature alone or with each other
 STOPWORDS = frozenset("a all an and any are as at be by can for from has in is it its may no not of on one or other shall such that the this to was which will with you your either if".split())
 # Every notice has one of these words, or several
 CUES = "licen[cs](?:e|es|ed|ing)|copyright|permission|permitted|redistribut(?:e|ion|ions|ed)|spdx|warranty|warranties|unencumbered|endorse|mpl|gpl(?:v[0-9])?|lgpl|cc0|cc|public domain|anyone is free|united states|damages"
 _CUE = rf"(?i)\b(?:{CUES})\b"
+_DENIAL_SQL = DENIAL.replace("'", "''")
 _BEFORE = ("", "this project is", "note that the code here is", "see the readme for more and")
 _AFTER = ("", "for details see the file", "in this repository")
 _LEADER = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--|rem|dnl|REM)(?:[ \t]+|$)"
@@ -183,7 +228,7 @@ class Model:
     def __init__(self):
         self.classes = [*sorted(NOTICES), UNKNOWN]
         lines = [(c, line) for c in sorted(NOTICES) for line in NOTICES[c].split("\n")]
-        rest = [(UNKNOWN, line) for line in (*OTHERS.split("\n"), *OTHER_LICENCES.split("\n"))]
+        rest = [(UNKNOWN, line) for line in (*OTHERS.split("\n"), *OTHER_LICENCES.split("\n"), *OTHER_VERSIONS.split("\n"))]
         shared = lambda c: {g for d, line in (*lines, *rest) if d != c for g in ngrams(line)}
         elsewhere = {c: shared(c) for c in self.classes}
         self.notices = [(self.classes.index(c), grams, grams - elsewhere[c]) for c, line in lines for grams in [ngrams(line)]]
@@ -192,6 +237,8 @@ class Model:
         alone = [(UNKNOWN, w) for w in sorted({w for _, line in (*lines, *rest) for w in words(line)})]  # a word alone proves nothing
         texts = [(c, f"{b} {line} {a}", k % FOLDS) for source in (lines, rest) for k, (c, line) in enumerate(source) for b in _BEFORE for a in _AFTER]
         texts += [(c, w, -1) for c, w in alone]
+        named = [(c, grant.format(name)) for c in sorted(NAMES) for name in NAMES[c] for grant in GRANTS]
+        texts += [(c, line, k % FOLDS) for k, (c, line) in enumerate(sorted(named, key=lambda x: hashlib.sha256(x[1].encode()).digest()))]
         self.vocabulary = sorted({g for _, text, _ in texts for g in ngrams(text)})
         place = {g: i for i, g in enumerate(self.vocabulary)}
         x = np.zeros((len(texts), len(place)), np.float32)
@@ -260,7 +307,7 @@ def _once(value: str, name: str, body: str) -> str:
 def licence_paragraphs(text: str) -> str:
     """SQL of a text's paragraphs with a cue: array of (best class, probability, confirmed, words)."""
     m = model()
-    quoted = lambda r: "r'" + r + "'"
+    quoted = lambda r: ('r"' + r + '"') if "'" in r else ("r'" + r + "'")
     pieces = f"split(regexp_replace(regexp_replace(regexp_replace({text}, {quoted(_LEADER)}, ''), {quoted(_BLANK)}, char(1)), {quoted(_SENTENCE)}, concat('$1', char(1), '$2')), char(1))"
     units = f"filter(flatten(transform(filter({pieces}, p -> p rlike {quoted(_CUE)}), p -> if(length(p) > {LONG}, split(p, '\n'), array(p)))), p -> p rlike {quoted(_CUE)})"
     stop = "array(" + ", ".join(f"'{x}'" for x in sorted(STOPWORDS)) + ")"
@@ -275,7 +322,7 @@ def licence_paragraphs(text: str) -> str:
     notices = "array(" + ", ".join(f"named_struct('t', {t}, 'c', {c}, 'all', {m.needed(t)[0]}, 'own', {m.needed(t)[1]})" for t, (c, _, _) in enumerate(m.notices)) + ")"
     score = f"aggregate(hits, {bias}, (sum, e) -> zip_with(sum, e.w, (a, b) -> a + b))"
     many = lambda field, need: f"aggregate(hits, 0, (k, e) -> k + int(array_contains(e.{field}, n.t))) >= n.{need}"
-    best = "int(array_position(score, array_max(score)) - 1)"
+    best = f"if(p rlike {quoted(DENIAL)}, {k - 1}, int(array_position(score, array_max(score)) - 1))"
     chance = f"1 / aggregate(score, 0D, (total, s) -> total + exp((s - array_max(score)) / {1000 * m.temperature}D))"
     confirmed = f"best < {k - 1} and probability >= {SURE} and exists({notices}, n -> n.c = best and {many('t', 'all')} and {many('o', 'own')})"
     row = _once(score, "score", _once(best, "best", _once(chance, "probability", f"named_struct('best', best, 'probability', probability, 'confirmed', {confirmed}, 'paragraph', p)")))
@@ -312,7 +359,7 @@ cut AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace
 pieces AS (SELECT doc_id, unnest(range(len(ps))) AS a, unnest(ps) AS p FROM cut),
 units AS (SELECT doc_id, a, unnest(range(len(l))) AS b, unnest(l) AS p
           FROM (SELECT doc_id, a, CASE WHEN length(p) > {LONG} THEN string_split(p, chr(10)) ELSE [p] END AS l FROM pieces WHERE regexp_matches(p, '{_CUE}'))),
-cand AS (SELECT doc_id, a, b, list_filter(regexp_split_to_array(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM units WHERE regexp_matches(p, '{_CUE}')),
+cand AS (SELECT doc_id, a, b, regexp_matches(p, '{_DENIAL_SQL}') AS denied, list_filter(regexp_split_to_array(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM units WHERE regexp_matches(p, '{_CUE}')),
 grams AS (SELECT DISTINCT doc_id, a, b, gram FROM (
     SELECT doc_id, a, b, unnest(w) AS gram FROM cand
     UNION ALL SELECT doc_id, a, b, unnest(list_transform(range(1, len(w)), lambda i: CASE WHEN w[i] IN ({stop}) AND w[i + 1] IN ({stop}) THEN '' ELSE w[i] || ' ' || w[i + 1] END)) FROM cand)
@@ -321,7 +368,7 @@ sums AS (SELECT doc_id, a, b, c, sum(amount) AS amount FROM grams JOIN model USI
 scores AS (SELECT u.doc_id, u.a, u.b, bias.c, family, bias.b + coalesce(amount, 0) AS s FROM cand u CROSS JOIN bias LEFT JOIN sums x ON x.doc_id = u.doc_id AND x.a = u.a AND x.b = u.b AND x.c = bias.c),
 tops AS (SELECT doc_id, a, b, max(s) AS top, min_by(c, {{'s': -s, 'c': c}}) AS best, min_by(family, {{'s': -s, 'c': c}}) AS family FROM scores GROUP BY ALL),
 parts AS (SELECT t.doc_id, t.a, t.b, best, t.family, sum(exp((s - top) / {1000 * m.temperature})) AS total FROM tops t JOIN scores x ON x.doc_id = t.doc_id AND x.a = t.a AND x.b = t.b GROUP BY ALL),
-probs AS (SELECT *, best < {k - 1} AND 1 / total >= {SURE} AS sure FROM parts),
+probs AS (SELECT parts.*, NOT denied AND best < {k - 1} AND 1 / total >= {SURE} AS sure FROM parts JOIN cand USING (doc_id, a, b)),
 met AS (SELECT DISTINCT doc_id, a, b, c FROM (SELECT doc_id, a, b, t, count(*) AS n, sum(own) AS n_own FROM grams JOIN held USING (gram) GROUP BY ALL) JOIN notice USING (t) WHERE n >= need AND n_own >= need_own),
 found AS (SELECT p.doc_id, p.family, sure, sure AND c IS NOT NULL AS confirmed FROM probs p LEFT JOIN met ON met.doc_id = p.doc_id AND met.a = p.a AND met.b = p.b AND met.c = p.best),
 per AS (SELECT doc_id, count(*) AS n_scored, count_if(confirmed) AS n_confirmed,
