@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.sql import register
 from ..functions.vocabulary import CODE, GLOBAL_KEPT, GLOBAL_MASKED, HINT_WORDS, by_label
-from ..operators import answers, detection, engine, rewrite, spans, sql_text, symbols
+from ..operators import answers, casebook, detection, engine, rewrite, spans, sql_text, symbols
 from ..operators.scratch import spread, written
 from ..sources import text as sources
 from . import base
@@ -77,6 +79,17 @@ def detect_kind_pages(t):
     return t.pages.select("page_id", detection.kind_column(F.col("html")).alias("kind"))
 
 
+_REGION = pa.struct([("kind", pa.string()), ("start_at", pa.int32()), ("end_at", pa.int32())])
+
+
+def _marked_by(texts, kind, head=""):
+    """Marks that a kind's reader makes in texts under a heading: text, start, end, original, entity_type; places count from the text's own beginning."""
+    whole = texts.select("artifact_id", F.concat(F.lit(head), "text").alias("text"), F.lit(kind).alias("kind"))
+    found = detection.with_parsed(whole, kind_col="kind").select("artifact_id", F.explode("parsed.spans").alias("s"), F.expr(f"substring(text, {len(head)} + 1)").alias("text"))
+    own = found.where(F.col("s.start") >= len(head))
+    return own.select("artifact_id", "text", (F.col("s.start") - len(head)).alias("start"), (F.col("s.end") - len(head)).alias("end"), "s.original", "s.entity_type")
+
+
 _REPORTS = "SELECT artifact_id, 'intro' || chr(10) || CASE WHEN artifact_id % 2 = 0 THEN 'SQL Monitoring Report' || chr(10) || 'body' || chr(10) ELSE '' END || 'SQL_ID x' || CAST(artifact_id AS STRING) || ', child number 1' || chr(10) || 'Plan hash value: 1' || chr(10) || 'row' || chr(10) || 'Plan hash value: 2' || chr(10) || 'end' AS text FROM (" + base.MIXED + ") m"
 
 
@@ -89,17 +102,9 @@ _REPORTS = "SELECT artifact_id, 'intro' || chr(10) || CASE WHEN artifact_id % 2
     SELECT artifact_id, kind, s AS start_at, CAST(length(rtrim(text[:coalesce(lead(s) OVER (PARTITION BY artifact_id ORDER BY s), length(text))], chr(10))) AS INTEGER) AS end_at FROM st""",
 )
 def report_regions(t):
-    """Regions by gaps and islands: header lines, a plan's first hash line belongs to it, a region ends at the next header."""
-    from pyspark.sql import Window
-
-    art = t.sql(_REPORTS)
-    rows = spans.token_rows(art, ["artifact_id"], "text", "[^\\n]+")
-    head = F.when(F.col("token").startswith("SQL Monitoring Report"), "sql_monitor").when(F.col("token").rlike("^SQL_ID"), "plan").when(F.col("token").rlike("^Plan hash value"), "hash")
-    w = Window.partitionBy("artifact_id").orderBy("start")
-    heads = rows.withColumn("h", head).where("h is not null").withColumn("before", F.lag("h").over(w)).where(~((F.col("h") == "hash") & F.coalesce(F.col("before") == "plan", F.lit(False))))
-    out = heads.withColumn("stop", F.lead("start").over(w)).join(art, "artifact_id")
-    body = F.substring("text", F.lit(1), F.coalesce("stop", F.length("text")))
-    return out.select("artifact_id", F.when(F.col("h") == "sql_monitor", "sql_monitor").otherwise("xplan").alias("kind"), F.col("start").alias("start_at"), F.length(F.regexp_replace(body, "\\n+$", "")).alias("end_at"))
+    """Whole reports of pastes by the segmenting reader."""
+    found = F.arrow_udf(lambda texts: pa.array([[{"kind": k, "start_at": s, "end_at": e} for k, s, e in detection.report_regions(x)] for x in texts.to_pylist()], pa.list_(_REGION)), "array<struct<kind:string,start_at:int,end_at:int>>")
+    return t.sql(_REPORTS).select("artifact_id", F.explode(found("text")).alias("r")).select("artifact_id", "r.*")
 
 
 # A report runs to the end of the paste; other materials are what the fence holds, trimmed
@@ -148,15 +153,11 @@ def table_cells(t):
     return rows.withColumnsRenamed({"start": "start_at", "end": "end_at"})
 
 
-def _plan_names(t, order):
-    cells = spans.cell_rows(_plan_lines(t), ["artifact_id", "line"], "text").where("line > 0")
-    by = cells.groupBy("artifact_id", "line").agg(F.max(F.when(F.col("i") == 1, F.trim("cell"))).alias("operation"), F.max(F.when(F.col("i") == 2, F.trim("cell"))).alias("name")).where("name <> ''")
-    kind = F.lit(None).cast("string")
-    for word in reversed(order):
-        kind = F.when(F.contains("operation", F.lit(word)), word.lower()).otherwise(kind)
-    parts = by.withColumn("kind", F.coalesce(kind, F.lit("identifier"))).withColumn("p", F.split("name", "[.]"))
-    rows = parts.select("artifact_id", "line", "kind", F.size("p").alias("n"), F.posexplode("p").alias("part", "name"))
-    return rows.select("artifact_id", "line", "part", "name", F.when(F.col("part") < F.col("n") - 1, "schema").otherwise(F.col("kind")).alias("entity_type"))
+def _plan_names(found):
+    """A plan's names by line and by place in their cell."""
+    line = F.regexp_count(F.expr("substring(text, 1, start)"), F.lit("\n"))
+    part = F.row_number().over(Window.partitionBy("artifact_id", "line").orderBy("start")) - 1
+    return found.withColumn("line", line).select("artifact_id", "line", part.alias("part"), F.col("original").alias("name"), "entity_type")
 
 
 def _plan_names_sql(order):
@@ -169,19 +170,22 @@ def _plan_names_sql(order):
 
 @query("plan_names_xplan", _plan_names_sql(["TABLE", "VIEW", "PARTITION", "INDEX"]))
 def plan_names_xplan(t):
-    return _plan_names(t, ["TABLE", "VIEW", "PARTITION", "INDEX"])
+    return _plan_names(_marked_by(t.sql(base.PLANS), "xplan"))
 
 
 @query("plan_names_monitor", _plan_names_sql(["INDEX", "VIEW", "TABLE"]))
 def plan_names_monitor(t):
-    return _plan_names(t, ["INDEX", "VIEW", "TABLE"])
+    return _plan_names(_marked_by(t.sql(base.PLANS), "sql_monitor", "SQL Monitoring Report\n\nSQL Plan Monitoring Details (Plan Hash Value=1)\n=====\n"))
 
 
 @query("plan_header_fields", rf"""SELECT artifact_id, regexp_extract(text, 'SQL_ID\s+([a-z0-9]+)\s*,\s*child number\s+(\d+)', 1) AS sql_id, regexp_extract(text, 'child number\s+(\d+)', 1) AS child, regexp_extract(text, 'Plan hash value\s*[:=]\s*(\d+)', 1) AS plan_hash
     FROM ({plain(base.MIXED)})""")
 def plan_header_fields(t):
+    """What the plan reader marks in headers; texts of other kinds have none."""
     art = t.sql(base.MIXED)
-    return art.select("artifact_id", F.regexp_extract("text", r"SQL_ID\s+([a-z0-9]+)\s*,\s*child number\s+(\d+)", 1).alias("sql_id"), F.regexp_extract("text", r"child number\s+(\d+)", 1).alias("child"), F.regexp_extract("text", r"Plan hash value\s*[:=]\s*(\d+)", 1).alias("plan_hash"))
+    read = detection.with_parsed(art)
+    first = lambda kind: F.coalesce(F.get(F.filter("parsed.spans", lambda s: s["entity_type"] == kind), 0)["original"], F.lit(""))
+    return read.select("artifact_id", first("sql_id").alias("sql_id"), first("execution_id").alias("child"), first("plan_hash").alias("plan_hash"))
 
 
 _MASKED = by_label(GLOBAL_MASKED)
@@ -192,11 +196,10 @@ _LABEL_CASE = " ".join(f"WHEN label IN ({', '.join(repr(x) for x in labels)}) TH
     f AS (SELECT artifact_id, lower(regexp_extract(line, '^\s*([^:]+?)\s*:\s*(.*?)\s*$', 1)) AS label, regexp_extract(line, '^\s*([^:]+?)\s*:\s*(.*?)\s*$', 2) AS value FROM l)
     SELECT artifact_id, label, value, CASE {_LABEL_CASE} ELSE 'fragment' END AS entity_type FROM f WHERE value NOT IN ('', '-') AND label NOT IN ({', '.join(repr(x) for x in GLOBAL_KEPT)})""")
 def monitor_global_fields(t):
-    lines = t.sql(base.GLOBALS).select("artifact_id", F.explode(F.split("text", "\n")).alias("line"))
-    pattern = r"^\s*([^:]+?)\s*:\s*(.*?)\s*$"
-    f = lines.select("artifact_id", F.lower(F.regexp_extract("line", pattern, 1)).alias("label"), F.regexp_extract("line", pattern, 2).alias("value"))
-    types = F.create_map(*(F.lit(x) for kv in _MASKED.items() for x in kv))
-    return f.where(~F.col("value").isin("", "-") & ~F.col("label").isin(*GLOBAL_KEPT)).withColumn("entity_type", F.coalesce(F.try_element_at(types, F.col("label")), F.lit("fragment")))
+    """Values of the global section that the monitor reader marks, with their labels."""
+    found = _marked_by(t.sql(base.GLOBALS), "sql_monitor", "SQL Monitoring Report\n\nGlobal Information\n-----\n")
+    line = F.element_at(F.split(F.expr("substring(text, 1, start)"), "\n"), -1)
+    return found.select("artifact_id", F.lower(F.trim(F.regexp_extract(line, r"^\s*([^:]+?)\s*:", 1))).alias("label"), F.col("original").alias("value"), "entity_type")
 
 
 _PIPE_BINDS = "SELECT o_orderkey AS artifact_id, ' :B' || CAST(o_orderkey % 9 AS STRING) || ' (VARCHAR2) = ' || CASE o_orderkey % 3 WHEN 0 THEN chr(39) || o_orderpriority || chr(39) WHEN 1 THEN CAST(o_custkey AS STRING) ELSE 'NULL' END AS text FROM {orders}"
@@ -205,9 +208,11 @@ _PIPE_BINDS = "SELECT o_orderkey AS artifact_id, ' :B' || CAST(o_orderkey % 9 AS
 @query("bind_values", rf"""WITH b AS (SELECT artifact_id, regexp_extract(text, ':([A-Za-z0-9_$#]+)', 1) AS bind, regexp_extract(text, '=\s*(.+?)\s*$', 1) AS value FROM ({plain(_PIPE_BINDS)}))
     SELECT artifact_id, bind, CASE WHEN value LIKE '''%' THEN value[2:-2] ELSE value END AS value, CASE WHEN value LIKE '''%' THEN 'string_literal' WHEN regexp_matches(value, '^[0-9]+$') THEN 'number_literal' END AS entity_type FROM b""")
 def bind_values(t):
-    b = t.sql(_PIPE_BINDS).select("artifact_id", F.regexp_extract("text", ":([A-Za-z0-9_$#]+)", 1).alias("bind"), F.regexp_extract("text", r"=\s*(.+?)\s*$", 1).alias("v"))
-    quoted = F.col("v").startswith("'")
-    return b.select("artifact_id", "bind", F.when(quoted, F.expr("substring(v, 2, length(v) - 2)")).otherwise(F.col("v")).alias("value"), F.when(quoted, "string_literal").when(F.col("v").rlike("^[0-9]+$"), "number_literal").alias("entity_type"))
+    """Binds and their values by the monitor reader; a value that it leaves is NULL."""
+    found = _marked_by(t.sql(_PIPE_BINDS), "sql_monitor", "SQL Monitoring Report\n\nBind Variables\n-----\n")
+    bind, value = F.col("entity_type") == "bind", F.col("entity_type") != "bind"
+    per = found.groupBy("artifact_id").agg(F.max(F.when(bind, F.col("original"))).alias("bind"), F.coalesce(F.max(F.when(value, F.col("original"))), F.lit("NULL")).alias("value"), F.max(F.when(value, F.col("entity_type"))).alias("entity_type"))
+    return per
 
 
 # ---- expressions, canonical keys, symbols ----
@@ -621,10 +626,11 @@ _TAIL = "AND\x1fO_ORDERKEY\x1f>\x1f1\x1fAND\x1fX\x1f=\x1f2"
 @query("sql_prefix_compatible", f"""SELECT artifact_id, a = b OR (len(x) >= 12 AND y[1:len(x) - 1] = x[1:len(x) - 1] AND starts_with(y[len(x)], x[len(x)])) OR (length(a) >= 80 AND starts_with(b, a)) AS compatible FROM (
     SELECT *, string_split(a, chr(31)) AS x, string_split(b, chr(31)) AS y FROM (SELECT artifact_id, CASE WHEN artifact_id % 2 = 0 THEN {_NORM}[:35 + artifact_id % 20] ELSE {_NORM} END AS a, {_NORM} || chr(31) || '{_TAIL}' AS b FROM ({plain(_STATEMENTS)})))""")
 def sql_prefix_compatible(t):
-    """A shown statement is compatible with the known one if it is equal, or cut off: tokens or a long prefix agree."""
+    """A shown statement is compatible with the known one if it is equal, or cut off: tokens or a long prefix agree. By the casebook's own rule."""
     n = t.sql(_STATEMENTS).withColumn("n", _normal(F.col("text")))
     ab = n.select("artifact_id", F.expr("CASE WHEN artifact_id % 2 = 0 THEN substring(n, 1, cast(35 + artifact_id % 20 as int)) ELSE n END").alias("a"), F.concat("n", F.lit("\x1f" + _TAIL)).alias("b"))
-    return ab.withColumn("x", F.split("a", "\x1f")).withColumn("y", F.split("b", "\x1f")).select("artifact_id", F.expr("a = b OR (size(x) >= 12 AND slice(y, 1, size(x) - 1) = slice(x, 1, size(x) - 1) AND coalesce(startswith(get(y, size(x) - 1), element_at(x, -1)), false)) OR (length(a) >= 80 AND startswith(b, a))").alias("compatible"))
+    rule = F.arrow_udf(lambda a, b: pa.array([casebook.compatible(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_()), "boolean")
+    return ab.select("artifact_id", rule("a", "b").alias("compatible"))
 
 
 _HINTED = "SELECT o_orderkey AS artifact_id, 'select /*+ FULL(o) INDEX(o IX_' || CAST(o_custkey % 30 AS STRING) || ') MATERIALIZE */ 1 from t /* c' || CAST(o_custkey AS STRING) || ' */' AS text FROM {orders}"
@@ -633,14 +639,19 @@ _HINTED = "SELECT o_orderkey AS artifact_id, 'select /*+ FULL(o) INDEX(o IX_' ||
 @query("hint_words", f"""SELECT artifact_id, w, CAST(i AS INTEGER) AS i, CASE WHEN upper(w) IN ({', '.join(repr(x) for x in sorted(HINT_WORDS))}) THEN 'kept' ELSE 'identifier' END AS treatment FROM (
     SELECT artifact_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT artifact_id, regexp_extract_all(regexp_extract(text, '/[*][+]([^*]*)[*]/', 1), '[A-Za-z_][A-Za-z0-9_]*') AS w FROM ({plain(_HINTED)})))""")
 def hint_words(t):
-    words = F.regexp_extract_all(F.regexp_extract("text", "/[*][+]([^*]*)[*]/", 1), F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
-    rows = t.sql(_HINTED).select("artifact_id", F.posexplode(words).alias("i", "w"))
-    return rows.withColumn("treatment", F.when(F.upper("w").isin(*sorted(HINT_WORDS)), "kept").otherwise("identifier"))
+    """The words of a hint; those that the SQL reader marks are identifiers, the others stay."""
+    art = t.sql(_HINTED)
+    words = spans.token_rows(art, ["artifact_id", "text"], "text", "[A-Za-z_][A-Za-z0-9_]*")
+    inside = words.where("start > instr(text, '/*+') and start < instr(text, '*/')").select("artifact_id", "start", F.col("token").alias("w"))
+    found = _marked_by(art, "sql").select("artifact_id", "start", F.lit("identifier").alias("marked"))
+    place = F.row_number().over(Window.partitionBy("artifact_id").orderBy("start")) - 1
+    return inside.join(found, ["artifact_id", "start"], "left").select("artifact_id", "w", place.alias("i"), F.coalesce("marked", F.lit("kept")).alias("treatment"))
 
 
 @query("comment_bodies", f"SELECT artifact_id, trim(regexp_extract(text, '/[*] ([^*+]*)[*]/', 1)) AS body FROM ({plain(_HINTED)})")
 def comment_bodies(t):
-    return t.sql(_HINTED).select("artifact_id", F.trim(F.regexp_extract("text", "/[*] ([^*+]*)[*]/", 1)).alias("body"))
+    """Comments that the SQL reader marks."""
+    return _marked_by(t.sql(_HINTED), "sql").where("entity_type = 'comment'").select("artifact_id", F.col("original").alias("body"))
 
 
 @query("unique_texts", f"SELECT sha256(text) AS h, count(*) AS n, min(artifact_id) AS first_id FROM (SELECT artifact_id % 100 AS k, artifact_id, 'select ' || CAST(case_id AS VARCHAR) AS text FROM ({plain(_STATEMENTS)})) GROUP BY h")
