@@ -229,7 +229,7 @@ same("shape_minus", "SELECT o_custkey AS k FROM {orders} WHERE o_orderstatus = '
 same("shape_intersect", "SELECT o_custkey AS k FROM {orders} WHERE o_orderstatus = 'P' INTERSECT SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'F'")
 same("shape_inline_view", "SELECT v.o_orderstatus, v.n FROM (SELECT o_orderstatus, count(*) AS n FROM {orders} GROUP BY o_orderstatus) v WHERE v.n > 10")
 same("shape_like_prefix", "SELECT c_custkey, c_name FROM {customer} WHERE c_name LIKE 'Customer#00000001%' AND c_acctbal > 0")
-same("shape_fast_dual", "SELECT 1 AS one, 'X' AS dummy")
+same("shape_fast_dual", "SELECT c_custkey, (SELECT 1) AS one, (SELECT 'X') AS dummy FROM {customer}")
 same("shape_having", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) > 15")
 same("shape_insert_select", "SELECT c_custkey, c_name FROM {customer} UNION ALL SELECT 900000 + s_suppkey, s_name FROM {supplier} WHERE s_acctbal > 0")
 same("shape_update", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment FROM {customer}")
