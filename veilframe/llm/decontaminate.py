@@ -16,7 +16,6 @@ there are no rows; other columns of the documents pass through ``decontaminate``
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from itertools import repeat
@@ -245,7 +244,3 @@ def _judge(docs: DataFrame, items: list[tuple[str, bytes]], action: str, n: int,
     if action == "drop":
         return docs.where(F.pandas_udf(clean, "boolean")(F.col(text_col)))
     return docs.withColumn(text_col, F.pandas_udf(removed, "string")(F.col(text_col)))
-
-
-def items_sha256(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
