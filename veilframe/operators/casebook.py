@@ -16,6 +16,7 @@ from ..sources.text import MAX_BYTES
 from . import answers, engine, rewrite, symbols, workflow
 from .detection import kind_of, split_materials, statements
 from .sql_text import normal_tokens
+from .statements import match_statements
 from .store import Store
 
 TABLES = {
@@ -109,6 +110,10 @@ class Casebook:
             elif not compatible(case.statement, shown):
                 raise SqlMismatch("the material shows another statement than the case")
 
+    def cases_of(self, shown: DataFrame, text: str = "text") -> DataFrame:
+        """shown with ``matched_case`` and ``match``: the case whose statement each text shows, for any number of texts and cases at once."""
+        return match_statements(shown, self.table("cases").select("case_id", F.col("statement").alias(text)), text)
+
     def add_materials(self, case_id: str, text: str, name: str = "material") -> list[str]:
         """One artifact for each material of a paste; the whole as unknown if none is recognised."""
         if len(text) > MAX_BYTES or len(text.encode()) > MAX_BYTES:
