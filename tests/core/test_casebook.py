@@ -69,3 +69,32 @@ def test_a_follow_up_question_parses_nothing(spark, tmp_path, monkeypatch):
     assert book.store.read("parses").count() == 2
     book.delete_case(case)
     assert book.store.read("parses").count() == 0
+
+
+def test_last_use_and_json(spark, tmp_path):
+    """A known symbol that is used again marks all of its case as used; runs, cases and restored texts as JSON; cases found by statement."""
+    import json
+
+    book = Casebook(spark, f"file://{tmp_path}/book")
+    case = book.create_case("a title")
+    text = "select lane_no, lane_name, depth, width, opened, closed from lanes where lane_no = 17 and depth > 3"
+    book.add_materials(case, text)
+    run = book.ask(case, "why is lanes slow?")
+    first = {r.marker: r.last_used_at for r in book.table("symbols").collect()}
+    assert len(set(first.values())) == 1
+    body = json.loads(book.run_json(run))
+    assert list(body) == ["id", "case_id", "prompt_text", "validation_status", "question_items", "artifacts", "responses"]
+    assert body["artifacts"][0]["type"] == "sql" and body["artifacts"][0]["replacement_count"] > 8 and "lane" not in body["artifacts"][0]["obfuscated_text"]
+    assert [q["text"] for q in body["question_items"]] == ["why is lanes slow?"] and body["responses"] == []
+    shown = json.loads(book.case_json(case))
+    assert shown["title"] == "a title" and shown["artifacts"][0]["revision_count"] == 1 and shown["runs"] == [{"id": run, "validation_status": body["validation_status"], "response_count": 0}]
+    assert [json.loads(r.body) for r in book.restored_json(run).collect()] == [{"restored_text": text}]
+    with pytest.raises(CaseError):
+        book.run_json("none")
+    frame = spark.createDataFrame([(1, text.upper()), (2, text + " order by 1"), (3, text[:60]), (4, "select 1 from dual")], "k int, text string")
+    assert {r.k: (r.matched_case, r.match) for r in book.cases_of(frame).collect()} == {1: (case, "same"), 2: (case, "continues"), 3: (case, "cut_off"), 4: (None, None)}
+    book.respond(case, "done")
+    book.add_materials(case, text + " order by opened")
+    book.ask(case, "and now?")
+    later = {r.marker: r.last_used_at for r in book.table("symbols").collect()}
+    assert set(first) <= set(later) and len(set(later.values())) == 1 and min(later.values()) > max(first.values())

@@ -140,6 +140,55 @@ def test_corpus_rules(spark, tmp_path):
     assert sources.read_uploads(spark, f"file://{tmp_path}").count() == 3
 
 
+def test_corpus_values(spark, tmp_path):
+    """What a file of expectations may hold."""
+    import json
+
+    (tmp_path / "b").mkdir()
+    for name in ("x.sql", "y.sql", "z.sql", "w.sql"):
+        (tmp_path / "b" / name).write_text("select TOP_SECRET from t")
+    row = lambda file, **more: {"file": file, "kind": "sql", "replace": ["t"], "keep": [], "minOccurrences": 1, "allowFindings": [], "tags": [], **more}
+    cases = [row("x.sql"), row("y.sql", keep=["a", "a"]), row("z.sql", tags=[""], minOccurrences=0), row("w.sql", kind=None), row("v.pdf")]
+    (tmp_path / "b" / "expectations.json").write_text(json.dumps({"schemaVersion": 1, "suite": "B b", "source": "", "cases": cases}))
+    _, problems = sources.read_corpus(spark, f"file://{tmp_path}/b")
+    assert sorted((r.rule, r.what) for r in problems.collect()) == [
+        ("bad_extension", "v.pdf"), ("bad_min_occurrences", "z.sql"), ("bad_suite", "B b"), ("empty_value", "z.sql"),
+        ("missing_field", "w.sql"), ("missing_file", "v.pdf"), ("no_source", "B b"), ("repeated_value", "y.sql"),
+    ]
+
+
+def test_checksums_of_markers(spark):
+    """The registered rows against the digest itself, and a fixed vector."""
+    import hashlib
+
+    from veilframe.functions.vocabulary import CODE
+    from veilframe.plans import registry
+
+    rows = registry.queries()["marker_blake2s"](spark, "/root/testdata/sf0.001").collect()
+    for r in rows:
+        _, prefix, code, number, check = r.marker.split("_")
+        assert code == CODE[r.entity_type] and number == f"{r.sequence:04d}"
+        assert check == hashlib.blake2s(f"{prefix}:{code}:{r.sequence}:1".encode(), digest_size=2).hexdigest()[:2].upper()
+    assert len({(r.case_id, r.marker) for r in rows}) == len(rows) > 1000
+
+
+def test_compact_markers_of_odd_rows(spark):
+    """Nulls, unknown cases and repeated rows restore nothing or alike; a checksum that does not fit is left."""
+    from pyspark.sql import functions as F
+
+    from veilframe.operators import rewrite, symbols
+
+    known = spark.createDataFrame([(1, "table", "LANES", 1)], "case_id int, entity_type string, preferred_original string, sequence int").withColumn("marker", symbols.short_marker(F.lit("CASE"), F.col("entity_type"), F.col("sequence")))
+    good = known.first().marker
+    wrong = good[:-2] + ("00" if good[-2:] != "00" else "01")
+    rows = [(1, 1, f"{good} {good.lower()} {wrong}"), (1, 1, f"{good} {good.lower()} {wrong}"), (2, 1, None), (3, None, good), (4, 9, good), (5, 1, "")]
+    got = rewrite.restore_compact(spark.createDataFrame(rows, "answer_id int, case_id int, text string"), known).collect()
+    assert sorted((r.answer_id, r.restored, r.n_restored, r.unknown) for r in got if r.answer_id != 2) == [
+        (1, f"LANES LANES {wrong}", 2, [wrong]), (1, f"LANES LANES {wrong}", 2, [wrong]), (3, good, 0, [good]), (4, good, 0, [good]), (5, "", 0, [])
+    ]
+    assert [(r.restored, r.n_restored, r.unknown) for r in got if r.answer_id == 2] == [(None, 0, [])]
+
+
 PAGE = """<html><head><style>x{}</style></head><body><h2>Find <b>it</b></h2><p>Use <code>a`b</code> and <a href="https://e.org/x">link</a>, <a href="javascript:x">bad</a> <em>now</em><br>OBF_AAAA_TBL_0001_FF *</p>
 <div style="display: none">gone</div><p hidden>gone</p><ul><li>one<ol start="3"><li>deep</li></ol></li><li>two</li></ul><blockquote>said</blockquote><hr>
 <pre><code class="language-oracle">select 1

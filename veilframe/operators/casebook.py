@@ -29,7 +29,7 @@ TABLES = {
     "replacements": "run_id string, case_id string, revision_id string, start int, end int, original string, marker string, output_start int, output_end int",
     "findings": "run_id string, case_id string, revision_id string, code string",
     "responses": "response_id string, run_id string, case_id string, raw_text string, restored_text string, unknown_markers array<string>, created_at double",
-    "symbols": "case_id string, entity_type string, canonical string, preferred_original string, sequence int, confidence double, marker string",
+    "symbols": "case_id string, entity_type string, canonical string, preferred_original string, sequence int, confidence double, marker string, last_used_at double",
 }
 
 
@@ -211,8 +211,10 @@ class Casebook:
         cases = self.spark.createDataFrame([(case_id, case.prefix)], "case_id string, prefix string")
         kept = lambda: self.store.read("parses").where(F.col("case_id") == case_id) if self.store.version("parses") else None
         self.store.append("parses", engine.parse_table(source, kept()).withColumn("case_id", F.lit(case_id)))
-        out = engine.pseudonymise(source, cases, self._rows("symbols", case_id), parses=kept())
-        self.store.upsert("symbols", out.symbols.select(*(f.split()[0] for f in TABLES["symbols"].split(", "))), ["case_id"])
+        had = self._rows("symbols", case_id)
+        out = engine.pseudonymise(source, cases, had.drop("last_used_at"), parses=kept())
+        stamped = symbols.touched(out.symbols, had, out.replacements.select(F.lit(case_id).alias("case_id"), "marker"), F.lit(time.time()))
+        self.store.upsert("symbols", stamped.select(*(f.split()[0] for f in TABLES["symbols"].split(", "))), ["case_id"])
         stamp = lambda df: df.withColumn("run_id", F.lit(run_id)).withColumn("case_id", F.lit(case_id))
         put = lambda name, df: self.store.upsert(name, stamp(df).select(*(f.split()[0] for f in TABLES[name].split(", "))), ["run_id"]) if not df.isEmpty() else self.store.version(name) and self.store.write(name, self.table(name).where(F.col("run_id") != run_id))
         put("run_artifacts", sent.drop("text").join(out.masked.select(F.col("artifact_id").alias("revision_id"), "masked"), "revision_id"))
@@ -239,6 +241,21 @@ class Casebook:
         mine = lambda name: self.table(name).where(F.col("run_id") == run_id)
         return rewrite.exact_restore(mine("run_artifacts").select("revision_id", "masked"), mine("replacements"), "revision_id")
 
+    # ---- JSON ----
+    def case_json(self, case_id: str) -> str:
+        self._case(case_id)
+        return workflow.case_views(*(self._rows(name, case_id) for name in ("cases", "artifacts", "revisions", "runs", "responses"))).first().body
+
+    def run_json(self, run_id: str) -> str:
+        if self.run(run_id) is None:
+            raise CaseError(f"no run {run_id}")
+        mine = (self.table(name).where(F.col("run_id") == run_id) for name in ("runs", "questions", "run_artifacts", "replacements", "responses"))
+        return workflow.run_views(*mine).first().body
+
+    def restored_json(self, run_id: str) -> DataFrame:
+        """(revision_id, body): the run's restored materials."""
+        return workflow.restored_views(self.restored_sources(run_id))
+
     # ---- answers ----
     def respond(self, case_id: str, text: str, page: str | None = None) -> str:
         """The answer to the latest run, as Markdown with known markers restored; it closes the run."""

@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from . import names
 from .scratch import written
 from .spans import token_rows
+from .symbols import short_marker_valid
 
 WORD = names.WORD
 MARKER = "OBF_[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+"
+# The form of a compact marker, and of what else looks like one
+COMPACT = r"(?i)\bOBF_[A-Z0-9]{1,12}_[A-Z0-9]{2,8}_[0-9A-Z]{4,8}_[0-9A-F]{2}\b"
+LOOKALIKE = r"(?i)\bOBF_[A-Z0-9_]{4,80}\b"
 
 
 def _keys(doc: str | list[str]) -> list[str]:
@@ -123,6 +127,23 @@ def restore_answers(answers: DataFrame, symbols: DataFrame, case: str = "case_id
     return joined.withColumn("n_restored", F.coalesce(F.size("_parts"), F.lit(0))).withColumn("unknown", F.coalesce("unknown", F.expr("cast(array() as array<string>)"))).drop("_parts", "_row")
 
 
+def restore_compact(answers: DataFrame, symbols: DataFrame, case: str = "case_id", text: str = "text") -> DataFrame:
+    """As ``restore_answers`` for compact markers, which carry a checksum: one that does not fit is not restored, known or not.
+
+    ``unknown`` lists, once each and sorted, whatever looks like a marker after restoration, which is every marker left and what an
+    original may hold. Null texts stay null with nothing found; answers of a null or unknown case come back as they are.
+    """
+    rows = written(answers.withColumn("_row", F.monotonically_increasing_id()))
+    found = token_rows(rows, ["_row", case], text, COMPACT).withColumn("_u", F.upper("token")).where(short_marker_valid(F.col("_u")))
+    known = symbols.groupBy(case, F.upper("marker").alias("_u")).agg(F.min_by("preferred_original", "sequence").alias("preferred_original"))
+    part = F.struct("start", "end", F.col("preferred_original").alias("marker"))
+    per = found.join(known, [case, "_u"]).groupBy("_row").agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+    joined = rows.join(per, "_row", "left").withColumn("restored", splice_long(F.col(text), F.col("_parts")))
+    left = F.array_sort(F.array_distinct(F.regexp_extract_all("restored", F.lit(LOOKALIKE), F.lit(0))))
+    nothing = F.expr("cast(array() as array<string>)")
+    return joined.withColumn("n_restored", F.coalesce(F.size("_parts"), F.lit(0))).withColumn("unknown", F.coalesce(left, nothing)).drop("_parts", "_row")
+
+
 def mask_questions(questions: DataFrame, symbols: DataFrame, case: str = "case_id", text: str = "text", **limits) -> DataFrame:
     """questions with ``masked``: whole names of known symbols, of one word or any other form and in any case, give way to their markers.
 

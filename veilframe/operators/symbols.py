@@ -145,3 +145,14 @@ def mapping_cases(symbols: DataFrame, case: str = "case_id") -> DataFrame:
 def clear_mappings(symbols: DataFrame, doomed: DataFrame | None = None, case: str = "case_id") -> DataFrame:
     """What is left when the mappings of the ``doomed`` cases are cleared, or of all cases without it."""
     return symbols.where(F.lit(False)) if doomed is None else symbols.join(doomed.select(case), case, "left_anti").select(*symbols.columns)
+
+
+def touched(registry: DataFrame, existing: DataFrame, used: DataFrame, now: Column, case: str = "case_id") -> DataFrame:
+    """registry with ``last_used_at``: where a run used any symbol that the case had, all of the case's symbols were used now; else new ones were, and the others stay.
+
+    existing: case, marker, last_used_at; used: case, marker.
+    """
+    again = existing.join(used.select(case, "marker"), [case, "marker"], "left_semi").select(case).distinct().withColumn("_again", F.lit(True))
+    old = existing.select(case, "marker", F.col("last_used_at").alias("_old"))
+    joined = registry.join(old, [case, "marker"], "left").join(again, case, "left")
+    return joined.withColumn("last_used_at", F.when(F.col("_again"), now).otherwise(F.coalesce("_old", now))).select(*registry.columns, "last_used_at")

@@ -107,3 +107,52 @@ def question_items(snapshot: Column, legacy: Column) -> Column:
     kept = F.filter(parsed, lambda q: F.coalesce(F.trim(q["text"]) != "", F.lit(False)))
     single = F.when(F.coalesce(F.trim(legacy) != "", F.lit(False)), F.array(F.struct(F.lit("q-1").alias("id"), legacy.alias("text"))))
     return F.coalesce(F.when(F.size(kept) > 0, kept), single, F.expr("cast(array() as array<struct<id:string,text:string>>)"))
+
+
+def _listed(rows: DataFrame, key: str, order: list[str], out: str, **fields: Column) -> DataFrame:
+    """(key, out): a key's rows as an array of structs in order."""
+    item = F.struct(*order, F.struct(*(c.alias(n) for n, c in fields.items())).alias("_item"))
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_l")).select(key, F.transform("_l", lambda x: x["_item"]).alias(out))
+
+
+def _bodies(rows: DataFrame, key: str, lists: dict[str, DataFrame], **fields: Column) -> DataFrame:
+    """(key, body): fields and lists as one JSON object in the order given; nulls are written, lists without rows are empty."""
+    for name, listed in lists.items():
+        rows = rows.join(listed, key, "left").withColumn(name, F.coalesce(name, F.from_json(F.lit("[]"), listed.schema[name].dataType.simpleString())))
+    parts = [*(c.alias(n) for n, c in fields.items()), *lists]
+    return rows.select(key, F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("body"))
+
+
+def run_views(runs: DataFrame, questions: DataFrame, run_artifacts: DataFrame, replacements: DataFrame, responses: DataFrame) -> DataFrame:
+    """(run_id, body): each run as JSON, with its questions, masked materials with their numbers of replacements, and answers.
+
+    Tables and columns are those of the casebook. A run without any of these has empty lists.
+    """
+    c = F.col
+    counts = replacements.groupBy("run_id", "revision_id").agg(F.count("*").alias("_n"))
+    shown = run_artifacts.join(counts, ["run_id", "revision_id"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    lists = {
+        "question_items": _listed(questions, "run_id", ["position", "question_id"], "question_items", id=c("question_id"), text=c("text")),
+        "artifacts": _listed(shown, "run_id", ["position", "revision_id"], "artifacts", type=c("kind"), display_name=c("display_name"), obfuscated_text=c("masked"), replacement_count=c("_n")),
+        "responses": _listed(responses, "run_id", ["created_at", "response_id"], "responses", id=c("response_id"), restored_text=c("restored_text"), unknown_markers=c("unknown_markers")),
+    }
+    return _bodies(runs, "run_id", lists, id=c("run_id"), case_id=c("case_id"), prompt_text=c("prompt"), validation_status=c("status"))
+
+
+def case_views(cases: DataFrame, artifacts: DataFrame, revisions: DataFrame, runs: DataFrame, responses: DataFrame) -> DataFrame:
+    """(case_id, body): each case as JSON, with its materials in use and its runs."""
+    c = F.col
+    versions = revisions.groupBy("artifact_id").agg(F.count("*").alias("_n"))
+    used = artifacts.where("is_active").join(versions, "artifact_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    answered = responses.groupBy("run_id").agg(F.count("*").alias("_n"))
+    made = runs.join(answered, "run_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    lists = {
+        "artifacts": _listed(used, "case_id", ["created_at", "artifact_id"], "artifacts", id=c("artifact_id"), type=c("kind"), display_name=c("display_name"), current_revision_id=c("current_revision_id"), revision_count=c("_n")),
+        "runs": _listed(made, "case_id", ["created_at", "run_id"], "runs", id=c("run_id"), validation_status=c("status"), response_count=c("_n")),
+    }
+    return _bodies(cases, "case_id", lists, id=c("case_id"), title=c("title"), token_prefix=c("prefix"))
+
+
+def restored_views(restored: DataFrame, key: str = "revision_id") -> DataFrame:
+    """(key, body): restored materials as JSON."""
+    return restored.select(key, F.to_json(F.struct(F.col("restored").alias("restored_text")), {"ignoreNullFields": "false"}).alias("body"))

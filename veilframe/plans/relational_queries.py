@@ -100,6 +100,40 @@ def question_items(t):
     return t.sql(_SNAP).select("conv_id", "turn", F.array_join(F.transform(items, lambda q: F.concat(q["id"], F.lit("="), q["text"])), ",").alias("items"))
 
 
+# ---- JSON of runs and cases: the casebook's tables drawn from conversations ----
+_TALK = "(SELECT conv_id, turn, max(role) AS role, max(text) AS text FROM {conversations} WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn)"
+_VIEWS = {
+    "cases": f"SELECT CAST(conv_id AS STRING) AS case_id, 'talk ' || CAST(conv_id AS STRING) AS title, 'C' || CAST(conv_id % 50 AS STRING) AS prefix FROM {_TALK} t GROUP BY conv_id",
+    "runs": f"SELECT CAST(conv_id * 100 + turn AS STRING) AS run_id, CAST(conv_id AS STRING) AS case_id, text AS prompt, CASE WHEN turn % 3 = 0 THEN 'ok' ELSE 'warning' END AS status, CAST(turn AS DOUBLE) AS created_at FROM {_TALK} t WHERE turn % 2 = 0",
+    "questions": f"SELECT CAST(conv_id * 100 + turn - turn % 2 AS STRING) AS run_id, turn AS position, 'q' || CAST(turn AS STRING) AS question_id, text FROM {_TALK} t WHERE turn % 6 <> 4",
+    "artifacts": f"SELECT CAST(conv_id * 100 + turn AS STRING) AS artifact_id, CAST(conv_id AS STRING) AS case_id, CASE WHEN turn % 2 = 0 THEN 'sql' ELSE 'xplan' END AS kind, 'm' || CAST(turn AS STRING) AS display_name, CASE WHEN turn % 5 = 0 THEN NULL ELSE CAST(turn AS STRING) END AS current_revision_id, turn % 5 <> 4 AS is_active, CAST(turn AS DOUBLE) AS created_at FROM {_TALK} t",
+    "revisions": f"SELECT CAST(conv_id * 100 + turn AS STRING) AS artifact_id, k AS version FROM {_TALK} t JOIN (VALUES (1), (2), (3)) AS v(k) ON turn % 4 >= k",
+    "run_artifacts": f"SELECT CAST(conv_id * 100 + turn - turn % 4 AS STRING) AS run_id, CAST(conv_id * 1000 + turn AS STRING) AS revision_id, CASE WHEN turn % 2 = 0 THEN 'sql' ELSE 'xplan' END AS kind, 'm' || CAST(turn AS STRING) AS display_name, CAST(turn AS INT) AS position, text AS masked FROM {_TALK} t WHERE turn % 3 <> 0",
+    "replacements": f"SELECT CAST(conv_id * 100 + turn - turn % 4 AS STRING) AS run_id, CAST(conv_id * 1000 + turn AS STRING) AS revision_id, k FROM {_TALK} t JOIN (VALUES (1), (2), (3), (4)) AS v(k) ON turn % 5 >= k",
+    "responses": f"SELECT CAST(conv_id * 100 + turn - 1 AS STRING) AS run_id, 'r' || CAST(turn AS STRING) AS response_id, text AS restored_text, split(role, 'i') AS unknown_markers, CAST(turn AS DOUBLE) AS created_at FROM {_TALK} t WHERE turn % 2 = 1",
+}
+_VIEW_CTES = "WITH " + ", ".join(f"{n} AS ({plain(q)})" for n, q in _VIEWS.items())
+
+
+@query("json_run_views", _VIEW_CTES + """, q AS (SELECT run_id, list({'id': question_id, 'text': text} ORDER BY position, question_id) AS l FROM questions GROUP BY run_id),
+    n AS (SELECT run_id, revision_id, count(*) AS n FROM replacements GROUP BY ALL),
+    a AS (SELECT run_id, list({'type': kind, 'display_name': display_name, 'obfuscated_text': masked, 'replacement_count': coalesce(n, 0)} ORDER BY position, revision_id) AS l FROM run_artifacts LEFT JOIN n USING (run_id, revision_id) GROUP BY run_id),
+    r AS (SELECT run_id, list({'id': response_id, 'restored_text': restored_text, 'unknown_markers': unknown_markers} ORDER BY created_at, response_id) AS l FROM responses GROUP BY run_id)
+    SELECT run_id, CAST(to_json({'id': run_id, 'case_id': case_id, 'prompt_text': prompt, 'validation_status': status, 'question_items': coalesce(q.l, []), 'artifacts': coalesce(a.l, []), 'responses': coalesce(r.l, [])}) AS VARCHAR) AS body
+    FROM runs LEFT JOIN q USING (run_id) LEFT JOIN a USING (run_id) LEFT JOIN r USING (run_id)""")
+def json_run_views(t):
+    return workflow.run_views(*(t.sql(_VIEWS[n]) for n in ("runs", "questions", "run_artifacts", "replacements", "responses")))
+
+
+@query("json_case_views", _VIEW_CTES + """, n AS (SELECT artifact_id, count(*) AS n FROM revisions GROUP BY ALL),
+    a AS (SELECT case_id, list({'id': artifact_id, 'type': kind, 'display_name': display_name, 'current_revision_id': current_revision_id, 'revision_count': coalesce(n, 0)} ORDER BY created_at, artifact_id) AS l FROM artifacts LEFT JOIN n USING (artifact_id) WHERE is_active GROUP BY case_id),
+    m AS (SELECT run_id, count(*) AS n FROM responses GROUP BY ALL),
+    r AS (SELECT case_id, list({'id': run_id, 'validation_status': status, 'response_count': coalesce(n, 0)} ORDER BY created_at, run_id) AS l FROM runs LEFT JOIN m USING (run_id) GROUP BY case_id)
+    SELECT case_id, CAST(to_json({'id': case_id, 'title': title, 'token_prefix': prefix, 'artifacts': coalesce(a.l, []), 'runs': coalesce(r.l, [])}) AS VARCHAR) AS body FROM cases LEFT JOIN a USING (case_id) LEFT JOIN r USING (case_id)""")
+def json_case_views(t):
+    return workflow.case_views(*(t.sql(_VIEWS[n]) for n in ("cases", "artifacts", "revisions", "runs", "responses")))
+
+
 # ---- relational operators of the store ----
 same("point_filter", "SELECT c_custkey, c_name, c_acctbal FROM {customer} WHERE c_custkey = 42")
 same("uniqueness_probe", "SELECT count(*) AS n FROM (SELECT 1 AS one FROM {customer} WHERE c_name = 'Customer#000000007' LIMIT 1) x")

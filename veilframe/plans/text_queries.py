@@ -445,6 +445,25 @@ def unknown_markers(t):
     return rewrite.restore_answers(t.sql(base.ANSWERS), t.sql(base.SYMBOLS)).where("size(unknown) > 0").select("answer_id", F.array_join("unknown", ",").alias("markers"))
 
 
+# A known compact marker, one whose checksum does not fit, one of no symbol, and words that only look like markers
+_COMPACT_TEXT = "'Look at ' || lower(marker) || ', ' || {bad} || ' and OBF_C1_TBL_000Z_0' || CAST(c_custkey % 10 AS STRING) || '; x' || marker || ' obf_c' || CAST(c_custkey % 50 AS STRING) || '_more of ' || marker || '.'".replace("{bad}", "substring(marker, 1, length(marker) - 2) || CASE WHEN marker LIKE '%00' THEN '01' ELSE '00' END")
+_COMPACT = f"SELECT c_custkey AS answer_id, c_custkey % 50 AS case_id, marker, preferred_original, {_COMPACT_TEXT} AS text FROM {{customer}} JOIN markers ON case_id = c_custkey % 50 AND entity_type = 'table' AND sequence = c_nationkey + 1"
+
+
+@query("compact_restore", f"""WITH names AS ({plain(base.SYMBOLS)}), markers AS (SELECT m.*, n.preferred_original FROM ({_SHORT}) m JOIN names n USING (case_id, entity_type, sequence)), a AS ({plain(_COMPACT)})
+    SELECT answer_id, replace(replace(text, lower(marker), preferred_original), ' of ' || marker || '.', ' of ' || preferred_original || '.') AS restored, 2 AS n_restored,
+        array_to_string(list_sort([substring(marker, 1, length(marker) - 2) || CASE WHEN marker LIKE '%00' THEN '01' ELSE '00' END, 'OBF_C1_TBL_000Z_0' || answer_id % 10, 'obf_c' || case_id || '_more']), ',') AS unknown FROM a""")
+def compact_restore(t):
+    """Compact markers in answers, restored where symbol and checksum agree."""
+    known = t.sql(base.SYMBOLS).withColumn("marker", symbols.short_marker(F.concat(F.lit("C"), F.col("case_id")), F.col("entity_type"), F.col("sequence")))
+    known.createOrReplaceTempView("markers")
+    try:
+        asked = t.sql(_COMPACT)
+    finally:
+        t.spark.catalog.dropTempView("markers")
+    return rewrite.restore_compact(asked.select("answer_id", "case_id", "text"), known).select("answer_id", "restored", "n_restored", F.array_join("unknown", ",").alias("unknown"))
+
+
 @query("marker_counts", f"SELECT answer_id, CAST(len(regexp_extract_all(text, '(?i)OBF_[A-Z0-9]+(?:_[A-Z0-9]+)+')) AS INTEGER) AS n FROM ({plain(base.ANSWERS)})")
 def marker_counts(t):
     return t.sql(base.ANSWERS).select("answer_id", F.regexp_count("text", F.lit("(?i)OBF_[A-Z0-9]+(?:_[A-Z0-9]+)+")).alias("n"))

@@ -45,12 +45,16 @@ def sentinels(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(SENTINEL), F.lit(0)))
 
 
+_LISTS = ("replace", "keep", "allowFindings", "tags")  # the lists of a registered file
+
+
 def read_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """A corpus folder as (cases, problems).
 
     cases: suite, file, kind, text, replace (with the sentinels of the text), keep, min_occurrences,
     allow_findings, registered. problems: rule, what - unregistered files without sentinels, registered files
-    that are missing, files registered twice, paths that leave the suite, bad versions and kinds, large files.
+    that are missing, files registered twice, paths that leave the suite, bad versions, suites, kinds and
+    extensions, a missing file name or kind, empty or repeated values, large files, and an empty corpus. Lists that are left out are empty.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(root)
     files = files.select("path", "length", decoded("content").alias("text"))
@@ -72,6 +76,14 @@ def read_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
         ("path_leaves_suite", listed.where("file like '/%' or file like '%..%'"), "file"),
         ("bad_version", sheets.where("schemaVersion is null or schemaVersion <> 1"), "suite"),
         ("bad_kind", listed.where("kind not in ('sql', 'xplan', 'sql_monitor', 'outline', 'predicates')"), "file"),
+        ("bad_suite", sheets.where("suite is null or not suite rlike '^[a-z0-9][a-z0-9-]*$'").select(F.coalesce("suite", "base").alias("suite")), "suite"),
+        ("no_source", sheets.where("coalesce(source, '') = ''").select(F.coalesce("suite", "base").alias("suite")), "suite"),
+        ("missing_field", listed.where("file is null or kind is null").select(F.coalesce("file", "suite", "base").alias("file")), "file"),
+        ("bad_min_occurrences", listed.where("minOccurrences < 1"), "file"),
+        ("bad_extension", listed.where(~F.lower("file").rlike(r"[.](?:" + "|".join(EXTENSIONS) + ")$")), "file"),
+        ("empty_value", listed.where(" or ".join(f"array_contains({c}, '')" for c in _LISTS)), "file"),
+        ("repeated_value", listed.where(" or ".join(f"size(array_distinct({c})) < size({c})" for c in _LISTS)), "file"),
+        ("empty_corpus", files.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(root).alias("root")), "root"),
         ("too_large", files.where(f"length > {10 << 20}"), "at"),
         ("registered_twice", listed.groupBy("at").count().where("count > 1"), "at"),
         ("duplicate_suite", sheets.groupBy("suite").count().where("count > 1"), "suite"),
