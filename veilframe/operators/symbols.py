@@ -63,13 +63,15 @@ def first_seen(spans: DataFrame, case: str = "case_id") -> DataFrame:
     return spans.groupBy(case, "entity_type", "canonical").agg(F.min(place).alias("first"), F.min_by("original", place).alias("preferred_original"), F.max("confidence").alias("confidence"))
 
 
-def rank_in_group(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
-    """1-based rank of each row in its group without bringing a group to one task.
+def rank_in_group(df: DataFrame, group: str, order: list[str], out: str, few: bool = False) -> DataFrame:
+    """1-based rank of each row in its group without bringing a group to one task, unless the caller has found all rows to be ``few``.
 
     Rows are range-partitioned by (group, order), so a large group spreads over tasks; a row's global
     index is its place in the partition plus the rows of the partitions before; the rank is its distance
     from the group's first index. The order must be total.
     """
+    if few:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).withColumn("_m", F.monotonically_increasing_id())
@@ -95,13 +97,13 @@ def register(spans: DataFrame, cases: DataFrame, existing: DataFrame | None = No
     return register_keys(first_seen(spans, case), cases, existing, case)
 
 
-def register_keys(seen: DataFrame, cases: DataFrame, existing: DataFrame | None = None, case: str = "case_id") -> DataFrame:
+def register_keys(seen: DataFrame, cases: DataFrame, existing: DataFrame | None = None, case: str = "case_id", few: bool = False) -> DataFrame:
     """The registry after these keys: existing symbols (confidence raised to the highest seen) and new ones.
 
     seen: case, entity_type, canonical, first (place), preferred_original, confidence; a key may come several times, as it
     does after types were adopted. New symbols are numbered on from the case's highest sequence in the order of first
     appearance. ``cases``: case, prefix; equal rows are one, and a case with none has no symbols: what it would have named
-    stays without a marker, which the engine withholds. Columns: case, entity_type, canonical, preferred_original, sequence, confidence, marker.
+    stays without a marker, which the engine withholds. ``few``: the keys fit one task, as their measured size says. Columns: case, entity_type, canonical, preferred_original, sequence, confidence, marker.
     """
     key = [case, "entity_type", "canonical"]
     seen = seen.where(F.col(case).isNotNull()).groupBy(*key).agg(F.min("first").alias("first"), F.min_by("preferred_original", "first").alias("preferred_original"), F.max("confidence").alias("confidence"))
@@ -114,7 +116,7 @@ def register_keys(seen: DataFrame, cases: DataFrame, existing: DataFrame | None
         raised = seen.select(*key, F.col("confidence").alias("_seen"))
         kept = existing.join(raised, key, "left").withColumn("confidence", F.greatest("confidence", "_seen")).drop("_seen")
     fresh = fresh.join(prefixes, case)
-    fresh = rank_in_group(fresh.withColumn("_p", F.col("first.position")).withColumn("_s", F.col("first.start")), case, ["_p", "_s", "entity_type", "canonical"], "sequence").drop("_p", "_s", "first")
+    fresh = rank_in_group(fresh.withColumn("_p", F.col("first.position")).withColumn("_s", F.col("first.start")), case, ["_p", "_s", "entity_type", "canonical"], "sequence", few).drop("_p", "_s", "first")
     if last is not None:
         fresh = fresh.join(last, case, "left").withColumn("sequence", (F.col("sequence") + F.coalesce("_last", F.lit(0))).cast("int")).drop("_last")
     fresh = fresh.withColumn("marker", marker(F.col("prefix"), F.col("entity_type"), F.col("sequence"))).drop("prefix")
