@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .scratch import written
+from .scratch import spread, written
 from .sql_text import statement_identity
 
 MIN_TOKENS = 12
@@ -46,10 +46,10 @@ def raw_signature(identity: Column) -> Column:
 
 def signatures(statements: DataFrame, text: str = "text") -> DataFrame:
     """statements with ``tokens`` (joined by unit separators), ``n_tokens`` and ``raw``. Null and empty texts have none: null."""
-    identity = statement_identity(F.translate(F.col(text), UNIT, " "))
-    out = statements.withColumn("_i", F.when(identity != "", identity))
-    typed = typed_tokens(F.col("_i"))
-    return out.withColumns({"tokens": F.array_join(typed, UNIT), "n_tokens": F.size(typed), "raw": raw_signature(F.col("_i"))}).drop("_i")
+    known = statements.withColumn("_i", statement_identity(F.translate(F.col(text), UNIT, " ")))
+    parted = known.withColumns({"_t": typed_tokens(F.col("_i")), "raw": raw_signature(F.col("_i"))}).drop("_i")  # a projection for each step, so that none is computed twice
+    some = F.size("_t") > 0
+    return parted.withColumns({"tokens": F.when(some, F.array_join("_t", UNIT)), "n_tokens": F.when(some, F.size("_t")), "raw": F.when(some, F.col("raw"))}).drop("_t")
 
 
 def _shared(a: str, b: str) -> int:
@@ -179,7 +179,7 @@ def match_statements(shown: DataFrame, known: DataFrame, text: str = "text", cas
     columns are null where no case matches, as for null and empty texts; known rows without a case or a statement are left out. Rows
     of ``shown`` may repeat and keep all their columns, except two of these names.
     """
-    rows = written(signatures(shown.drop("matched_case", "match").withColumn("_text", F.col(text)), "_text").withColumnsRenamed({"tokens": "_tokens", "n_tokens": "_n", "raw": "_raw"}).drop("_text"))
+    rows = written(signatures(spread(shown).drop("matched_case", "match").withColumn("_text", F.col(text)), "_text").withColumnsRenamed({"tokens": "_tokens", "n_tokens": "_n", "raw": "_raw"}).drop("_text"))
     told = signatures(known.where(F.col(case).isNotNull()).select(F.col(case).alias("_case"), F.col(text).alias("_text")), "_text").select("_case", F.col("tokens").alias("_tokens"), F.col("n_tokens").alias("_n"), F.col("raw").alias("_raw"))
     every = told.unionByName(rows.select(F.lit(None).cast(told.schema["_case"].dataType).alias("_case"), "_tokens", "_n", "_raw")).where("_tokens IS NOT NULL")
     every = written(every.groupBy("_tokens").agg(F.min("_case").alias("_case"), F.first("_n").alias("_n"), F.first("_raw").alias("_raw")))
