@@ -1,5 +1,6 @@
 """Every registered query with SQL equals it, on the smallest tables."""
 
+import ast
 import glob
 import os
 from collections import Counter
@@ -7,6 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from veilframe.operators import spans
 from veilframe.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +53,24 @@ def test_entry(spark):
 
     assert e.entry(spark).limit(5).count() == 5
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("path", sorted(glob.glob(f"{os.path.dirname(registry.__file__)}/*.py")), ids=os.path.basename)
+def test_module_names_are_bound_once(path):
+    """Queries read the texts of their module when they run, so a later text of the same name would replace theirs."""
+    with open(path) as f:
+        body = ast.parse(f.read()).body
+    names = [t.id for node in body if isinstance(node, ast.Assign) for t in node.targets if isinstance(t, ast.Name)]
+    names += [node.name for node in body if isinstance(node, ast.FunctionDef)]
+    assert [n for n, count in Counter(names).items() if count > 1] == []
+
+
+def test_types_are_reconciled_within_a_case(spark):
+    """One other type is adopted; two, none, fragments alone or another case leave an identifier; null keys stay."""
+    rows = [
+        (1, 1, "A", "identifier"), (2, 1, "A", "table"), (3, 1, "A", "table"), (4, 1, "B", "identifier"), (5, 1, "B", "table"), (6, 1, "B", "view"),
+        (7, 1, "C", "identifier"), (8, 1, "C", "fragment"), (9, 2, "A", "identifier"), (10, 1, None, "identifier"), (11, 1, None, "table"),
+    ]
+    got = spans.reconcile_types(spark.createDataFrame(rows, "span_id int, case_id int, canonical string, entity_type string")).collect()
+    want = {1: "table", 2: "table", 3: "table", 4: "identifier", 5: "table", 6: "view", 7: "identifier", 8: "fragment", 9: "identifier", 10: "identifier", 11: "table"}
+    assert sorted((r.span_id, r.entity_type) for r in got) == sorted(want.items())

@@ -657,11 +657,11 @@ _CASE_TEXT = "'SELECT n.n_name, c.c_name FROM customer c JOIN nation n ON c.c_na
 _CASE_STATEMENTS = f"SELECT c_custkey AS case_id, {_CASE_TEXT.replace('{key}', 'c_custkey')} AS text FROM {{customer}} WHERE c_custkey % 3 <> 0"
 _SHOWN_STATEMENTS = f"""SELECT artifact_id, CASE artifact_id % 5 WHEN 0 THEN text WHEN 1 THEN lower(replace(text, ' ', chr(10))) || ' -- as sent' WHEN 2 THEN text || ' AND c.c_phone = ' || chr(39) || 'x' || chr(39) WHEN 3 THEN substring(text, 1, CAST(60 + artifact_id % 90 AS INT)) ELSE substring(text, 1, CAST(artifact_id % 60 AS INT)) END AS text
     FROM (SELECT o_orderkey AS artifact_id, {_CASE_TEXT.replace('{key}', 'o_custkey')} AS text FROM {{orders}}) s"""
-_TYPED = lambda q: f"""SELECT *, array_to_string(tk, chr(31)) AS tokens, len(tk) AS n, array_to_string(list_transform(tk, lambda x: x[3:]), '') AS raw FROM (SELECT * EXCLUDE (text), list_transform(list_filter(string_split({_NORM}, chr(31)), lambda x: x <> ''), lambda x:
+_TOKENED = lambda q: f"""SELECT *, array_to_string(tk, chr(31)) AS tokens, len(tk) AS n, array_to_string(list_transform(tk, lambda x: x[3:]), '') AS raw FROM (SELECT * EXCLUDE (text), list_transform(list_filter(string_split({_NORM}, chr(31)), lambda x: x <> ''), lambda x:
     CASE WHEN x[1] = chr(39) THEN 'S:' WHEN regexp_full_match(x, '[0-9]+([.][0-9]+)?') THEN 'N:' WHEN regexp_matches(x, '^[A-Za-z0-9_$#]') THEN 'W:' ELSE 'P:' END || x) AS tk FROM ({plain(q)}))"""
 
 
-@query("sql_continuations", f"""WITH k AS ({_TYPED(_CASE_STATEMENTS)}), s AS ({_TYPED(_SHOWN_STATEMENTS)}),
+@query("sql_continuations", f"""WITH k AS ({_TOKENED(_CASE_STATEMENTS)}), s AS ({_TOKENED(_SHOWN_STATEMENTS)}),
     d AS (SELECT DISTINCT tokens, n, raw FROM s WHERE n > 0),
     p AS (SELECT d.tokens, k.case_id, 1 AS form, k.tokens AS key, k.tokens = d.tokens AS same, length(k.tokens) < length(d.tokens) AS under FROM d JOIN k ON k.tokens = d.tokens OR (k.n >= 12 AND starts_with(d.tokens, k.tokens)) OR (d.n >= 12 AND starts_with(k.tokens, d.tokens))
         UNION ALL SELECT d.tokens, k.case_id, 2, k.raw, k.raw = d.raw, length(k.raw) < length(d.raw) FROM d JOIN k ON (length(k.raw) >= 80 AND starts_with(d.raw, k.raw)) OR (length(d.raw) >= 80 AND starts_with(k.raw, d.raw))),
