@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm.conftest import ODD
 from tests.llm.test_pairs import groups
 
 from veilframe.llm import near_copies, simhash
+from veilframe.llm.common import Workspace
 
 
 def brute_roots(rows):
@@ -93,3 +96,41 @@ def test_pipeline_stage_reaches_the_similarity(spark, sf):
     rows = [(r.doc_id, r.text) for r in given.collect()]
     kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, given, "")
     assert sorted(r.doc_id for r in kept.collect()) == [d for d, c in brute_groups(rows) if d == c]
+
+
+def starred(size):
+    """Candidate pairs of the first round in one bucket: a quarter of the rows near to each of four texts, all within the radius."""
+    rng = np.random.default_rng(size)
+    bits = np.zeros((size, 128), np.uint8)
+    for i in range(size):
+        bits[i, i % 4 * 16 : i % 4 * 16 + 16] = 1
+        bits[i, 64 + rng.choice(64, 2, replace=False)] = 1
+    wide = np.packbits(bits, axis=1).view(np.int64)
+    one, ids = np.zeros(size, np.int64), np.arange(size)
+    columns = {"k": one, "v": one, "a": one, "b": one, "chunk": one, "fp": ids, "n": one + 100, "left": wide[:, 0].copy(), "right": wide[:, 1].copy(), "root": ids}
+    t = pa.table({c: columns[c] for c in near_copies.LIGHT})
+    return [(r["src"], r["dst"]) for b in near_copies._star_pass(iter(t.to_batches())) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("size", [2, 3, 40, 400, 800])
+def test_first_round_has_a_pair_for_each_row(size):
+    pairs = starred(size)
+    assert len(pairs) <= size + 6
+    assert set(groups(size, pairs)) == {0}
+
+
+def test_second_round_deals_large_buckets_by_the_rows_outside_the_largest_component(spark):
+    """Each pair of two components meets in one tile; those of the largest do not, and a bucket of one component has no tile."""
+    rows = [(0, 7, i, 1 if i < 60 else i) for i in range(64)] + [(1, 7, i, 1) for i in range(64)] + [(2, 7, i, i) for i in range(20)] + [(3, 7, i, i) for i in range(5)]
+    size = {k: sum(r[0] == k for r in rows) for k in range(4)}
+    given = [(k, v, fp, root, 10, 0, 0, 0, -(-size[k] // 8)) for k, v, fp, root in rows]
+    rooted = spark.createDataFrame(given, "k int, v long, fp long, root long, n int, left long, right long, chunk int, chunks long")
+    dealt = near_copies.across_roots(Workspace(spark, "test"), rooted, 8).collect()
+    met = []
+    for tile in {(r.k, r.a, r.b) for r in dealt}:
+        held = [r for r in dealt if (r.k, r.a, r.b) == tile]
+        met += [(r.k, r.fp, q.fp) for r in held for q in held if r.fp < q.fp and r.root != q.root and (r.a == r.b or r.chunk != q.chunk)]
+    want = [(p[0], p[2], q[2]) for p in rows for q in rows if p[0] == q[0] and p[2] < q[2] and p[3] != q[3]]
+    assert sorted(met) == sorted(want)
+    of = [sum(r.k == k for r in dealt) for k in range(4)]
+    assert of[0] == 4 * 9 + 60 and of[1] == 0 and of[3] == 5

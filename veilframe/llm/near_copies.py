@@ -6,9 +6,11 @@ README), so bands of MinHash values propose the pairs: of ``BANDS`` bands of ``R
 shares none with probability (1 - s^4)^30, 1.4e-7 at 0.8 and less above. A bucket's rows then have a pivot table:
 Hamming distances to reference fingerprints of the bucket. Pairs whose sizes rule out the similarity, or whose
 distances to any pivot differ by more than ``RADIUS``, or whose fingerprints do, are discarded; survivors are verified on the
-shingles themselves. A first round links each row with the centres of its buckets; in the second, rows that still have a
-candidate in another component meet again with their sets, and pairs are verified where they meet: only links leave a task, so
-neither round gives all pairs of a group. A bucket over ``TILE`` rows is dealt as tiles of two chunks.
+shingles themselves. A first round links each row with the nearest of its buckets' centres: a pair for each row of a tile and
+one for each two centres at most. In the second, rows that still have a candidate in another component meet again with their
+sets, and pairs are verified where they meet: only links leave a task, so neither round gives all pairs of a group. A bucket
+over ``TILE`` rows is dealt in chunks: each alone in the first round, in the second as tiles of two, of which one at least is
+of rows outside the bucket's largest component.
 
 Null and empty texts have no shingle and are copies of each other; null ids keep their row; rows that repeat an id and a
 text are copies. Shingles are compared by a 64-bit hash. No documents give no rows; other columns are not looked at.
@@ -217,10 +219,24 @@ def _tiles(t: pa.Table) -> Iterator[tuple[Tile, int, int]]:
             yield tile, s, e
 
 
+def star(tile: Tile) -> np.ndarray:
+    """Candidate pairs (i, j) of a tile: of each row with the nearest centre, and of a row near to two centres with the other one, for each two."""
+    i, j = (np.concatenate(x) for x in zip(*tile.pairs(centres(tile.wide)), strict=True))
+    order = np.lexsort((i, _apart(tile.wide[i], tile.wide[j]), j))
+    i, j = i[order], j[order]
+    nearest = np.append(True, j[1:] != j[:-1])[: len(j)]
+    second = np.flatnonzero(~nearest & np.append(False, nearest[:-1])[: len(j)])
+    between = np.sort(np.stack([i[second - 1], i[second]], axis=1), axis=1)
+    far = np.argsort(_apart(tile.wide[i[second]], tile.wide[j[second]]), kind="stable")
+    once = second[far[np.unique(between[far], axis=0, return_index=True)[1]]]
+    kept = np.append(np.flatnonzero(nearest), once)
+    return np.stack([i[kept], j[kept]], axis=1)
+
+
 def _star_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted tiles -> candidate pairs of each row with the tile's centres."""
+    """Sorted tiles -> candidate pairs of their stars."""
     for t in sorted_runs(batches, KEY):
-        found = [np.sort(tile.fp[np.stack([i, j], axis=1)], axis=1) for tile, _, _ in _tiles(t) for i, j in tile.pairs(centres(tile.wide))]
+        found = [np.sort(tile.fp[star(tile)], axis=1) for tile, _, _ in _tiles(t)]
         if found:
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["src", "dst"])
@@ -272,12 +288,29 @@ def _verify_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def in_tiles(work: Workspace, shared: DataFrame, tile: int) -> DataFrame:
-    """Rows by bucket, each with its chunk and the number of chunks: one, or in a bucket over the size of a tile several."""
+    """Rows by bucket, each with its chunk and the number of chunks: one, or in a bucket over the size of a tile several.
+
+    Two rows share a chunk in some bands and not in others, so that stars of chunks meet.
+    """
     sizes = shared.groupBy("k", "v").count().where(F.col("count") > tile).withColumn("chunks", F.ceil(F.col("count") / tile).cast("int")).drop("count")
     sizes = work.table(sizes, "sizes")
     near = F.broadcast(sizes) if sizes.count() <= MAX_BROADCAST else sizes
     rows = shared.join(near, ["k", "v"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    return rows.withColumn("chunk", F.expr("cast(pmod(xxhash64(fp), chunks) as int)"))
+    return rows.withColumn("chunk", F.expr("cast(pmod(xxhash64(fp, k), chunks) as int)"))
+
+
+def across_roots(work: Workspace, rooted: DataFrame, tile: int) -> DataFrame:
+    """in_tiles with roots -> a row for each tile of it. Large buckets: rows of the root with most of them are in chunks of their own that only meet chunks of others."""
+    roots = rooted.where("chunks > 1").groupBy("k", "v", "root").count().groupBy("k", "v")
+    mixed = roots.agg(F.max_by("root", "count").alias("most"), F.max("count").alias("m"), F.sum("count").alias("n"))
+    mixed = mixed.select("k", "v", "most", F.ceil((F.col("n") - F.col("m")) / tile).cast("int").alias("others"), F.ceil(F.col("m") / tile).cast("int").alias("same"))
+    mixed = work.table(mixed, "mixed")
+    near = F.broadcast(mixed) if mixed.count() <= MAX_BROADCAST else mixed
+    rows = rooted.join(near, ["k", "v"], "left").where("others is null or others > 0")
+    place = "case when others is null then 0 when root = most then others + pmod(xxhash64(fp, k), same) else pmod(xxhash64(fp, k), others) end"
+    meets = "case when others is null then 1 when root = most then others else others + same end"
+    rows = rows.withColumn("chunk", F.expr(f"cast({place} as int)")).withColumn("o", F.explode(F.expr(f"sequence(0, {meets} - 1)")))
+    return rows.withColumn("a", F.least("chunk", "o")).withColumn("b", F.greatest("chunk", "o")).select(*LIGHT)
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, tile: int = TILE) -> DataFrame:
@@ -302,7 +335,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = connected_components(work, links, "star-cc")
 
     rooted = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    tiles = rooted.withColumn("o", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("a", F.least("chunk", "o")).withColumn("b", F.greatest("chunk", "o")).select(*LIGHT)
+    tiles = across_roots(work, rooted, tile)
     live = work.table(dealt(tiles).mapInArrow(_live_pass, tiles.schema), "live")
     sets = work.table(sets_of(live.select("fp")), "sets")
     held = dealt(live.join(sets, "fp").select(*LIGHT, "h"))
