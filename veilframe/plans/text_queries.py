@@ -679,13 +679,13 @@ _HINTED = "SELECT o_orderkey AS artifact_id, 'select /*+ FULL(o) INDEX(o IX_' ||
 @query("hint_words", f"""SELECT artifact_id, w, CAST(i AS INTEGER) AS i, CASE WHEN upper(w) IN ({', '.join(repr(x) for x in sorted(HINT_WORDS))}) THEN 'kept' ELSE 'identifier' END AS treatment FROM (
     SELECT artifact_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT artifact_id, regexp_extract_all(regexp_extract(text, '/[*][+]([^*]*)[*]/', 1), '[A-Za-z_][A-Za-z0-9_]*') AS w FROM ({plain(_HINTED)})))""")
 def hint_words(t):
-    """The words of a hint; those that the SQL reader marks are identifiers, the others stay."""
-    art = t.sql(_HINTED)
-    words = spans.token_rows(art, ["artifact_id", "text"], "text", "[A-Za-z_][A-Za-z0-9_]*")
-    inside = words.where("start > instr(text, '/*+') and start < instr(text, '*/')").select("artifact_id", "start", F.col("token").alias("w"))
-    found = _marked_by(art, "sql").select("artifact_id", "start", F.lit("identifier").alias("marked"))
-    place = F.row_number().over(Window.partitionBy("artifact_id").orderBy("start")) - 1
-    return inside.join(found, ["artifact_id", "start"], "left").select("artifact_id", "w", place.alias("i"), F.coalesce("marked", F.lit("kept")).alias("treatment"))
+    """The words of a hint; those that the SQL reader marks are identifiers, the others stay. Each text is looked at by itself: no row leaves its task."""
+    hint = "/[*][+]([^*]*)[*]/"
+    read = detection.with_parsed(spread(t.sql(_HINTED)).withColumn("kind", F.lit("sql")), kind_col="kind")
+    body = F.regexp_extract("text", hint, 1).alias("body")
+    marks = F.transform("parsed.spans", lambda s: s["start"] - F.regexp_instr("text", F.lit(hint)) - 2).alias("marks")  # places in the body
+    words = spans.token_rows(read.select("artifact_id", body, marks), ["artifact_id", "marks"], "body", "[A-Za-z_][A-Za-z0-9_]*")
+    return words.select("artifact_id", F.col("token").alias("w"), "i", F.when(F.array_contains("marks", F.col("start")), "identifier").otherwise("kept").alias("treatment"))
 
 
 @query("comment_bodies", f"SELECT artifact_id, trim(regexp_extract(text, '/[*] ([^*+]*)[*]/', 1)) AS body FROM ({plain(_HINTED)})")
