@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from veilframe.operators import engine
 from veilframe.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +37,40 @@ def test_hint_words_look_at_each_text_alone(spark, twice):
     found = plan(registry.queries()["hint_words"](spark, SF))
     assert "Join" not in found and "Window" not in found
     equals_sql(spark, "hint_words", twice)
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """Cases of one text, of several, unknown ones and null; types that are adopted within a text, lexemes of one key, texts without marks."""
+    texts = [
+        "select e.name from hr.people e where e.age > 30 and e.note = 'x'",
+        "select /*+ FULL(w) INDEX(people ix) */ w.Berth, W.berth from people w -- seen",
+        '   1 - access("P"."LANE"="L"."LANE_ID" AND "P"."N">7)\n   2 - filter("P"."N"=:B1 OR "ALONE"=\'x\')',
+        "", None, "why is lane 7 slow", "select a, a from b", "Plan hash value: 77\n\n| Id | Operation | Name |\n| 1 | TABLE ACCESS FULL | LANES |\n",
+    ]
+    rows = [(100 + i, i, 0, t) for i, t in enumerate(texts)] + [(1, 50 + i, i % 3, t) for i, t in enumerate(texts)] + [(None, 90, 0, texts[0]), (999, 91, 0, texts[0]), (998, 92, 0, None)]
+    artifacts = spark.createDataFrame(rows, "case_id long, artifact_id long, position int, text string")
+    return artifacts, spark.createDataFrame([(c, f"C{c}") for c in [1, *range(100, 108)]], "case_id long, prefix string")
+
+
+def masked_rows(out):
+    key = lambda r: str(r)
+    rows = [(r.case_id, r.artifact_id, r.position, r.kind, r.text, r.masked, r.replacements, r.problem) for r in out.masked.collect()]
+    return sorted(rows, key=key), sorted(map(tuple, out.symbols.collect()), key=key), sorted(((r.case_id, r.artifact_id, r.code) for r in out.findings.collect()), key=key)
+
+
+def test_cases_of_one_text_are_masked_as_others_are(mixed):
+    """Numbered where the text lies or by the registry of all cases: the same markers, symbols and findings."""
+    artifacts, cases = mixed
+    one = masked_rows(engine.pseudonymise(artifacts, cases, many_cases=0))
+    assert one == masked_rows(engine.pseudonymise(artifacts, cases, many_cases=1 << 60)) == masked_rows(engine.pseudonymise(artifacts, cases, many_cases=0, max_mapping=0))
+    assert len(one[0]) == artifacts.count() and {s[0] for s in one[1]} == {1, 100, 101, 102, 105, 106, 107}
+
+
+def test_masked_texts_of_many_cases_number_no_symbol_by_a_shuffle(spark, monkeypatch):
+    """Nine million cases of one text each had some seventy million symbols sorted and joined back; now none of them is a row of the registry's jobs."""
+    sizes = []
+    monkeypatch.setattr(engine.symbols, "register_keys", lambda seen, *a, real=engine.symbols.register_keys, **k: sizes.append(seen.count()) or real(seen, *a, **k))
+    monkeypatch.setattr(engine.pseudonymise, "__defaults__", tuple(0 if x == engine.MANY_CASES else x for x in engine.pseudonymise.__defaults__))
+    got = registry.queries()["masked_texts"](spark, SF).collect()
+    assert sizes == [0] and len(got) == 1500 and all(r.restores for r in got)
