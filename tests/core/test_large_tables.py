@@ -74,3 +74,16 @@ def test_masked_texts_of_many_cases_number_no_symbol_by_a_shuffle(spark, monkeyp
     monkeypatch.setattr(engine.pseudonymise, "__defaults__", tuple(0 if x == engine.MANY_CASES else x for x in engine.pseudonymise.__defaults__))
     got = registry.queries()["masked_texts"](spark, SF).collect()
     assert sizes == [0] and len(got) == 1500 and all(r.restores for r in got)
+
+
+def test_a_batch_meets_the_markers_of_its_own_keys(mixed, monkeypatch):
+    """Batches of one text or of all give the same by a broadcast and by the join, which sees each distinct key of a batch once and no span."""
+    artifacts, cases = mixed
+    want = masked_rows(engine.pseudonymise(artifacts, cases))
+    assert masked_rows(engine.pseudonymise(artifacts, cases, max_mapping=0)) == want
+    repeated = artifacts.where("artifact_id = 0").withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(199)))).coalesce(1)
+    seen = []
+    monkeypatch.setattr(engine, "_rewritten", lambda rows, *a, real=engine._rewritten: seen.append(rows.selectExpr("sum(if(_own is null, 0, size(_own)))").first()[0]) or real(rows, *a))
+    engine.pseudonymise(repeated, cases, max_mapping=0)
+    distinct = len({(r.entity_type, r.canonical) for r in engine.pseudonymise(artifacts.where("artifact_id = 0"), cases).symbols.collect()})
+    assert distinct <= seen[0] <= 16 * distinct  # not 200 times
