@@ -87,3 +87,12 @@ def test_a_batch_meets_the_markers_of_its_own_keys(mixed, monkeypatch):
     engine.pseudonymise(repeated, cases, max_mapping=0)
     distinct = len({(r.entity_type, r.canonical) for r in engine.pseudonymise(artifacts.where("artifact_id = 0"), cases).symbols.collect()})
     assert distinct <= seen[0] <= 16 * distinct  # not 200 times
+
+
+def test_withheld_texts_carry_no_marks(mixed, monkeypatch):
+    """Texts of unknown cases go out whole: their marks were written and shuffled for nothing."""
+    artifacts, cases = mixed
+    seen = []
+    monkeypatch.setattr(engine, "_rewritten", lambda rows, *a, real=engine._rewritten: seen.append(rows.where("not _sure").selectExpr("sum(size(parsed.spans))").first()[0]) or real(rows, *a))
+    out = engine.pseudonymise(artifacts, cases, max_mapping=0)
+    assert seen == [0] and out.masked.where(F.col("masked") == engine.WITHHELD).count() == 2
