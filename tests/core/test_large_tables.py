@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.operators import engine
+from veilframe.operators import engine, rewrite
 from veilframe.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +96,15 @@ def test_withheld_texts_carry_no_marks(mixed, monkeypatch):
     monkeypatch.setattr(engine, "_rewritten", lambda rows, *a, real=engine._rewritten: seen.append(rows.where("not _sure").selectExpr("sum(size(parsed.spans))").first()[0]) or real(rows, *a))
     out = engine.pseudonymise(artifacts, cases, max_mapping=0)
     assert seen == [0] and out.masked.where(F.col("masked") == engine.WITHHELD).count() == 2
+
+
+def test_masked_and_placed_by_one_grouping(spark):
+    """``exact_restore`` grouped the spans twice, after a window over them; one grouping gives the same places, and restores texts without spans and of null keys."""
+    texts = spark.createDataFrame([(1, "ab\U0001f6a2cd"), (2, "xyz"), (None, "q"), (3, None), (4, "none")], "artifact_id int, text string")
+    parts = spark.createDataFrame([(1, 1, 3, "b\U0001f6a2", "LONG"), (1, 3, 4, "c", ""), (1, 1, 3, "b\U0001f6a2", "LONG"), (2, 0, 3, "xyz", "M"), (None, 0, 1, "q", "N")], "artifact_id int, start int, end int, original string, marker string")
+    out = rewrite.apply_with_manifest(texts, parts)
+    want = {(r.artifact_id, r.output_start, r.output_end, r.original, r.marker) for r in rewrite.manifest(parts.distinct()).collect()}
+    assert {(r.artifact_id, *r.p) for r in out.select("artifact_id", F.explode("replacements").alias("p")).collect()} == want
+    assert {(r.artifact_id, r.masked, r.restored == r.text) for r in rewrite.exact_restore(out).collect()} == {(1, "aLONGd", True), (2, "M", True), (None, "N", True), (3, None, True), (4, "none", True)}
+    found = plan(registry.queries()["exact_restore"](spark, SF))
+    assert found.count("collect_set") == 1

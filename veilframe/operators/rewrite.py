@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import names
 from .model import listed
 from .scratch import written
-from .spans import token_rows
+from .spans import running_sums, token_rows
 from .symbols import short_marker_valid
 
 WORD = names.WORD
@@ -95,6 +95,19 @@ def apply_replacements(artifacts: DataFrame, spans: DataFrame, doc: str | list[s
     return _attach(artifacts, parts, doc).withColumn("masked", splice_long(F.col(text), F.col("_parts"))).drop("_parts")
 
 
+def apply_with_manifest(artifacts: DataFrame, spans: DataFrame, doc: str | list[str] = "artifact_id", text: str = "text") -> DataFrame:
+    """``apply_replacements`` and ``manifest`` by one grouping of the spans and one join: ``masked`` and ``replacements``, which ``exact_restore`` reads.
+
+    spans: doc, start, end, original, marker; equal spans count once. A text without spans has null replacements.
+    """
+    parts = spans.groupBy(*_keys(doc)).agg(F.array_sort(F.collect_set(F.struct("start", "end", "original", "marker"))).alias("_parts"))
+    moved = running_sums(F.transform("_parts", lambda x: F.length(x["marker"]) - (x["end"] - x["start"])))
+    rows = _attach(artifacts, parts, doc).withColumn("masked", splice_long(F.col(text), F.col("_parts"))).withColumn("_moved", moved)
+    out_end = lambda x, i: x["end"] + F.get("_moved", i)
+    placed = F.transform("_parts", lambda x, i: F.struct((out_end(x, i) - F.length(x["marker"])).alias("output_start"), out_end(x, i).alias("output_end"), x["original"].alias("original"), x["marker"].alias("marker")))
+    return rows.withColumn("replacements", placed).drop("_parts", "_moved")
+
+
 def exact_restore(masked: DataFrame, replacements: DataFrame | None = None, doc: str | list[str] = "artifact_id") -> DataFrame:
     """The source texts from masked ones: each marker is checked at its place and gives way to its own lexeme.
 

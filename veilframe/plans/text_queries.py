@@ -246,8 +246,9 @@ def _registry(found):
 
 
 def _marked(t):
-    found = written(_spans(t))
-    return written(found.join(_registry(found).select("case_id", "entity_type", "canonical", "marker"), ["case_id", "entity_type", "canonical"]))  # queries read it twice
+    key = ["case_id", "entity_type", "canonical"]
+    found = written(_spans(t).select("artifact_id", *key, "position", "start", "end", "original", "confidence"))  # read twice
+    return found.select("artifact_id", *key, "start", "end", "original").join(_registry(found).select(*key, "marker"), key).drop(*key)
 
 
 @query("expression_tokens", f"SELECT artifact_id, i, s AS start_at, e AS end_at, original, entity_type FROM ({EXPR_SQL})")
@@ -421,10 +422,7 @@ def mask_text_builtin(t):
 
 @query("exact_restore", f"SELECT artifact_id, text AS restored, true AS same FROM ({plain(base.PREDICATES)})")
 def exact_restore(t):
-    marked = rewrite.manifest(_marked(t))
-    art = t.sql(base.PREDICATES)
-    masked = rewrite.apply_replacements(art, marked.select("artifact_id", "start", "end", "marker"))
-    back = rewrite.exact_restore(masked, marked.select("artifact_id", "output_start", "output_end", "original", "marker"))
+    back = rewrite.exact_restore(rewrite.apply_with_manifest(t.sql(base.PREDICATES), _marked(t)))
     return back.select("artifact_id", "restored", (F.col("restored") == F.col("text")).alias("same"))
 
 
