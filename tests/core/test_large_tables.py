@@ -108,3 +108,9 @@ def test_masked_and_placed_by_one_grouping(spark):
     assert {(r.artifact_id, r.masked, r.restored == r.text) for r in rewrite.exact_restore(out).collect()} == {(1, "aLONGd", True), (2, "M", True), (None, "N", True), (3, None, True), (4, "none", True)}
     found = plan(registry.queries()["exact_restore"](spark, SF))
     assert found.count("collect_set") == 1
+
+
+def test_sql_obfuscate_meets_no_mapping(spark):
+    """The mapping of each text was made of its exploded spans, grouped and joined back; it is made where the text lies."""
+    found = plan(registry.queries()["sql_obfuscate"](spark, SF))
+    assert "LateralJoin" not in found and "PythonUDTF" not in found and "Join LeftOuter" not in found

@@ -599,11 +599,9 @@ def sql_span_rows(t):
 def sql_obfuscate(t):
     """Texts masked in SQL by a mapping that SQL builds from their spans."""
     register(t.spark)
-    texts = written(_pieced(t))
     return t.spark.sql(
-        """WITH m AS (SELECT artifact_id, map_from_entries(collect_set(struct(s.entity_type || ':' || s.canonical, '<' || s.entity_type || '>'))) AS mapping FROM {texts}, LATERAL veil_spans(text) s GROUP BY artifact_id)
-        SELECT x.artifact_id, veil_obfuscate(text, mapping) AS masked FROM {texts} x LEFT JOIN m ON m.artifact_id = x.artifact_id""",
-        texts=texts,
+        "SELECT artifact_id, veil_obfuscate(text, map_from_entries(transform(veil_keys(text), k -> struct(k.entity_type || ':' || k.canonical, '<' || k.entity_type || '>')))) AS masked FROM {texts}",
+        texts=_pieced(t),
     )
 
 
